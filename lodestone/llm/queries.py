@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import quality, urls
+from lodestone.llm import quality, secrets, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": urls.op1_url_filters,
+    "op4_secret_scans": secrets.op4_secret_scans,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 
