@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontaminate, quality, secrets, urls
+from lodestone.llm import decontaminate, pii, quality, secrets, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": urls.op1_url_filters,
     "op4_secret_scans": secrets.op4_secret_scans,
     "op6_benchmark_decontamination": decontaminate.op6_benchmark_decontamination,
+    "op7_pii": pii.op7_pii,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 
