@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontaminate, pii, quality, secrets, urls
+from lodestone.llm import decontaminate, pii, quality, secrets, setjoin, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": urls.op1_url_filters,
+    "op2_ngram_jaccard_join": setjoin.op2_ngram_jaccard_join,
     "op4_secret_scans": secrets.op4_secret_scans,
     "op6_benchmark_decontamination": decontaminate.op6_benchmark_decontamination,
     "op7_pii": pii.op7_pii,
