@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontaminate, pii, quality, secrets, setjoin, urls
+from lodestone.llm import decontaminate, pii, quality, secrets, setjoin, substrings, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": urls.op1_url_filters,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secret_scans": secrets.op4_secret_scans,
     "op6_benchmark_decontamination": decontaminate.op6_benchmark_decontamination,
     "op7_pii": pii.op7_pii,
+    "op9_substring_dedup": substrings.op9_substring_dedup,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 
