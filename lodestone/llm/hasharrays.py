@@ -73,6 +73,10 @@ class HashArrays:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_open": {}}
 
+    def only(self, *columns: str) -> HashArrays:
+        """The same arrays with some of the payload."""
+        return HashArrays(self.uri, self.bits, {c: self.payload[c] for c in columns}, self.rows)
+
     def shard(self, k: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         if k not in self._open:
             self._open[k] = load(self.uri, f"{k}.hash", "u8"), {c: load(self.uri, f"{k}.{c}", t) for c, t in self.payload.items()}

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontaminate, pii, quality, secrets, setjoin, substrings, toxicity, urls
+from lodestone.llm import decontaminate, langmodel, pii, quality, secrets, setjoin, substrings, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": urls.op1_url_filters,
     "op2_ngram_jaccard_join": setjoin.op2_ngram_jaccard_join,
+    "op3_lm_scoring": langmodel.op3_lm_scoring,
     "op4_secret_scans": secrets.op4_secret_scans,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_benchmark_decontamination": decontaminate.op6_benchmark_decontamination,
