@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontaminate, langmodel, pii, quality, secrets, setjoin, substrings, toxicity, urls
+from lodestone.llm import decontaminate, langmodel, pieces, pii, quality, secrets, setjoin, substrings, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": urls.op1_url_filters,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_benchmark_decontamination": decontaminate.op6_benchmark_decontamination,
     "op7_pii": pii.op7_pii,
+    "op8_sentencepiece": pieces.op8_sentencepiece,
     "op9_substring_dedup": substrings.op9_substring_dedup,
     "op10_quality_rules": quality.op10_quality_rules,
 }
