@@ -57,6 +57,11 @@ def discard(df: DataFrame | None) -> None:
         there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
 
 
+def without_prefix(df: DataFrame, prefix: str) -> DataFrame:
+    """``df`` without columns named as an operator names its own: what stood there (from an earlier run, say) is replaced."""
+    return df.drop(*[c for c in df.columns if c.startswith(prefix)])
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z and nothing else."""
     return F.translate(c, UPPER, LOWER)

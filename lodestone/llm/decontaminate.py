@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import ascii_lower, discard, materialise, table
+from lodestone.llm.common import ascii_lower, discard, materialise, table, without_prefix
 
 WIDTH = 13
 SHINGLE = 5
@@ -96,6 +96,7 @@ def occurrences(docs: DataFrame, windows: DataFrame, text: str = "text", width:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", bench_text: str = "text", item: str = "item_id", width: int = WIDTH, ratio: int = 20) -> DataFrame:
     """All columns of ``docs`` and _b_n_words, _b_n_hit, _b_items (sorted item ids as strings), _b_contaminated."""
+    docs = without_prefix(docs, "_b_")
     told = materialise(benchmark_windows(benchmark, bench_text, item, width), "bench-windows")
     windows = told.groupBy("window").agg(F.first("words").alias("words"))
     found = materialise(occurrences(docs, windows, text, width), "bench-found")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialise, scratch, table
+from lodestone.llm.common import materialise, scratch, table, without_prefix
 from lodestone.llm.hasharrays import SHARD_ROWS, HashArrays, load, save
 from lodestone.llm.textscan import Slice, mix, slices
 
@@ -291,6 +291,7 @@ def train(docs: DataFrame, text: str = "text") -> Model:
 
 def with_scores(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (all by default), _l_n_tokens, _l_n_known, _l_base, _l_score (log10) and _l_perplexity."""
+    docs = without_prefix(docs, "_l_")
     names = docs.columns if keep is None else keep
     source = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").cast("string").alias("_l_text"))
     schema = source.drop("_l_text").schema.add("_l_n_tokens", "long").add("_l_n_known", "long").add("_l_base", "double").add("_l_score", "double").add("_l_perplexity", "double")

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import materialise, table
+from lodestone.llm.common import materialise, table, without_prefix
 from lodestone.llm.textscan import slices, windows
 
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_upper")
@@ -93,6 +93,7 @@ def features_of(text: pa.Array) -> np.ndarray:
 
 def with_features(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (all by default) and a ``_q_`` column for each feature of the whole text."""
+    docs = without_prefix(docs, "_q_")
     names = docs.columns if keep is None else keep
     source = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").cast("string").alias("_q_text"))
     schema = T.StructType([*source.schema.fields[:-1], *[T.StructField(f"_q_{f}", T.LongType()) for f in FEATURES]])

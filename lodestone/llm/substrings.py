@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import discard, materialise, table
+from lodestone.llm.common import discard, materialise, table, without_prefix
 from lodestone.llm.hasharrays import HashArrays, build
 from lodestone.llm.textscan import WHITE, Slice, mix, slices, windows
 
@@ -354,6 +354,7 @@ def removed_words(words: np.ndarray, firsts: np.ndarray, width: int, masks: Hash
 
 def without_repeats(docs: DataFrame, text: str = "text", width: int = WIDTH, keep: list[str] | None = None, as_text: bool = True, hot_limit: int = HOT) -> DataFrame:
     """The columns ``keep`` (all by default), _d_n_words, _d_n_removed and _d_kept: the kept words joined by one space, or its SHA-256."""
+    docs = without_prefix(docs, "_d_")
     names = docs.columns if keep is None else keep
     masks, hot = repeats(docs, text, width, hot_limit)
     source = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").cast("string").alias("_d_text"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import table
+from lodestone.llm.common import table, without_prefix
 from lodestone.llm.textscan import Slice, slices
 
 SAMPLE = 20_000
@@ -236,6 +236,7 @@ SEGMENTS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.
 
 def with_scores(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (all by default), _t_score, and _t_segments: the significant passages as token ranges with their significance."""
+    docs = without_prefix(docs, "_t_")
     names = docs.columns if keep is None else keep
     source = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").cast("string").alias("_t_text"))
     schema = source.drop("_t_text").schema.add("_t_score", "double").add("_t_segments", SEGMENTS)

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import ascii_lower, discard, materialise, table
+from lodestone.llm.common import ascii_lower, discard, materialise, table, without_prefix
 from lodestone.llm.components import connected_components
 
 #: (verdict, rule): the part up to the first slash is the host, the rest the path.
@@ -96,6 +96,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, url: str =
 
     ``redirects``: more edges (from_url, to_url), such as a crawler's redirect log.
     """
+    pages = without_prefix(pages, "_u_")
     edges = alias_edges(pages, url, html)
     if redirects is not None:
         edges = edges.unionByName(redirects.select("from_url", "to_url").where("from_url like '%://%' and to_url like '%://%'"))
