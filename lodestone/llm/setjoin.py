@@ -11,7 +11,8 @@ For a document: it probes just as many of its segments as its own H needs, the f
 one-deletion probes only for want of non-empty segments, and probes empty segments last of all.
 
 Entities that share a key are a bucket. Pairs within a bucket are not listed: first each meets the bucket's pivot; what
-that links is one component. Then only pairs of different components meet, and only those whose parity bitmaps (a lower
+that links is one component. Buckets of several components get other pivots, one for each bucket, as long as that links
+more. Then only pairs of different components meet, and only those whose parity bitmaps (a lower
 bound of the difference of two sets) admit a link. Every accepted link is verified on the whole sets; no pair that could
 join two components is left untested, so the components are exact (up to 64-bit collisions).
 
@@ -33,13 +34,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import discard, materialise, table
+from lodestone.llm.common import discard, materialise, table, without_prefix
 from lodestone.llm.components import connected_components
 from lodestone.llm.hasharrays import HashArrays, build
 from lodestone.llm.textscan import mix, slices, windows
 
 BAND_RATIO = 1.5
 BITMAP_LONGS = 16
+#: Rounds at most in which each open bucket has a pivot of its own before the pairs across components are joined.
+PIVOT_ROUNDS = 3
 _U = np.uint64
 
 
@@ -312,33 +315,54 @@ def links(docs: DataFrame, text: str, width: int, t: int) -> DataFrame:
     met = shared.where("pivot <> entity").select(F.least("pivot", "entity").alias("src"), F.greatest("pivot", "entity").alias("dst")).distinct()
     edges = materialise(_verified(met, sets, t), "links")
     parts = materialise(connected_components(edges), "parts")
-    # what the pivots left apart: buckets of more than one component
-    named = shared.select("key", "entity", "n", "indexed", "probing").join(parts.select(F.col("node").alias("entity"), "component"), "entity", "left").withColumn("component", F.coalesce("component", "entity"))
-    open_keys = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    rest = materialise(named.join(open_keys, "key").join(sets.select("entity", "bits"), "entity"), "open")
+    for turn in range(PIVOT_ROUNDS):
+        rest = materialise(_open_rows(shared, parts, sets), "open")
+        rank = F.xxhash64(F.lit(turn), "key", "entity")
+        pivots = rest.groupBy("key").agg(F.min(F.struct(rank.alias("r"), F.col("entity").alias("p"), F.col("component").alias("c"))).alias("m")).select("key", "m.p", "m.c")
+        met = rest.join(pivots, "key").where("component <> c").select(F.least("p", "entity").alias("src"), F.greatest("p", "entity").alias("dst")).distinct()
+        more = materialise(_verified(met, sets, t), "links")
+        discard(rest)
+        if more.isEmpty():
+            break
+        parts = _merged(parts, more)
+    rest = materialise(_open_rows(shared, parts, sets), "open")
     probes = rest.where("probing").select("key", F.col("entity").alias("src"), F.col("n").alias("b"), F.col("component").alias("cb"), F.col("bits").alias("y"))
     indexed = rest.where("indexed").select("key", F.col("entity").alias("dst"), F.col("n").alias("a"), F.col("component").alias("ca"), F.col("bits").alias("x"))
     apart = " + ".join(f"bit_count(x[{i}] ^ y[{i}])" for i in range(BITMAP_LONGS))
     admitted = F.expr(f"ca <> cb and a <= b and 100 * a >= {t} * b and ({apart}) * {100 + t} <= (a + b) * {100 - t}")
     crossing = probes.join(indexed, (probes.key == indexed.key) & admitted).select("src", "dst").distinct()
     more = materialise(_verified(crossing, sets, t), "links")
-    if more.isEmpty():
-        return parts
-    out = materialise(connected_components(edges.union(more)), "parts")
-    for used in (shared, sets, edges, parts, rest, more):
+    if not more.isEmpty():
+        parts = _merged(parts, more)
+    for used in (shared, sets, rest, more):
         discard(used)
+    return parts
+
+
+def _open_rows(shared: DataFrame, parts: DataFrame, sets: DataFrame) -> DataFrame:
+    """The rows of buckets of more than one component, with component and bitmap."""
+    named = shared.select("key", "entity", "n", "indexed", "probing").join(parts.select(F.col("node").alias("entity"), "component"), "entity", "left").withColumn("component", F.coalesce("component", "entity"))
+    mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    return named.join(mixed, "key").join(sets.select("entity", "bits"), "entity")
+
+
+def _merged(parts: DataFrame, more: DataFrame) -> DataFrame:
+    """Components of the known ones and further links together."""
+    out = materialise(connected_components(parts.select(F.col("node").alias("src"), F.col("component").alias("dst")).union(more)), "parts")
+    discard(parts)
     return out
 
 
 def with_components(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, t: int = 80, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (all by default), _j_n (size of the set) and _j_component (least ``key`` of the linked documents)."""
+    """The columns ``keep`` (all by default), _j_n (size of the set), _j_group (the component; null for an empty set) and _j_component (its least ``key``)."""
+    docs = without_prefix(docs, "_j_")
     names = docs.columns if keep is None else keep
     known = materialise(entities(docs, text, width, list(dict.fromkeys([*names, key]))), "entities")
     parts = links(docs, text, width, t)
     placed = known.join(parts.select(F.col("node").alias("_j_entity"), F.col("component").alias("_j_part")), "_j_entity", "left").withColumn("_j_part", F.coalesce("_j_part", "_j_entity"))
     named = placed.where("_j_part is not null").groupBy("_j_part").agg(F.min(F.col(f"`{key}`")).alias("_j_least"))
     out = placed.join(named, "_j_part", "left").withColumn("_j_component", F.coalesce("_j_least", F.col(f"`{key}`")))
-    return out.select(*[F.col(f"`{c}`") for c in names], "_j_n", "_j_component")
+    return out.select(*[F.col(f"`{c}`") for c in names], "_j_n", F.col("_j_part").alias("_j_group"), "_j_component")
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
