@@ -13,7 +13,8 @@ The vocabulary's path is a parameter; the file has to be in the same place on ev
 
 Results for odd input: null text gives null ids, which decode to null; the empty text gives no ids; a null key is a key
 like others; repeated rows give repeated results; an empty table gives an empty result; the letter that marks spaces is
-encoded by its bytes, so it is not taken for a space; columns of the input are kept.
+encoded by its bytes, so it is not taken for a space; columns of the input are kept, but for one
+of the new column's name, which is replaced.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import table
+from lodestone.llm.common import table, without_prefix
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -141,7 +142,8 @@ def key_of(seed: int, variant: int) -> int:
 
 def with_ids(docs: DataFrame, text: str = "text", key: str = "doc_id", name: str = "ids", seed: int = 1, rate: float = 0.1, variants: int = 4, model: str = MODEL, keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (all by default) and the ids of each whole text. ``rate`` 0: the plain segmentation."""
-    names = docs.columns if keep is None else keep
+    docs = without_prefix(docs, "_v_")
+    names = [c for c in (docs.columns if keep is None else keep) if c != name]
     variant = F.pmod(F.xxhash64(F.lit(seed), F.col(f"`{key}`")), F.lit(variants)).cast("int")
     source = docs.select(*[F.col(f"`{c}`") for c in names], variant.alias("_v_variant"), F.col(f"`{text}`").cast("string").alias("_v_text"))
     schema = source.drop("_v_variant", "_v_text").schema.add(name, T.ArrayType(T.IntegerType()))
@@ -170,7 +172,8 @@ def with_ids(docs: DataFrame, text: str = "text", key: str = "doc_id", name: str
 
 def with_text(encoded: DataFrame, ids: str = "ids", name: str = "decoded", model: str = MODEL, keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (all by default) and the text of the ids of each row."""
-    names = encoded.columns if keep is None else keep
+    encoded = without_prefix(encoded, "_v_")
+    names = [c for c in (encoded.columns if keep is None else keep) if c != name]
     source = encoded.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{ids}`").alias("_v_ids"))
     schema = source.drop("_v_ids").schema.add(name, "string")
 

@@ -8,7 +8,7 @@ sweep, so a text with many candidates costs no more than their number times its
 
 Spans are ``kind:start:end`` in code points, end exclusive. Results for odd input: a null or empty text has no span;
 repeated rows give repeated results; an empty table gives an empty result; the operator adds one column, ``spans``
-(array of kind, start, end) under a name of the caller's choice, and keeps all others.
+(array of kind, start, end) under a name of the caller's choice, in place of one of that name, and keeps all others.
 """
 
 from __future__ import annotations
@@ -133,7 +133,7 @@ _ARROW_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()),
 
 def with_spans(docs: DataFrame, text: str = "text", name: str = "spans", reach: int = REACH, keep: list[str] | None = None) -> DataFrame:
     """``docs`` (the columns ``keep``, all by default) with an array column of the spans of each whole text."""
-    kept = docs.columns if keep is None else keep
+    kept = [c for c in (docs.columns if keep is None else keep) if c != name]
     source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("_s_text"))
     schema = T.StructType([*source.schema.fields[:-1], T.StructField(name, SPANS)])
 
