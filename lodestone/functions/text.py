@@ -92,13 +92,6 @@ def slug(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
-def common_prefix(a: str, b: str) -> str:
-    """SQL for the length of the common prefix of two SQL strings."""
-    n = f"least(length({a}), length({b}))"
-    low = f"if({n} = 0, cast(array() as array<int>), filter(sequence(1, greatest({n}, 1)), i -> substring({a}, i, 1) <> substring({b}, i, 1)))"
-    return f"(case when size({low}) = 0 then {n} else element_at({low}, 1) - 1 end)"
-
-
 def complexity_key(given: Column, wanted: Column, index: Column) -> Column:
     """Order of test cases by size: total length, longer side, lines, digits, place."""
     digits = lambda c: F.regexp_count(c, F.lit(r"\p{Nd}"))

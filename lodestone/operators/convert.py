@@ -48,7 +48,7 @@ def maybe_unpair(df: DataFrame, **names) -> DataFrame:
 def shared_messages(a: str, b: str) -> str:
     """SQL: how many leading messages two arrays share."""
     n = f"least(size({a}), size({b}))"
-    return f"coalesce(element_at(filter(transform(sequence(0, greatest({n} - 1, 0)), i -> if(i < {n} and {a}[i] = {b}[i], null, i)), i -> i is not null), 1), {n})"
+    return f"coalesce(try_element_at(filter(transform(sequence(0, greatest({n} - 1, 0)), i -> if(i < {n} and {a}[i] = {b}[i], null, i)), i -> i is not null), 1), {n})"
 
 
 def extract_prompt(df: DataFrame, compat: bool = False) -> DataFrame:
@@ -67,7 +67,7 @@ def extract_prompt(df: DataFrame, compat: bool = False) -> DataFrame:
         out = df.withColumns({"prompt": F.slice("chosen", F.lit(1), F.col("_n")), "chosen": tail("chosen"), "rejected": tail("rejected")})
         return out.drop("_n")
     n = "least(length(chosen), length(rejected))"
-    differs = f"element_at(filter(sequence(1, greatest({n}, 1)), i -> i > {n} or substring(chosen, i, 1) <> substring(rejected, i, 1)), 1)"
+    differs = f"try_element_at(filter(sequence(1, greatest({n}, 1)), i -> i > {n} or substring(chosen, i, 1) <> substring(rejected, i, 1)), 1)"
     df = df.withColumn("_n", F.expr(f"coalesce({differs} - 1, {n} - 1)"))
     df = df.withColumn("_n", F.expr(f"if(_n = {n} and _n > 0, _n - 1, _n)"))
     back = F.expr("substring(chosen, _n, 1) = ' '") & (F.col("_n") > 0)
@@ -93,7 +93,7 @@ def apply_template(df: DataFrame) -> DataFrame:
         return df
     if "messages" in df.columns:
         return df.withColumn("text", rendered(F.col("messages"))).drop("messages")
-    last = F.element_at("prompt", -1)["role"]
+    last = F.try_element_at("prompt", F.lit(-1))["role"]
     known = F.when(last.isin("user", "tool", "assistant"), last.isin("user", "tool")).otherwise(F.raise_error(F.concat(F.lit("invalid role in the last message: "), last)).cast("boolean"))
     prompt = rendered(F.col("prompt"), known)
     out = {c: F.substr(rendered(F.concat("prompt", c)), F.length(prompt) + 1) for c in ("completion", "chosen", "rejected") if c in df.columns}
