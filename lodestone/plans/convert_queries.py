@@ -69,13 +69,16 @@ def extract_prompt_text(s: SparkSession, d: str) -> DataFrame:
 
 _add("extract_prompt_text", extract_prompt_text, f"with {_P} select conv_id, prompt, ' x' || chosen as chosen, ' y' || rejected as rejected from p")
 
-_STEPS = F.split("chosen", r"\. "), F.transform(F.split("chosen", r"\. "), lambda x: F.length(x) > 3)
+def _steps():
+    return F.split("chosen", r"\. ").alias("completions"), F.transform(F.split("chosen", r"\. "), lambda x: F.length(x) > 3).alias("labels")
+
+
 _SOURCES = {
     "prompt_completion": lambda p: p.select("conv_id", "prompt", F.col("chosen").alias("completion")),
     "preference": lambda p: p,
     "implicit_preference": lambda p: p.select("conv_id", F.concat("prompt", F.lit(" x"), "chosen").alias("chosen"), F.concat("prompt", F.lit(" y"), "rejected").alias("rejected")),
     "unpaired": lambda p: p.select("conv_id", "prompt", F.col("chosen").alias("completion"), (F.col("conv_id") % 2 == 0).alias("label")),
-    "stepwise": lambda p: p.select("conv_id", "prompt", _STEPS[0].alias("completions"), _STEPS[1].alias("labels")),
+    "stepwise": lambda p: p.select("conv_id", "prompt", *_steps()),
 }
 _ALL = "len(list_filter(string_split(chosen, '. '), lambda x: length(x) <= 3)) = 0"
 _JOINED = "replace(chosen, '. ', '')"

@@ -29,12 +29,13 @@ def docs(s: SparkSession, d: str) -> DataFrame:
 
 # ------------------------------------------------------------------ curation
 
-_reason = c.first_reason([("too_long", t.token_count(F.col("text")) > 400), ("interactive", c.mentions(F.col("text"), ("the the", "password"))), ("too_few", F.length("text") < 200), ("low_quality", F.coalesce(F.col("quality") == 0, F.lit(False)))])
+def _reason():
+    return c.first_reason([("too_long", t.token_count(F.col("text")) > 400), ("interactive", c.mentions(F.col("text"), ("the the", "password"))), ("too_few", F.length("text") < 200), ("low_quality", F.coalesce(F.col("quality") == 0, F.lit(False)))])
 _REASON = r"case when len(regexp_extract_all(text, '[^\s\x0b]+')) > 400 then 'too_long' when contains(lower(text), 'the the') or contains(lower(text), 'password') then 'interactive' when length(text) < 200 then 'too_few' when quality = 0 then 'low_quality' end"
 
 
 def rejected(s: SparkSession, d: str) -> DataFrame:
-    return docs(s, d).join(read(s, d, "labels").select("doc_id", "quality"), "doc_id", "left").withColumn("reject_reason", _reason)
+    return docs(s, d).join(read(s, d, "labels").select("doc_id", "quality"), "doc_id", "left").withColumn("reject_reason", _reason())
 
 
 _R = f"j as (select d.doc_id, d.source, d.text, d.lang, d.n_chars, {_REASON} as reject_reason from documents d left join labels l using (doc_id))"
@@ -71,28 +72,35 @@ def lines(s: SparkSession, d: str) -> DataFrame:
 
 
 def _reward(column, name: str = "reward"):
-    return lambda s, d: lines(s, d).groupBy("l_orderkey").agg(F.round(F.sum(column), 5).alias(name))
+    return lambda s, d: lines(s, d).groupBy("l_orderkey").agg(F.round(F.sum(column()), 5).alias(name))
 
 
-_q, _di, _ta = F.col("l_quantity"), F.col("l_discount"), F.col("l_tax")
+class _Columns:
+    """Columns by attribute, made when they are used: modules are imported without a session."""
+
+    def __getattr__(self, name: str):
+        return F.col(name)
+
+
+C = _Columns()
 _sql = lambda e: f"select l_orderkey, round(sum({e}), 5) as reward from lineitem group by l_orderkey"
-_add("overlong_penalty", _reward(w.overlong_penalty(_q, 40, 20)), _sql("case when l_quantity <= 20 then 0 when l_quantity <= 40 then (20 - l_quantity) / 20.0::double else -1 end"))
-_add("soft_unit", _reward(w.soft_unit(_di, 0.02, 0.08)), _sql("(greatest(least(l_discount, 0.08::double), 0.02::double) - 0.02::double) / (0.08::double - 0.02::double)"))
-_add("beta_cap", _reward(w.bounded_beta(2.0, F.floor(_q))), _sql("case when floor(l_quantity) <= 0 then 0 else least(2.0::double / floor(l_quantity), (1 - 1e-6::double) / floor(l_quantity)) end"))
-_add("composite_reward", _reward(w.composite(_di * 10, F.col("l_returnflag") == "N", _ta * 10, _q / 50, F.col("l_linenumber") > 2, 0.2, 0.1, 0.1)), _sql("greatest(least(greatest(least(l_discount * 10, 1), 0) + case when l_returnflag = 'N' then 1 else 0.5::double end * 0.2::double * greatest(least(l_tax * 10, 1), 0) * case when l_linenumber > 2 then 1 else 0.3::double end + case when l_returnflag = 'N' then 1 else 0.5::double end * 0.1::double * greatest(least(l_quantity / 50, 1), 0) + 0.1::double * (l_returnflag = 'N')::int, 1), 0)"))
-_add("iterative_priority", _reward(w.iterative_priority(_di * 5, _ta - 0.03, F.lit(1.5))), _sql("greatest(greatest(1e-6::double, 4 * l_discount * 5 * (1 - l_discount * 5) + 0.1::double * greatest(0, l_tax - 0.03::double)) * 1.5::double, 1e-6::double)"))
-_add("prior_weight", _reward(w.prior_weight(_q / 50, F.col("l_linenumber"))), _sql("case when l_quantity / 50 >= 0.95::double then 0.2::double when l_quantity / 50 <= 0.05::double and l_linenumber >= 3 then 0.3::double when l_quantity / 50 between 0.2::double and 0.8::double then 1.5::double when l_quantity / 50 < 0.2::double then 0.8::double else 1.0::double end"))
-_add("keep_probability", _reward(w.keep_probability(0.9, 0.7, F.col("l_linenumber"), _q)), _sql("greatest(least(0.9::double * pow(0.7::double, l_linenumber) + 0.01::double * l_quantity, 1), 0.05::double)"))
-_add("density_weight", _reward(w.density_weight(_di * 9)), _sql("greatest(least(l_discount * 9 / (1 - l_discount * 9 + 1e-8::double), 10), 0.1::double)"))
-_add("missing_eos", _reward(w.missing_eos(_q, F.col("l_linenumber") > 3, 1.5)), _sql("case when l_linenumber > 3 then l_quantity else l_quantity - 1.5::double end"))
-_add("ema_rate", _reward(w.ema_rate(_q, 10, 2.0, 0.5, 0.15)), _sql("greatest(pow(10 + 2 * l_quantity, -0.5::double), 0.15::double)"))
-_add("soft_win", _reward(w.soft_win(_di * 10, _ta * 10, 0.5)), _sql("1 / (1 + exp((l_tax * 10 - l_discount * 10) / 0.5::double))"))
-_verdicts = F.array(*[F.expr(f"int((l_linenumber + {k}) % 3 - 1)") if k else F.expr("int(l_linenumber > 1)") for k in range(3)])
-_add("judge_combine", lambda s, d: lines(s, d).groupBy("l_linenumber").agg(F.max(w.judges(_verdicts)).alias("verdict")), "select l_linenumber, max(case when (l_linenumber + 1) % 3 = 0 or (l_linenumber + 2) % 3 = 0 then -1 when l_linenumber > 1 and (l_linenumber + 1) % 3 = 2 and (l_linenumber + 2) % 3 = 2 then 1 else 0 end) as verdict from lineitem group by 1")
-_add("win_rate", lambda s, d: r.win_rate(lines(s, d).select((_di * 10).alias("s")), "s").select(F.round("win_rate", 6).alias("win_rate"), F.round("soft_win", 6).alias("soft_win")), "select round(avg((l_discount * 10 <= 0.5::double)::int), 6) as win_rate, round(1 - avg(l_discount * 10), 6) as soft_win from lineitem")
+_add("overlong_penalty", _reward(lambda: w.overlong_penalty(C.l_quantity, 40, 20)), _sql("case when l_quantity <= 20 then 0 when l_quantity <= 40 then (20 - l_quantity) / 20.0::double else -1 end"))
+_add("soft_unit", _reward(lambda: w.soft_unit(C.l_discount, 0.02, 0.08)), _sql("(greatest(least(l_discount, 0.08::double), 0.02::double) - 0.02::double) / (0.08::double - 0.02::double)"))
+_add("beta_cap", _reward(lambda: w.bounded_beta(2.0, F.floor(C.l_quantity))), _sql("case when floor(l_quantity) <= 0 then 0 else least(2.0::double / floor(l_quantity), (1 - 1e-6::double) / floor(l_quantity)) end"))
+_add("composite_reward", _reward(lambda: w.composite(C.l_discount * 10, F.col("l_returnflag") == "N", C.l_tax * 10, C.l_quantity / 50, F.col("l_linenumber") > 2, 0.2, 0.1, 0.1)), _sql("greatest(least(greatest(least(l_discount * 10, 1), 0) + case when l_returnflag = 'N' then 1 else 0.5::double end * 0.2::double * greatest(least(l_tax * 10, 1), 0) * case when l_linenumber > 2 then 1 else 0.3::double end + case when l_returnflag = 'N' then 1 else 0.5::double end * 0.1::double * greatest(least(l_quantity / 50, 1), 0) + 0.1::double * (l_returnflag = 'N')::int, 1), 0)"))
+_add("iterative_priority", _reward(lambda: w.iterative_priority(C.l_discount * 5, C.l_tax - 0.03, F.lit(1.5))), _sql("greatest(greatest(1e-6::double, 4 * l_discount * 5 * (1 - l_discount * 5) + 0.1::double * greatest(0, l_tax - 0.03::double)) * 1.5::double, 1e-6::double)"))
+_add("prior_weight", _reward(lambda: w.prior_weight(C.l_quantity / 50, F.col("l_linenumber"))), _sql("case when l_quantity / 50 >= 0.95::double then 0.2::double when l_quantity / 50 <= 0.05::double and l_linenumber >= 3 then 0.3::double when l_quantity / 50 between 0.2::double and 0.8::double then 1.5::double when l_quantity / 50 < 0.2::double then 0.8::double else 1.0::double end"))
+_add("keep_probability", _reward(lambda: w.keep_probability(0.9, 0.7, F.col("l_linenumber"), C.l_quantity)), _sql("greatest(least(0.9::double * pow(0.7::double, l_linenumber) + 0.01::double * l_quantity, 1), 0.05::double)"))
+_add("density_weight", _reward(lambda: w.density_weight(C.l_discount * 9)), _sql("greatest(least(l_discount * 9 / (1 - l_discount * 9 + 1e-8::double), 10), 0.1::double)"))
+_add("missing_eos", _reward(lambda: w.missing_eos(C.l_quantity, F.col("l_linenumber") > 3, 1.5)), _sql("case when l_linenumber > 3 then l_quantity else l_quantity - 1.5::double end"))
+_add("ema_rate", _reward(lambda: w.ema_rate(C.l_quantity, 10, 2.0, 0.5, 0.15)), _sql("greatest(pow(10 + 2 * l_quantity, -0.5::double), 0.15::double)"))
+_add("soft_win", _reward(lambda: w.soft_win(C.l_discount * 10, C.l_tax * 10, 0.5)), _sql("1 / (1 + exp((l_tax * 10 - l_discount * 10) / 0.5::double))"))
+_verdicts = lambda: F.array(*[F.expr(f"int((l_linenumber + {k}) % 3 - 1)") if k else F.expr("int(l_linenumber > 1)") for k in range(3)])
+_add("judge_combine", lambda s, d: lines(s, d).groupBy("l_linenumber").agg(F.max(w.judges(_verdicts())).alias("verdict")), "select l_linenumber, max(case when (l_linenumber + 1) % 3 = 0 or (l_linenumber + 2) % 3 = 0 then -1 when l_linenumber > 1 and (l_linenumber + 1) % 3 = 2 and (l_linenumber + 2) % 3 = 2 then 1 else 0 end) as verdict from lineitem group by 1")
+_add("win_rate", lambda s, d: r.win_rate(lines(s, d).select((C.l_discount * 10).alias("s")), "s").select(F.round("win_rate", 6).alias("win_rate"), F.round("soft_win", 6).alias("soft_win")), "select round(avg((l_discount * 10 <= 0.5::double)::int), 6) as win_rate, round(1 - avg(l_discount * 10), 6) as soft_win from lineitem")
 _add("hard_reward", lambda s, d: lines(s, d).groupBy("l_orderkey").agg(F.collect_list(F.col("l_returnflag") == "N").alias("p")).select("l_orderkey", F.round(w.hard_reward("p"), 6).alias("rate")), "select l_orderkey, round(avg((l_returnflag = 'N')::int), 6) as rate from lineitem group by 1")
-_kind = F.when(F.col("l_returnflag") == "N", "PASS").when(F.col("l_linenumber") == 1, "TIMEOUT").when(F.col("l_linenumber") == 2, "RUNTIME_ERROR").otherwise("WRONG")
-_add("status_code", lambda s, d: lines(s, d).groupBy("l_orderkey").agg(F.collect_list(_kind).alias("k")).select("l_orderkey", w.status_code("k").alias("status")), "with k as (select l_orderkey, case when l_returnflag = 'N' then 'P' when l_linenumber = 1 then 'T' when l_linenumber = 2 then 'R' else 'W' end as k from lineitem) select l_orderkey, case when bool_and(k = 'P') then 'CORRECT' when bool_or(k = 'T') then 'TIMEOUT' when bool_or(k = 'R') then 'RUNTIME_ERROR' else 'FAIL' end as status from k group by 1")
+_kind = lambda: F.when(F.col("l_returnflag") == "N", "PASS").when(F.col("l_linenumber") == 1, "TIMEOUT").when(F.col("l_linenumber") == 2, "RUNTIME_ERROR").otherwise("WRONG")
+_add("status_code", lambda s, d: lines(s, d).groupBy("l_orderkey").agg(F.collect_list(_kind()).alias("k")).select("l_orderkey", w.status_code("k").alias("status")), "with k as (select l_orderkey, case when l_returnflag = 'N' then 'P' when l_linenumber = 1 then 'T' when l_linenumber = 2 then 'R' else 'W' end as k from lineitem) select l_orderkey, case when bool_and(k = 'P') then 'CORRECT' when bool_or(k = 'T') then 'TIMEOUT' when bool_or(k = 'R') then 'RUNTIME_ERROR' else 'FAIL' end as status from k group by 1")
 
 # ------------------------------------------------------------------ rollouts
 

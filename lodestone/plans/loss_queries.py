@@ -25,7 +25,7 @@ ls, sg = _LS.format, _S.format
 
 def _mean(column):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return pairs(spark, d).groupBy(*_KEYS).agg(F.round(F.avg(column), 6).alias("loss"))
+        return pairs(spark, d).groupBy(*_KEYS).agg(F.round(F.avg(column()), 6).alias("loss"))
 
     return run
 
@@ -34,7 +34,14 @@ def _mean_sql(formula: str) -> str:
     return f"{_PAIRS} select l_returnflag, l_linestatus, round(avg({formula}), 6) as loss from p group by all"
 
 
-_c, _r, _cs, _rs, _n, _label = (F.col(k) for k in ("c", "r", "cs", "rs", "n", "label"))
+class _Columns:
+    """Columns by attribute, made when they are used: modules are imported without a session."""
+
+    def __getattr__(self, name: str):
+        return F.col(name)
+
+
+C = _Columns()
 _PREFERENCE_SQL = {
     "sigmoid": f"-{ls('z')}", "hinge": "greatest(1 - z, 0)", "ipo": "pow(cs / greatest(n, 1) - rs / greatest(n + 1, 1) - 5, 2)",
     "exo_pair": f"{sg('z')} * ({ls('z')} - ln(0.9::double)) + {sg('-z')} * ({ls('-z')} - ln(0.1::double))",
@@ -45,30 +52,30 @@ _PREFERENCE_SQL = {
 }
 QUERIES, ORACLES = {}, {}
 for _kind, _sql in _PREFERENCE_SQL.items():
-    QUERIES[f"pref_loss_{_kind}"] = _mean(x.preference_loss(_kind, _cs, _rs, 0.1, 0.1, _n, _n + 1))
+    QUERIES[f"pref_loss_{_kind}"] = _mean(lambda k=_kind: x.preference_loss(k, C.cs, C.rs, 0.1, 0.1, C.n, C.n + 1))
     ORACLES[f"pref_loss_{_kind}"] = _mean_sql(_sql)
 for _kind, _sql in {"reverse_kl": "cs", "forward_kl": "-exp(-cs)", "js_divergence": ls("cs"), "alpha_divergence": "exp(least(cs * -0.5::double, 80)) * -2"}.items():
-    QUERIES[f"divergence_{_kind}"] = _mean(x.divergence_scores(_kind, _cs))
+    QUERIES[f"divergence_{_kind}"] = _mean(lambda k=_kind: x.divergence_scores(k, C.cs))
     ORACLES[f"divergence_{_kind}"] = _mean_sql(_sql)
 for _kind, _sql in {"sigmoid": f"-{ls('0.1::double * (c - r)')} * 0.9::double - {ls('-0.1::double * (c - r)')} * 0.1::double", "hinge": "greatest(1 - 0.1::double * (c - r), 0)", "ipo": "pow(c - r - 5, 2)", "simpo": f"-{ls('0.1::double * (c - r - 5)')} * 0.9::double - {ls('-0.1::double * (c - r - 5)')} * 0.1::double"}.items():
-    QUERIES[f"cpo_loss_{_kind}"] = _mean(x.cpo_loss(_kind, _c, _r, 0.1, 0.1))
+    QUERIES[f"cpo_loss_{_kind}"] = _mean(lambda k=_kind: x.cpo_loss(k, C.c, C.r, 0.1, 0.1))
     ORACLES[f"cpo_loss_{_kind}"] = _mean_sql(_sql)
-QUERIES["alpha_transform"] = _mean(x.alpha_transform(_c / 10, 0.25))
+QUERIES["alpha_transform"] = _mean(lambda: x.alpha_transform(C.c / 10, 0.25))
 ORACLES["alpha_transform"] = _mean_sql("(1 - exp(-0.25::double * c / 10)) / 0.25::double")
-QUERIES["orpo_loss"] = _mean(-x.orpo_terms(_c - 0.01, _r - 0.01)[1] * 0.1)
+QUERIES["orpo_loss"] = _mean(lambda: -x.orpo_terms(C.c - 0.01, C.r - 0.01)[1] * 0.1)
 ORACLES["orpo_loss"] = _mean_sql(f"-0.1::double * {ls('(c - r) - (ln(1 - exp(c - 0.01::double)) - ln(1 - exp(r - 0.01::double)))')}")
-QUERIES["reward_model_loss"] = _mean(x.reward_model_loss(_cs, _rs, F.lit(0.3), 0.01))
+QUERIES["reward_model_loss"] = _mean(lambda: x.reward_model_loss(C.cs, C.rs, F.lit(0.3), 0.01))
 ORACLES["reward_model_loss"] = _mean_sql(f"-{ls('cs - rs - 0.3::double')} + 0.01::double * pow(cs + rs, 2)")
-QUERIES["xpo_loss"] = _mean(x.xpo_loss(_cs, _rs, _c, 0.1, 0.001))
+QUERIES["xpo_loss"] = _mean(lambda: x.xpo_loss(C.cs, C.rs, C.c, 0.1, 0.001))
 ORACLES["xpo_loss"] = _mean_sql(f"-{ls('z')} + 0.001::double * c")
-QUERIES["nash_md"] = _mean(x.nash_md_score(_c, F.col("rc"), x.sigmoid(_r), 0.1))
+QUERIES["nash_md"] = _mean(lambda: x.nash_md_score(C.c, F.col("rc"), x.sigmoid(C.r), 0.1))
 ORACLES["nash_md"] = _mean_sql(f"({sg('r')} - 0.5::double) * c - 0.1::double * (c - rc)")
-QUERIES["ppo_policy_loss"] = _mean(x.ppo_policy_loss(_c, _r, _cs, 0.2))
+QUERIES["ppo_policy_loss"] = _mean(lambda: x.ppo_policy_loss(C.c, C.r, C.cs, 0.2))
 ORACLES["ppo_policy_loss"] = _mean_sql("greatest(-cs * exp(c - r), -cs * greatest(least(exp(c - r), 1.2::double), 0.8::double))")
-QUERIES["ppo_value_loss"] = _mean(x.ppo_value_loss(_c, _r, _cs, 0.2))
+QUERIES["ppo_value_loss"] = _mean(lambda: x.ppo_value_loss(C.c, C.r, C.cs, 0.2))
 ORACLES["ppo_value_loss"] = _mean_sql("0.5::double * greatest(pow(c - cs, 2), pow(greatest(least(c, r + 0.2::double), r - 0.2::double) - cs, 2))")
 for _kind, _sql in {"k1": "c - r", "k3": "exp(r - c) - 1 - (r - c)"}.items():
-    QUERIES[f"kl_{_kind}"] = _mean(x.kl_estimate(_kind, _c, _r))
+    QUERIES[f"kl_{_kind}"] = _mean(lambda k=_kind: x.kl_estimate(k, C.c, C.r))
     ORACLES[f"kl_{_kind}"] = _mean_sql(_sql)
 
 
@@ -76,7 +83,7 @@ def kto_loss(spark: SparkSession, d: str) -> DataFrame:
     rows = pairs(spark, d).withColumn("batch", F.floor(F.col("k") / 100))
     kl = x.batch_kl(F.col("rs"), Window.partitionBy("batch"))
     rows = rows.withColumn("kl", kl)
-    both = {kind: F.round(F.avg(x.kto_loss(kind, _cs, _label, F.col("kl"), 0.1, 1.0, 1.3)), 6).alias(kind) for kind in ("kto", "apo_zero_unpaired")}
+    both = {kind: F.round(F.avg(x.kto_loss(kind, C.cs, C.label, F.col("kl"), 0.1, 1.0, 1.3)), 6).alias(kind) for kind in ("kto", "apo_zero_unpaired")}
     return rows.groupBy("batch").agg(*both.values())
 
 
@@ -88,7 +95,7 @@ def bco_loss(spark: SparkSession, d: str) -> DataFrame:
     rows = pairs(spark, d).withColumn("batch", F.floor(F.col("k") / 100))
     means = rows.groupBy("batch").agg(F.avg(0.1 * F.col("cs")).alias("m"))
     running = means.withColumn("delta", F.avg("m").over(Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.join(running, "batch").groupBy("batch").agg(F.round(F.avg(x.bco_loss(0.1 * F.col("cs"), _label, F.col("delta"))), 6).alias("loss"))
+    return rows.join(running, "batch").groupBy("batch").agg(F.round(F.avg(x.bco_loss(0.1 * F.col("cs"), C.label, F.col("delta"))), 6).alias("loss"))
 
 
 QUERIES["bco_loss"] = bco_loss
@@ -96,7 +103,7 @@ ORACLES["bco_loss"] = f"{_PAIRS}, m as (select k // 100 as batch, avg(0.1::doubl
 
 
 def aot(spark: SparkSession, d: str) -> DataFrame:
-    rows = pairs(spark, d).select(F.floor(F.col("k") / 100).alias("batch"), (_c - _r).alias("a"), (F.col("rc") - F.col("rr")).alias("b"))
+    rows = pairs(spark, d).select(F.floor(F.col("k") / 100).alias("batch"), (C.c - C.r).alias("a"), (F.col("rc") - F.col("rr")).alias("b"))
     return x.rank_joined(rows, "a", "b", "batch").groupBy("batch").agg(F.round(F.avg(x.aot_loss(F.col("a") - F.col("b"), 0.1, 0.1)), 6).alias("loss"))
 
 
@@ -147,7 +154,7 @@ ORACLES["clip_metrics"] = "with " + _SEQ.format(coef="exp(lp - old)", loss="0")
 
 
 def preference_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return pairs(spark, d).groupBy(*_KEYS).agg(F.round(F.avg(0.1 * _cs), 6).alias("chosen"), F.round(F.avg(0.1 * _rs), 6).alias("rejected"), F.round(F.avg((_cs > _rs).cast("int")), 6).alias("accuracy"), F.round(F.avg(0.1 * (_cs - _rs)), 6).alias("margin"))
+    return pairs(spark, d).groupBy(*_KEYS).agg(F.round(F.avg(0.1 * C.cs), 6).alias("chosen"), F.round(F.avg(0.1 * C.rs), 6).alias("rejected"), F.round(F.avg((C.cs > C.rs).cast("int")), 6).alias("accuracy"), F.round(F.avg(0.1 * (C.cs - C.rs)), 6).alias("margin"))
 
 
 QUERIES["preference_metrics"] = preference_metrics

@@ -27,24 +27,24 @@ _V = "e as (select vec_id, label, embedding, unnest(embedding)::double as a, unn
 
 
 def _value(column, name: str = "x", places: int = 6):
-    return lambda s, d: vectors(s, d).select("vec_id", (F.round(column, places) + 0.0).alias(name))
+    return lambda s, d: vectors(s, d).select("vec_id", (F.round(column(), places) + 0.0).alias(name))
 
 
-_add("log_softmax_gather", _value(t.log_softmax_at("a", "label")), f"with {_V} select vec_id, round(max(case when i = label then a end) - ln(sum(exp(a))), 6) + 0.0 as x from v group by vec_id")
-_add("entropy", _value(t.entropy("a")), f"with {_V} select vec_id, round(ln(sum(exp(a))) - sum(a * exp(a)) / sum(exp(a)), 6) + 0.0 as x from v group by vec_id")
-_add("masked_mean", _value(t.masked_mean("a", "m")), f"with {_V} select vec_id, round(sum(a * m) / sum(m), 6) + 0.0 as x from v group by vec_id")
-_add("masked_var", _value(t.masked_var("a", "m")), f"with {_V} select vec_id, round(var_samp(a) filter (where m = 1), 6) + 0.0 as x from v group by vec_id")
+_add("log_softmax_gather", _value(lambda: t.log_softmax_at("a", "label")), f"with {_V} select vec_id, round(max(case when i = label then a end) - ln(sum(exp(a))), 6) + 0.0 as x from v group by vec_id")
+_add("entropy", _value(lambda: t.entropy("a")), f"with {_V} select vec_id, round(ln(sum(exp(a))) - sum(a * exp(a)) / sum(exp(a)), 6) + 0.0 as x from v group by vec_id")
+_add("masked_mean", _value(lambda: t.masked_mean("a", "m")), f"with {_V} select vec_id, round(sum(a * m) / sum(m), 6) + 0.0 as x from v group by vec_id")
+_add("masked_var", _value(lambda: t.masked_var("a", "m")), f"with {_V} select vec_id, round(var_samp(a) filter (where m = 1), 6) + 0.0 as x from v group by vec_id")
 _add("masked_whiten", lambda s, d: vectors(s, d).withColumns({"mu": t.masked_mean("a", "m"), "var": t.masked_var("a", "m")}).select("vec_id", F.expr("round(aggregate(transform(transform(a, x -> (x - mu) / sqrt(var + 1e-8D)), (x, i) -> x * (i + 1)), 0D, (s, x) -> s + x), 4) + 0.0").alias("x")), f"with {_V}, w as (select vec_id, avg(a) filter (where m = 1) as mu, var_samp(a) filter (where m = 1) as va from v group by vec_id) select vec_id, round(sum((a - mu) / sqrt(va + 1e-8) * (i + 1)), 4) + 0.0 as x from v join w using (vec_id) group by vec_id")
 _sum = lambda c: F.aggregate(c, F.lit(0.0), lambda x, y: x + y)
-_add("k3_kl", _value(_sum(t.k3_kl("a", "b"))), f"with {_V} select vec_id, round(sum(exp(a - b) - (a - b) - 1), 6) + 0.0 as x from v group by vec_id")
-_add("is_ratio_token", _value(_sum(t.importance_ratio("a", "b", "m", "token", 1.2))), f"with {_V} select vec_id, round(sum(least(exp((a - b) * m), 1.2::double)), 6) + 0.0 as x from v group by vec_id")
-_add("is_ratio_sequence", _value(t.importance_ratio("a", "b", "m", "sequence", 2.0, "mask")), f"with {_V}, r as (select vec_id, exp(sum((a - b) * m)) as r from v group by vec_id) select vec_id, round(case when r > 2 then 0 else r end, 6) + 0.0 as x from r")
+_add("k3_kl", _value(lambda: _sum(t.k3_kl("a", "b"))), f"with {_V} select vec_id, round(sum(exp(a - b) - (a - b) - 1), 6) + 0.0 as x from v group by vec_id")
+_add("is_ratio_token", _value(lambda: _sum(t.importance_ratio("a", "b", "m", "token", 1.2))), f"with {_V} select vec_id, round(sum(least(exp((a - b) * m), 1.2::double)), 6) + 0.0 as x from v group by vec_id")
+_add("is_ratio_sequence", _value(lambda: t.importance_ratio("a", "b", "m", "sequence", 2.0, "mask")), f"with {_V}, r as (select vec_id, exp(sum((a - b) * m)) as r from v group by vec_id) select vec_id, round(case when r > 2 then 0 else r end, 6) + 0.0 as x from r")
 _add("offpolicy_mask", lambda s, d: vectors(s, d).select("vec_id", t.off_policy_keep("(vec_id % 3 - 1)", "a", "b", "m", 0.01).alias("keep")), f"with {_V} select vec_id, vec_id % 3 - 1 >= 0 or sum((b - a) * m) / greatest(sum(m), 1) <= 0.01::double as keep from v group by vec_id")
 _soft = "transform({0}, x -> x - (array_max({0}) + ln(aggregate(transform({0}, y -> exp(y - array_max({0}))), 0D, (s, y) -> s + y))))"
 _LS = "l as (select vec_id, a - ln(sum(exp(a)) over w) as p, b - ln(sum(exp(b)) over w) as q from v window w as (partition by vec_id))"
 for _beta, _sql in ((0.0, "sum(exp(q) * (q - p))"), (1.0, "sum(exp(p) * (p - q))"), (0.3, "0.3::double * sum(exp(q) * (q - ln(0.7::double * exp(p) + 0.3::double * exp(q)))) + 0.7::double * sum(exp(p) * (p - ln(0.7::double * exp(p) + 0.3::double * exp(q))))")):
     _add(f"jsd_{str(_beta).replace('.', '_')}", (lambda beta: lambda s, d: vectors(s, d).withColumns({"p": F.expr(_soft.format("a")), "q": F.expr(_soft.format("b"))}).select("vec_id", (F.round(t.generalised_jsd("p", "q", beta), 6) + 0.0).alias("x")))(_beta), f"with {_V}, {_LS} select vec_id, round({_sql}, 6) + 0.0 as x from l group by vec_id")
-_add("sorted_l1", _value(t.sorted_l1("a", "slice(transform(a, x -> x * 0.5D), 1, 50)")), f"with {_V}, p as (select vec_id, a, row_number() over (partition by vec_id order by a desc) as r from v), q as (select vec_id, a * 0.5::double as b, row_number() over (partition by vec_id order by a desc) as r from v where i < 50) select p.vec_id, round(sum(abs(a - coalesce(b, 0))), 6) + 0.0 as x from p left join q using (vec_id, r) group by p.vec_id")
+_add("sorted_l1", _value(lambda: t.sorted_l1("a", "slice(transform(a, x -> x * 0.5D), 1, 50)")), f"with {_V}, p as (select vec_id, a, row_number() over (partition by vec_id order by a desc) as r from v), q as (select vec_id, a * 0.5::double as b, row_number() over (partition by vec_id order by a desc) as r from v where i < 50) select p.vec_id, round(sum(abs(a - coalesce(b, 0))), 6) + 0.0 as x from p left join q using (vec_id, r) group by p.vec_id")
 
 
 def user_series(s: SparkSession, d: str) -> DataFrame:
