@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from lodestone.llm.common import table, without_prefix
 from lodestone.llm.textscan import Slice, slices
 
-SAMPLE = 20_000
+SAMPLE = 8_000
 VOCABULARY = 50_000
 _LETTERS = np.zeros(256, bool)
 _LETTERS[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
@@ -189,16 +189,18 @@ def learn(texts: list[str | None], labels: np.ndarray, z: float = 4.0, effect: f
         starts, ends, firsts = s.runs(_LETTERS[s.data])
         h = s.hashes(starts, ends)
         row = s.first + np.repeat(np.arange(s.rows), np.diff(firsts))
-        keep = fit[row]
-        tokens.append(h[keep])
-        owners.append(row[keep])
+        h, row = h[fit[row]], row[fit[row]]
+        # a text counts a token once: long or repetitive texts must not outvote the rest
+        order = np.lexsort((h, row))
+        h, row = h[order], row[order]
+        fresh = np.ones(len(h), bool)
+        fresh[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+        tokens.append(h[fresh])
+        owners.append(row[fresh].astype(np.int32))
     flat, owner = np.concatenate(tokens), np.concatenate(owners)
     if not len(flat):
         return empty
     names, ids = np.unique(flat, return_inverse=True)
-    # a text counts a token once: long or repetitive texts must not outvote the rest
-    pairs = np.unique(ids.astype(np.int64) * len(texts) + owner)
-    ids, owner = pairs // len(texts), pairs % len(texts)
     toxic = np.bincount(ids[labels[owner] == 1], minlength=len(names))
     other = np.bincount(ids[labels[owner] == 0], minlength=len(names))
     delta, score = log_odds(toxic, other, prior)
