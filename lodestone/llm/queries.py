@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontaminate, langmodel, pieces, pii, quality, secrets, setjoin, substrings, toxicity, urls
+from lodestone.llm import decontaminate, langmodel, oracles, pieces, pii, quality, secrets, setjoin, substrings, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": urls.op1_url_filters,
@@ -21,4 +21,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": quality.op10_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_url_filters": oracles.OP1,
+    "op2_ngram_jaccard_join": oracles.OP2,
+    "op6_benchmark_decontamination": oracles.OP6,
+    "op9_substring_dedup": oracles.OP9,
+}
