@@ -37,7 +37,9 @@ from lodestone.llm.common import table, without_prefix
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-REMEMBERED = 200_000
+REMEMBERED = 40_000
+SHORT = 40
+NEVER = 1 << 62
 _NORMAL, _USER, _BYTE = 1, 4, 6
 
 
@@ -46,7 +48,7 @@ class Vocabulary:
     """Pieces of a merge-type model with byte pieces and no normalisation."""
 
     ids: dict[str, int]
-    scores: list[float]
+    rank: dict[str, int]
     bytes_: list[int]
     spelled: list[bytes]
     dummy_prefix: bool
@@ -70,59 +72,88 @@ class Vocabulary:
         spelled = [p.piece.replace(MARK, " ").encode() for p in model.pieces]
         for b, i in by_byte.items():
             spelled[i] = bytes([b])
-        return Vocabulary(ids, [p.score for p in model.pieces], [by_byte[b] for b in range(256)], spelled, model.normalizer_spec.add_dummy_prefix, re.compile(f" *[^ \n{MARK}]+| +|\n|{MARK}"))
+        order = {x: r for r, x in enumerate(sorted({-model.pieces[i].score for i in ids.values()}))}
+        return Vocabulary(ids, {p: order[-model.pieces[i].score] for p, i in ids.items()}, [by_byte[b] for b in range(256)], spelled, model.normalizer_spec.add_dummy_prefix, re.compile(f" *[^ \n{MARK}]+| +|\n|{MARK}"))
 
     def encode_word(self, word: str, rate: float = 0.0, key: int = 0) -> list[int]:
         """Ids of a run of spaces and letters; each candidate merge whose hash under ``key`` falls below ``rate`` is skipped."""
         if word == MARK:
             return [self.bytes_[b] for b in word.encode()]
-        ids, scores = self.ids, self.scores
-        pieces: list[str] = list(word.replace(" ", MARK))
+        bound = int(rate * 2**64)
+        own = xxhash.xxh64_intdigest(word, key) | 1 if bound else 0
+        merge = self._merged_short if len(word) <= SHORT else self._merged_long
+        out: list[int] = []
+        for p in merge(word.replace(" ", MARK), own, bound):
+            k = self.ids.get(p)
+            if k is None:
+                out += [self.bytes_[b] for b in p.encode()]
+            else:
+                out.append(k)
+        return out
+
+    def _merged_short(self, word: str, own: int, bound: int) -> list[str]:
+        """The agenda as a list of the neighbours' ranks: for words of some letters the fastest way to its least."""
+        rank = self.rank.get
+        pieces, starts = list(word), list(range(len(word)))
+        ranks = [rank(a + b, NEVER) for a, b in zip(word, word[1:])]  # noqa: B905
+        while ranks:
+            r = min(ranks)
+            if r == NEVER:
+                break
+            i = ranks.index(r)
+            if bound and own * (r << 33 | starts[i] << 1 | 1) & 0xFFFFFFFFFFFFFFFF < bound:
+                ranks[i] = NEVER
+                continue
+            union = pieces[i] = pieces[i] + pieces.pop(i + 1)
+            del starts[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank(union + pieces[i + 1], NEVER)
+            if i:
+                ranks[i - 1] = rank(pieces[i - 1] + union, NEVER)
+        return pieces
+
+    def _merged_long(self, word: str, own: int, bound: int) -> list[str]:
+        """The same with a heap and links between the pieces: n log n for a word of any length."""
+        rank = self.rank.get
+        pieces = list(word)
         n = len(pieces)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        agenda = [(-scores[k], i, union, i + 1) for i in range(n - 1) if (k := ids.get(union := pieces[i] + pieces[i + 1])) is not None]
+        agenda = [r << 32 | i for i in range(n - 1) if (r := rank(word[i : i + 2])) is not None]
         heapify(agenda)
-        bound = int(rate * 2**64)
         while agenda:
-            _, i, union, j = heappop(agenda)
-            if after[i] != j or pieces[i] + pieces[j] != union:
-                continue  # one of the two has been merged since
-            if bound and xxhash.xxh64_intdigest(f"{i} {j} {union} {word}", key) < bound:
+            entry = heappop(agenda)
+            r, i = entry >> 32, entry & 0xFFFFFFFF
+            left, j = pieces[i], after[i]
+            if not left or j >= n or rank(left + pieces[j]) != r:
+                continue  # merged since
+            if bound and own * (r << 33 | i << 1 | 1) & 0xFFFFFFFFFFFFFFFF < bound:
                 continue
-            pieces[i], pieces[j] = union, ""
+            union = pieces[i] = left + pieces[j]
+            pieces[j] = ""
             k = after[i] = after[j]
-            after[j] = -1
             if k < n:
                 before[k] = i
-                if (s := ids.get(wider := union + pieces[k])) is not None:
-                    heappush(agenda, (-scores[s], i, wider, k))
+                if (r := rank(union + pieces[k])) is not None:
+                    heappush(agenda, r << 32 | i)
             h = before[i]
-            if h >= 0 and (s := ids.get(wider := pieces[h] + union)) is not None:
-                heappush(agenda, (-scores[s], h, wider, i))
-        out: list[int] = []
-        for p in pieces:
-            if p:
-                k = ids.get(p)
-                if k is None:
-                    out += [self.bytes_[b] for b in p.encode()]
-                else:
-                    out.append(k)
-        return out
+            if h >= 0 and (r := rank(pieces[h] + union)) is not None:
+                heappush(agenda, r << 32 | h)
+        return [p for p in pieces if p]
 
-    def encode(self, text: str, rate: float = 0.0, key: int = 0, memory: dict[str, array] | None = None) -> array:
-        """Ids of a text."""
-        memory = {} if memory is None else memory
-        out = array("i")
-        for word in self.words.findall(" " + text if self.dummy_prefix and text else text):
-            known = memory.get(word)
-            if known is None:
-                known = array("i", self.encode_word(word, rate, key))
-                if len(memory) >= REMEMBERED:
-                    memory.clear()
-                if len(word) <= 64:
-                    memory[word] = known
-            out.extend(known)
-        return out
+    def encode(self, text: str, memory: Memory) -> bytes:
+        """Ids of a text as 32-bit numbers."""
+        text = " " + text if self.dummy_prefix and text else text
+        if MARK in text or "  " in text:
+            plain = memory.plain
+            return b"".join([plain[w] for w in self.words.findall(text)])
+        plain, spaced, out = memory.plain, memory.spaced, []
+        for line in text.split("\n"):
+            first, *rest = line.split(" ")
+            if first:
+                out.append(plain[first])
+            out += [spaced[w] for w in rest]
+            out.append(plain["\n"])
+        return b"".join(out[:-1])
 
     def decode(self, ids: list[int] | np.ndarray) -> str:
         """The text of the ids."""
@@ -131,6 +162,39 @@ class Vocabulary:
         return (out[1:] if self.dummy_prefix and out[:1] == b" " else out).decode("utf-8", "replace")
 
 
+class _Words(dict):
+    """Encoded words by word, found when first asked for. When it is full the words of last time are kept until it is full again."""
+
+    def __init__(self, v: Vocabulary, rate: float, key: int, prefix: str):
+        super().__init__()
+        self.encode = lambda w: array("i", v.encode_word(prefix + w, rate, key)).tobytes()
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        out = self.older.get(word)
+        if out is None:
+            out = self.encode(word)
+        if len(self) >= REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+        if len(word) <= SHORT:
+            self[word] = out
+        return out
+
+
+class Memory:
+    """What one segmentation has encoded: words as they stand, and words after one space."""
+
+    def __init__(self, v: Vocabulary, rate: float = 0.0, key: int = 0):
+        self.plain, self.spaced = _Words(v, rate, key, ""), _Words(v, rate, key, " ")
+
+
+@lru_cache(maxsize=8)
+def remembered(model: str, rate: float, key: int) -> Memory:
+    """A worker's memory of one segmentation; it serves one task after another."""
+    return Memory(vocabulary(model), rate, key)
+
+
 @lru_cache(maxsize=4)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary.read(path)
@@ -150,22 +214,20 @@ def with_ids(docs: DataFrame, text: str = "text", key: str = "doc_id", name: str
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
-        memories: dict[int, dict[str, array]] = {}
         for batch in batches:
             chosen = batch.column(batch.num_columns - 2).to_numpy(zero_copy_only=False)
             texts = batch.column(batch.num_columns - 1)
-            flat, bounds, done = array("i"), [0], 0
+            blocks, bounds, done = [], [0], 0
             for i in range(batch.num_rows):
                 t = texts[i].as_py()
                 if t is not None:
-                    k = int(chosen[i]) if rate else 0
-                    flat.extend(v.encode(t, rate, key_of(seed, k), memories.setdefault(k, {})))
-                bounds.append(len(flat))
-                if len(flat) > 2_000_000 or i + 1 == batch.num_rows:  # give on what is there: bounded memory
+                    blocks.append(v.encode(t, remembered(model, rate, key_of(seed, int(chosen[i]) if rate else 0))))
+                bounds.append(bounds[-1] + (len(blocks[-1]) // 4 if t is not None else 0))
+                if bounds[-1] > 2_000_000 or i + 1 == batch.num_rows:  # give on what is there: bounded memory
                     part = slice(done, i + 1)
-                    lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.array(flat, np.int32)), mask=texts[part].is_null())
+                    lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.frombuffer(b"".join(blocks), np.int32)), mask=texts[part].is_null())
                     yield pa.RecordBatch.from_arrays([*[c[part] for c in batch.columns[:-2]], lists], names=schema.fieldNames())
-                    flat, bounds, done = array("i"), [0], i + 1
+                    blocks, bounds, done = [], [0], i + 1
 
     return source.mapInArrow(each, schema)
 

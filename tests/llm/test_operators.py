@@ -273,8 +273,14 @@ def test_pieces(spark):
     plain = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
     v = pieces.vocabulary(pieces.MODEL)
     samples = [t for t in texts(2) if t is not None] + ["", " a  b ", "漢字🙂 x\n\n y", "  lead", "trail  "]
+    memory = pieces.Memory(v)
     for t in samples:
-        assert v.encode(t).tolist() == plain.encode(t)
+        assert np.frombuffer(v.encode(t, memory), np.int32).tolist() == plain.encode(t)
+    r = random.Random(3)
+    for _ in range(500):  # both forms of the agenda make the same merges, with dropout and without
+        w = pieces.MARK + "".join(r.choice("theinganotrés") for _ in range(r.randrange(30)))
+        for bound in (0, 1 << 62):
+            assert v._merged_short(w, 0x9E3779B97F4A7C15, bound) == v._merged_long(w, 0x9E3779B97F4A7C15, bound)
     odd = [*samples, "mark ▁ inside", None, "x" * 5000]
     out = pieces.with_text(pieces.with_ids(docs(spark, list(enumerate(odd))), rate=0.3))
     got = {r.doc_id: r for r in out.collect()}
