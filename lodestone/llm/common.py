@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,6 +59,17 @@ def discard(df: DataFrame | None) -> None:
         there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more.
+
+    Python has to drop its handles first, then the driver's JVM what they held; the files go soon after the second round.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def without_prefix(df: DataFrame, prefix: str) -> DataFrame:
     """``df`` without columns named as an operator names its own: what stood there (from an earlier run, say) is replaced."""
     return df.drop(*[c for c in df.columns if c.startswith(prefix)])

@@ -222,11 +222,17 @@ BASE_FAILED = "_q_n_words < 10 or 100 * _q_n_repeat_words > 20 * _q_n_words"
 
 
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", text: str = "text", keep: list[str] | None = None, **settings) -> tuple[DataFrame, Cutoffs]:
-    """Features, ``_q_base_failed`` and ``_q_kept`` for every document; the features are stored once and used for both passes."""
-    stored = materialise(with_features(docs, text, keep), "quality")
+    """The columns ``keep`` (all by default), features, ``_q_base_failed`` and ``_q_kept`` for every document.
+
+    The features are stored for the thresholds, without the texts; where the texts are kept, a second pass finds them anew.
+    """
+    names = without_prefix(docs, "_q_").columns if keep is None else keep
+    light = list(dict.fromkeys(c for c in (*names, settings.get("key", "doc_id"), stratum) if c != text))
+    stored = materialise(with_features(docs, text, light), "quality")
     cutoffs = fit(stored.where(f"not ({BASE_FAILED})"), labels, stratum, **settings)
     base = F.expr(BASE_FAILED)
-    return stored.withColumns({"_q_base_failed": base, "_q_kept": ~(base | rejected(cutoffs, stratum))}), cutoffs
+    judged = with_features(docs, text, names) if text in names else stored
+    return judged.withColumns({"_q_base_failed": base, "_q_kept": ~(base | rejected(cutoffs, stratum))}), cutoffs
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import discard, materialise, table, without_prefix
+from lodestone.llm.common import discard, materialise, release, table, without_prefix
 from lodestone.llm.components import connected_components
 from lodestone.llm.hasharrays import HashArrays, build
 from lodestone.llm.textscan import mix, slices, windows
@@ -309,14 +309,17 @@ def links(docs: DataFrame, text: str, width: int, t: int) -> DataFrame:
     keyed = segment_keys(docs, text, width, t)
     shared = keyed.select("*", F.min("entity").over(by_key).alias("first"), F.max("entity").over(by_key).alias("last"), F.max("probing").over(by_key).alias("probed"), F.min(F.struct(F.xxhash64("entity"), "entity")).over(by_key)["entity"].alias("pivot"))
     shared = materialise(shared.where("first <> last and probed").drop("first", "last", "probed"), "buckets")
+    del keyed
+    release(docs.sparkSession)
     members = shared.select(F.col("entity").alias("h")).distinct()
     arrays = build(members, members.count(), "bucketed")
     sets = materialise(sets_in(docs, text, width, arrays), "sets")
     met = shared.where("pivot <> entity").select(F.least("pivot", "entity").alias("src"), F.greatest("pivot", "entity").alias("dst")).distinct()
     edges = materialise(_verified(met, sets, t), "links")
+    release(docs.sparkSession)
     parts = materialise(connected_components(edges), "parts")
     for turn in range(PIVOT_ROUNDS):
-        rest = materialise(_open_rows(shared, parts, sets), "open")
+        rest = materialise(_open_rows(shared, parts), "open")
         rank = F.xxhash64(F.lit(turn), "key", "entity")
         pivots = rest.groupBy("key").agg(F.min(F.struct(rank.alias("r"), F.col("entity").alias("p"), F.col("component").alias("c"))).alias("m")).select("key", "m.p", "m.c")
         met = rest.join(pivots, "key").where("component <> c").select(F.least("p", "entity").alias("src"), F.greatest("p", "entity").alias("dst")).distinct()
@@ -325,7 +328,8 @@ def links(docs: DataFrame, text: str, width: int, t: int) -> DataFrame:
         if more.isEmpty():
             break
         parts = _merged(parts, more)
-    rest = materialise(_open_rows(shared, parts, sets), "open")
+        release(docs.sparkSession)
+    rest = materialise(_open_rows(shared, parts).join(sets.select("entity", "bits"), "entity"), "open")
     probes = rest.where("probing").select("key", F.col("entity").alias("src"), F.col("n").alias("b"), F.col("component").alias("cb"), F.col("bits").alias("y"))
     indexed = rest.where("indexed").select("key", F.col("entity").alias("dst"), F.col("n").alias("a"), F.col("component").alias("ca"), F.col("bits").alias("x"))
     apart = " + ".join(f"bit_count(x[{i}] ^ y[{i}])" for i in range(BITMAP_LONGS))
@@ -339,11 +343,11 @@ def links(docs: DataFrame, text: str, width: int, t: int) -> DataFrame:
     return parts
 
 
-def _open_rows(shared: DataFrame, parts: DataFrame, sets: DataFrame) -> DataFrame:
-    """The rows of buckets of more than one component, with component and bitmap."""
+def _open_rows(shared: DataFrame, parts: DataFrame) -> DataFrame:
+    """The rows of buckets of more than one component, with the component."""
     named = shared.select("key", "entity", "n", "indexed", "probing").join(parts.select(F.col("node").alias("entity"), "component"), "entity", "left").withColumn("component", F.coalesce("component", "entity"))
     mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    return named.join(mixed, "key").join(sets.select("entity", "bits"), "entity")
+    return named.join(mixed, "key")
 
 
 def _merged(parts: DataFrame, more: DataFrame) -> DataFrame:
