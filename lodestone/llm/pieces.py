@@ -189,12 +189,6 @@ class Memory:
         self.plain, self.spaced = _Words(v, rate, key, ""), _Words(v, rate, key, " ")
 
 
-@lru_cache(maxsize=8)
-def remembered(model: str, rate: float, key: int) -> Memory:
-    """A worker's memory of one segmentation; it serves one task after another."""
-    return Memory(vocabulary(model), rate, key)
-
-
 @lru_cache(maxsize=4)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary.read(path)
@@ -214,6 +208,7 @@ def with_ids(docs: DataFrame, text: str = "text", key: str = "doc_id", name: str
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
+        memories: dict[int, Memory] = {}  # of this task only: a worker serves other stages too
         for batch in batches:
             chosen = batch.column(batch.num_columns - 2).to_numpy(zero_copy_only=False)
             texts = batch.column(batch.num_columns - 1)
@@ -221,7 +216,10 @@ def with_ids(docs: DataFrame, text: str = "text", key: str = "doc_id", name: str
             for i in range(batch.num_rows):
                 t = texts[i].as_py()
                 if t is not None:
-                    blocks.append(v.encode(t, remembered(model, rate, key_of(seed, int(chosen[i]) if rate else 0))))
+                    k = int(chosen[i]) if rate else 0
+                    if k not in memories:
+                        memories[k] = Memory(v, rate, key_of(seed, k))
+                    blocks.append(v.encode(t, memories[k]))
                 bounds.append(bounds[-1] + (len(blocks[-1]) // 4 if t is not None else 0))
                 if bounds[-1] > 2_000_000 or i + 1 == batch.num_rows:  # give on what is there: bounded memory
                     part = slice(done, i + 1)
