@@ -203,6 +203,21 @@ def test_pii_learns_candidates(spark):
             assert not any(a.s < b.e and b.s < a.e for b in row["_p_base"])
 
 
+def test_pii_finds_what_the_rules_miss(spark):
+    """Planted personal data in forms outside the rules is among the spans; random groups are not."""
+    r = random.Random(6)
+    n = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    words = lambda k: " ".join(r.choice(VOCABULARY[:7]) for _ in range(k))
+    rows = [(i, f"{words(6)} {r.choice([f'+1 ({n(3)}) 555-{n(4)}', f"{r.choice(['ann', 'user', 'first.last'])}{n(2)}@{r.choice(['mail', 'host', 'x'])}{n(1)}.{r.choice(['example.org', 'com'])}", f'10.{n(2)}.2{n(1)}.1{n(1)}', '4111 1111 1111 1111'])} {words(6)}") for i in range(1500)]
+    hidden = {2000: "john [at] example [dot] com", 2001: "(835) 555-6426", 2002: "mary at example dot org", 2003: "10[.]21[.]23[.]17", 2004: "DE89 3704 0044 0532 0130 00", 2005: "4111.1111.1111.1111"}
+    plain = {3000: "71 234 52 18", 3001: "2021-04-17", 3002: "DE12 3704 0044 0532 0130 00", 3003: "3.14.1592"}
+    rows += [(k, f"{words(5)} {v} {words(5)}") for k, v in (hidden | plain).items()]
+    text = dict(rows)
+    got = {x.doc_id: [text[x.doc_id][a.s : a.e] for a in x["_p_extra"]] for x in pii.judge(docs(spark, rows), keep=["doc_id"]).where("doc_id >= 2000").collect()}
+    assert {k: got[k] for k in hidden} == {k: [v] for k, v in hidden.items()}
+    assert {k: got[k] for k in plain} == {k: [] for k in plain}
+
+
 def test_language_model(spark):
     train = ["a b a b c", "A b c", "a a", "b c d e", "c d", None, "", "a b c d"]
     model = langmodel.train(spark.createDataFrame([(t,) for t in train], "text string"))
