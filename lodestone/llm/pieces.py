@@ -2,13 +2,15 @@
 
 The merge-type segmentation of a word starts from its characters and joins, again and again, the neighbouring pieces
 whose union has the best score in the vocabulary (the leftmost of equal ones), by an agenda. With dropout, a candidate
-merge is skipped when it comes up if a keyed hash of (seed, variant, word, place, union) falls below the rate: no state
-is drawn from, so an encoding depends on nothing but its key and can be repeated on any executor. Characters outside the
-vocabulary become byte pieces, so every text decodes to itself. As merges cross neither from a word into the space
-before the next one nor a newline (checked when the vocabulary is read), work is done by word and remembered, in a
-memory of bounded size that only saves time.
-
-A document takes one of ``variants`` segmentations by a hash of its key; another seed (for another epoch) gives others.
+merge is skipped when it comes up if a keyed hash of (seed, document key, position of the word in the document, place,
+rank of the union) falls below the rate: no state is drawn from, so an encoding depends on nothing but its key and can be
+repeated on any executor, and every occurrence of a word is segmented for itself. Characters outside the vocabulary
+become byte pieces, so every text decodes to itself. As merges cross neither from a word into the space before the next
+one nor a newline (checked when the vocabulary is read), work is done by word. What is remembered, in a memory of bounded
+size that only saves time, is the agenda: the candidate merges that come up after given ones were skipped, and where they
+lead. The hashes of each occurrence then say which way it takes.
+
+Another seed (for another epoch) gives other segmentations.
 The vocabulary's path is a parameter; the file has to be in the same place on every worker.
 
 Results for odd input: null text gives null ids, which decode to null; the empty text gives no ids; a null key is a key
@@ -28,7 +30,6 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,8 +38,9 @@ from lodestone.llm.common import table, without_prefix
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-REMEMBERED = 40_000
+REMEMBERED = 100_000
 SHORT = 40
+BLOCK = 50_000
 NEVER = 1 << 62
 _NORMAL, _USER, _BYTE = 1, 4, 6
 
@@ -80,10 +82,13 @@ class Vocabulary:
         if word == MARK:
             return [self.bytes_[b] for b in word.encode()]
         bound = int(rate * 2**64)
-        own = xxhash.xxh64_intdigest(word, key) | 1 if bound else 0
+        own = key | 1 if bound else 0
         merge = self._merged_short if len(word) <= SHORT else self._merged_long
+        return self.ids_of(merge(word.replace(" ", MARK), own, bound))
+
+    def ids_of(self, pieces: list[str]) -> list[int]:
         out: list[int] = []
-        for p in merge(word.replace(" ", MARK), own, bound):
+        for p in pieces:
             k = self.ids.get(p)
             if k is None:
                 out += [self.bytes_[b] for b in p.encode()]
@@ -140,20 +145,56 @@ class Vocabulary:
                 heappush(agenda, r << 32 | h)
         return [p for p in pieces if p]
 
-    def encode(self, text: str, memory: Memory) -> bytes:
-        """Ids of a text as 32-bit numbers."""
+    def traced(self, word: str, skipped: frozenset[int]) -> tuple[list[str], list[int]]:
+        """Pieces of a short word when just the candidates ``skipped`` are, and the codes of the merges made after the last of these, in order."""
+        rank = self.rank.get
+        pieces, starts, codes = list(word), list(range(len(word))), []
+        ranks = [rank(a + b, NEVER) for a, b in zip(word, word[1:])]  # noqa: B905
+        while ranks:
+            r = min(ranks)
+            if r == NEVER:
+                break
+            i = ranks.index(r)
+            code = r << 33 | starts[i] << 1 | 1
+            if code in skipped:
+                ranks[i] = NEVER
+                codes.clear()
+                continue
+            codes.append(code)
+            union = pieces[i] = pieces[i] + pieces.pop(i + 1)
+            del starts[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank(union + pieces[i + 1], NEVER)
+            if i:
+                ranks[i - 1] = rank(pieces[i - 1] + union, NEVER)
+        return pieces, codes
+
+    def encode(self, text: str, memory: Memory, key: int = 0) -> bytes:
+        """Ids of a text as 32-bit numbers. ``key``: of the document, for dropout."""
         text = " " + text if self.dummy_prefix and text else text
+        plain, spaced = memory.plain, memory.spaced
         if MARK in text or "  " in text:
-            plain = memory.plain
-            return b"".join([plain[w] for w in self.words.findall(text)])
-        plain, spaced, out = memory.plain, memory.spaced, []
-        for line in text.split("\n"):
-            first, *rest = line.split(" ")
-            if first:
-                out.append(plain[first])
-            out += [spaced[w] for w in rest]
-            out.append(plain["\n"])
-        return b"".join(out[:-1])
+            found = [plain[w] for w in self.words.findall(text)]
+        else:
+            found = []
+            for line in text.split("\n"):
+                first, *rest = line.split(" ")
+                if first:
+                    found.append(plain[first])
+                found += [spaced[w] for w in rest]
+                found.append(plain["\n"])
+            found.pop()
+        out = [x.out for x in found]
+        bound = memory.bound
+        for first in range(0, len(found) if bound else 0, BLOCK):
+            block = found[first : first + BLOCK]
+            own = _mixed(key, first, len(block))
+            flat = np.frombuffer(b"".join([x.packed for x in block]), np.uint64)
+            word = np.repeat(np.arange(len(block)), np.fromiter((len(x.packed) >> 3 for x in block), np.int64, len(block)))
+            hit = word[flat * own[word] < np.uint64(bound)]
+            for i in hit[np.flatnonzero(np.diff(hit, prepend=-1))].tolist():
+                out[first + i] = memory.dropped(block[i], int(own[i]))
+        return b"".join(out)
 
     def decode(self, ids: list[int] | np.ndarray) -> str:
         """The text of the ids."""
@@ -162,31 +203,85 @@ class Vocabulary:
         return (out[1:] if self.dummy_prefix and out[:1] == b" " else out).decode("utf-8", "replace")
 
 
+def _mixed(key: int, first: int, n: int) -> np.ndarray:
+    """An odd number for each of n positions of a document (splitmix64)."""
+    x = (np.arange(first + 1, first + n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) + np.uint64(key & 0xFFFFFFFFFFFFFFFF)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31) | np.uint64(1)
+
+
+class _Way:
+    """A word with given merges skipped: codes of the merges that follow (packed as 64-bit numbers) and the ids they lead to."""
+
+    __slots__ = ("word", "skipped", "packed", "out", "after")
+
+    def __init__(self, v: Vocabulary, word: str, skipped: frozenset[int] = frozenset(), rate: float = 0.0):
+        self.word, self.skipped, self.after = word, skipped, None
+        if word == MARK or len(word) > SHORT:
+            # the code 0 is below every bound: a long word is merged anew wherever it stands
+            self.packed, self.out = b"" if word == MARK else bytes(8), b"" if rate and word != MARK else array("i", v.encode_word(word)).tobytes()
+            return
+        pieces, codes = v.traced(word.replace(" ", MARK), skipped)
+        self.packed, self.out = array("Q", codes).tobytes(), array("i", v.ids_of(pieces)).tobytes()
+
+
 class _Words(dict):
-    """Encoded words by word, found when first asked for. When it is full the words of last time are kept until it is full again."""
+    """Ways by word, found when first asked for. When the memory is full those of last time are kept until it is full again."""
 
-    def __init__(self, v: Vocabulary, rate: float, key: int, prefix: str):
+    def __init__(self, memory: Memory, prefix: str):
         super().__init__()
-        self.encode = lambda w: array("i", v.encode_word(prefix + w, rate, key)).tobytes()
-        self.older: dict[str, bytes] = {}
+        self.memory, self.prefix = memory, prefix
+        self.older: dict[str, _Way] = {}
 
-    def __missing__(self, word: str) -> bytes:
+    def __missing__(self, word: str) -> _Way:
         out = self.older.get(word)
         if out is None:
-            out = self.encode(word)
-        if len(self) >= REMEMBERED:
-            self.older = dict(self)
-            self.clear()
+            out = _Way(self.memory.v, self.prefix + word, rate=self.memory.rate)
         if len(word) <= SHORT:
+            self.memory.grown()
             self[word] = out
         return out
 
 
 class Memory:
-    """What one segmentation has encoded: words as they stand, and words after one space."""
-
-    def __init__(self, v: Vocabulary, rate: float = 0.0, key: int = 0):
-        self.plain, self.spaced = _Words(v, rate, key, ""), _Words(v, rate, key, " ")
+    """What the agenda of each word gave: words as they stand, and words after one space."""
+
+    def __init__(self, v: Vocabulary, rate: float = 0.0):
+        self.v, self.rate, self.bound, self.held = v, rate, min(int(rate * 2**64), 2**64 - 1), 0
+        self.plain, self.spaced = _Words(self, ""), _Words(self, " ")
+
+    def grown(self) -> None:
+        self.held += 1
+        if self.held >= REMEMBERED:
+            self.held = 0
+            for words in (self.plain, self.spaced):
+                words.older = dict(words)
+                words.clear()
+                for way in words.older.values():
+                    way.after = None
+
+    def dropped(self, way: _Way, own: int) -> bytes:
+        """Ids of an occurrence that skips at least one merge, by its number ``own``."""
+        if len(way.word) > SHORT:
+            return array("i", self.v.encode_word(way.word, self.rate, own)).tobytes()
+        bound = self.bound
+        while True:
+            for code in memoryview(way.packed).cast("Q"):
+                if own * code & 0xFFFFFFFFFFFFFFFF < bound:
+                    break
+            else:
+                return way.out
+            if way.after is None:
+                way.after = {}
+            then = way.after.get(code)
+            if then is None:
+                then = _Way(self.v, way.word, way.skipped | {code})
+                # only one and two skips are common enough to be worth their place
+                if len(then.skipped) <= 2:
+                    self.held += 1
+                    way.after[code] = then
+            way = then
 
 
 @lru_cache(maxsize=4)
@@ -194,32 +289,24 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary.read(path)
 
 
-def key_of(seed: int, variant: int) -> int:
-    return xxhash.xxh64_intdigest(f"{seed}:{variant}")
-
-
-def with_ids(docs: DataFrame, text: str = "text", key: str = "doc_id", name: str = "ids", seed: int = 1, rate: float = 0.1, variants: int = 4, model: str = MODEL, keep: list[str] | None = None) -> DataFrame:
+def with_ids(docs: DataFrame, text: str = "text", key: str = "doc_id", name: str = "ids", seed: int = 1, rate: float = 0.1, model: str = MODEL, keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (all by default) and the ids of each whole text. ``rate`` 0: the plain segmentation."""
     docs = without_prefix(docs, "_v_")
     names = [c for c in (docs.columns if keep is None else keep) if c != name]
-    variant = F.pmod(F.xxhash64(F.lit(seed), F.col(f"`{key}`")), F.lit(variants)).cast("int")
-    source = docs.select(*[F.col(f"`{c}`") for c in names], variant.alias("_v_variant"), F.col(f"`{text}`").cast("string").alias("_v_text"))
-    schema = source.drop("_v_variant", "_v_text").schema.add(name, T.ArrayType(T.IntegerType()))
+    source = docs.select(*[F.col(f"`{c}`") for c in names], F.xxhash64(F.lit(seed), F.col(f"`{key}`")).alias("_v_key"), F.col(f"`{text}`").cast("string").alias("_v_text"))
+    schema = source.drop("_v_key", "_v_text").schema.add(name, T.ArrayType(T.IntegerType()))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
-        memories: dict[int, Memory] = {}  # of this task only: a worker serves other stages too
+        memory = Memory(v, rate)  # of this task only: a worker serves other stages too
         for batch in batches:
-            chosen = batch.column(batch.num_columns - 2).to_numpy(zero_copy_only=False)
+            keys = batch.column(batch.num_columns - 2).to_numpy(zero_copy_only=False)
             texts = batch.column(batch.num_columns - 1)
             blocks, bounds, done = [], [0], 0
             for i in range(batch.num_rows):
                 t = texts[i].as_py()
                 if t is not None:
-                    k = int(chosen[i]) if rate else 0
-                    if k not in memories:
-                        memories[k] = Memory(v, rate, key_of(seed, k))
-                    blocks.append(v.encode(t, memories[k]))
+                    blocks.append(v.encode(t, memory, int(keys[i])))
                 bounds.append(bounds[-1] + (len(blocks[-1]) // 4 if t is not None else 0))
                 if bounds[-1] > 2_000_000 or i + 1 == batch.num_rows:  # give on what is there: bounded memory
                     part = slice(done, i + 1)
