@@ -36,7 +36,7 @@ _ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _WEAK_ID = re.compile(r"(?<![A-Za-z0-9])(?:A(?:KIA|SIA|IDA|ROA)[A-Z0-9]{8,}|(?i:(?:client|account|access_key|key)_?id)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_-]{6,})")
-_WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
+_WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 _ENDPOINT = re.compile(r"[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s\"'<>]+|(?i:(?:endpoint|host|server)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.-]+\.[A-Za-z]{2,}(?::[0-9]+)?)")
 _SCOPE_END = re.compile(r"\n[\x20\t\r]*\n")
 
