@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
-import time
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or, where that is unset (tests on one machine), a new one."""
+    """The folder that all executors share, with its scheme: spark.checkpoint.dir, or, where that is unset (tests on one machine), a new one.
+
+    A path without a scheme is one of the cluster's default file system, as Spark itself takes it.
+    """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
@@ -33,7 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
         named = f"file://{own}"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
-    return named.rstrip("/")
+    path = spark._jvm.org.apache.hadoop.fs.Path(named)
+    return path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
 def scratch(spark: SparkSession, label: str) -> str:
@@ -54,20 +59,13 @@ def discard(df: DataFrame | None) -> None:
     """Delete what ``materialise`` wrote for ``df``, once nothing reads it any more."""
     path = getattr(df, "_lodestone_path", None)
     if path:
-        spark = df.sparkSession
-        there = spark._jvm.org.apache.hadoop.fs.Path(path)
-        there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
-
+        remove(df.sparkSession, path)
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more.
 
-    Python has to drop its handles first, then the driver's JVM what they held; the files go soon after the second round.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.5)
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared one."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
 
 
 def without_prefix(df: DataFrame, prefix: str) -> DataFrame:
@@ -83,3 +81,26 @@ def ascii_lower(c: Column) -> Column:
 def fold(spark: SparkSession) -> int:
     """Partitions for a keyed exchange, as the session has them."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Columns of batches sorted by their first column, one value of it at a time."""
+    now, held = None, []
+    for batch in batches:
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        edges = np.concatenate(([0], np.flatnonzero(columns[0][1:] != columns[0][:-1]) + 1, [batch.num_rows]))
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if a == b:
+                continue
+            if columns[0][a] != now and held:
+                yield int(now), [np.concatenate(c) for c in zip(*held, strict=True)]
+                held = []
+            now = columns[0][a]
+            held.append([c[a:b] for c in columns[1:]])
+    if held:
+        yield int(now), [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
+def joined(blocks: np.ndarray, dtype: str) -> np.ndarray:
+    """Blocks of bytes as one array."""
+    return np.frombuffer(b"".join(blocks), dtype)

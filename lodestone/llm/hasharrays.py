@@ -2,34 +2,36 @@
 
 A table is cut by the top bits of the hash into shards of bounded size, each sorted by the task that owns it and put in
 place with an atomic rename, so a repeated or speculative task does no harm. Beside the hashes stand any number of
-payload arrays. Workers map the files of a shard when they first need it; where the shared folder is not a mounted file
-system the shard is read into memory instead.
+payload arrays. A manifest, written by the driver when all shards are there, has the rows of each: a shard that it names
+and that is missing or short is an error, never an empty one. Workers map the files of a shard when they first need it;
+where the shared folder is not a mounted file system, shards are read into memory, the least used ones let go beyond
+``HELD_BYTES``.
 """
 
 from __future__ import annotations
 
 import os
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import scratch
+from lodestone.llm.common import remove, scratch
 
 SHARD_ROWS = 1 << 20
+HELD_BYTES = 64 << 20
 
 
 def _store(uri: str) -> tuple[fs.FileSystem, str, bool]:
-    """File system, path and whether the path can be mapped."""
+    """File system, path and whether the path can be mapped. ``uri`` has a scheme (``common.shared_dir`` sees to it)."""
     if uri.startswith("file:"):
         return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/"), True
-    if uri.startswith("/"):
-        return fs.LocalFileSystem(), uri, True
     system, path = fs.FileSystem.from_uri(uri)
     return system, path, False
 
@@ -47,12 +49,15 @@ def save(uri: str, name: str, values: np.ndarray) -> None:
         system.move(temporary, f"{path}/{name}")
 
 
-def load(uri: str, name: str, dtype: str) -> np.ndarray:
-    """An array that ``save`` wrote; empty where there is none."""
+def load(uri: str, name: str, dtype: str, rows: int | None = None) -> np.ndarray:
+    """An array that ``save`` wrote. A missing one, or one not of ``rows`` values where that is given, is an error."""
     system, path, local = _store(uri)
     at = f"{path}/{name}"
     info = system.get_file_info(at)
-    if info.type == fs.FileType.NotFound or not info.size:
+    size = np.dtype(dtype).itemsize
+    if info.type == fs.FileType.NotFound or rows is not None and info.size != rows * size:
+        raise FileNotFoundError(f"{uri}/{name} is missing or incomplete")
+    if not info.size:
         return np.zeros(0, dtype)
     if local:
         return np.memmap(at, dtype, "r")
@@ -68,18 +73,50 @@ class HashArrays:
     bits: int
     payload: dict[str, str]
     rows: int
-    _open: dict[int, tuple] = field(default_factory=dict)
+    _open: OrderedDict = field(default_factory=OrderedDict)
+    _sizes: np.ndarray | None = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_open": {}}
+        return self.__dict__ | {"_open": OrderedDict(), "_sizes": None}
 
     def only(self, *columns: str) -> HashArrays:
         """The same arrays with some of the payload."""
         return HashArrays(self.uri, self.bits, {c: self.payload[c] for c in columns}, self.rows)
 
+    def seal(self, written: DataFrame) -> HashArrays:
+        """Runs ``written``, whose tasks write the shards and give (shard, n), and notes the rows of every shard.
+
+        The driver sees one number a shard of about a million rows.
+        """
+        sizes = np.zeros(1 << self.bits, np.uint64)
+        for r in written.select("shard", "n").toLocalIterator():
+            sizes[r.shard] = r.n
+        self.rows = int(sizes.sum())
+        save(self.uri, "sizes", sizes)
+        return self
+
+    def discard(self) -> None:
+        """Delete the files, once nothing reads them any more."""
+        remove(SparkSession.active(), self.uri)
+
+    def size(self, k: int) -> int:
+        if self._sizes is None:
+            self._sizes = load(self.uri, "sizes", "u8", 1 << self.bits)
+        return int(self._sizes[k])
+
     def shard(self, k: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         if k not in self._open:
-            self._open[k] = load(self.uri, f"{k}.hash", "u8"), {c: load(self.uri, f"{k}.{c}", t) for c, t in self.payload.items()}
+            n = self.size(k)
+            if n:
+                self._open[k] = load(self.uri, f"{k}.hash", "u8", n), {c: load(self.uri, f"{k}.{c}", t, n) for c, t in self.payload.items()}
+            else:
+                self._open[k] = np.zeros(0, np.uint64), {c: np.zeros(0, t) for c, t in self.payload.items()}
+            held = sum(a.nbytes for h, p in self._open.values() for a in (h, *p.values()) if not isinstance(a, np.memmap))
+            while held > HELD_BYTES and len(self._open) > 1:
+                h, p = self._open.popitem(last=False)[1]
+                held -= sum(a.nbytes for a in (h, *p.values()) if not isinstance(a, np.memmap))
+        else:
+            self._open.move_to_end(k)
         return self._open[k]
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
@@ -90,16 +127,10 @@ class HashArrays:
             return known, out
         order = np.argsort(hashes)  # neighbours in the files are read together
         ranked = hashes[order]
-        if self.bits:
-            edges = np.searchsorted(ranked, np.arange(1, 1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits))
-            edges = [0, *edges.tolist(), len(ranked)]
-        else:
-            edges = [0, len(ranked)]
-        for k in range(1 << self.bits):
-            a, b = edges[k], edges[k + 1]
-            if a == b:
-                continue
-            values, payload = self.shard(k)
+        shards = ranked >> np.uint64(64 - self.bits) if self.bits else np.zeros(len(ranked), np.uint64)
+        edges = np.flatnonzero(np.diff(shards)) + 1
+        for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(ranked)], strict=True):
+            values, payload = self.shard(int(shards[a]))
             if not len(values):
                 continue
             at = np.searchsorted(values, ranked[a:b])
@@ -112,31 +143,53 @@ class HashArrays:
         return known, out
 
 
+def shard_bits(rows: int, most: int = SHARD_ROWS) -> int:
+    """How many bits of the hash tell shards of about ``most`` rows apart."""
+    return max(0, int(np.ceil(np.log2(rows / most)))) if rows > most else 0
+
+
+def write_shard(arrays: HashArrays, k: int, hashes: np.ndarray, payload: dict[str, np.ndarray]) -> int:
+    """Sort and store a whole shard; gives its rows."""
+    order = np.argsort(hashes)
+    for c, t in arrays.payload.items():
+        save(arrays.uri, f"{k}.{c}", payload[c][order].astype(t))
+    save(arrays.uri, f"{k}.hash", hashes[order])
+    return len(hashes)
+
+
+def told(k: int, n: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([n], pa.int64())], names=["shard", "n"])
+
+
 def build(df: DataFrame, rows: int, label: str, payload: dict[str, str] | None = None) -> HashArrays:
     """Arrays of ``df``: a bigint column ``h`` without repetitions and the payload columns (name: numpy type). ``rows``: about how many."""
     payload = payload or {}
     spark = df.sparkSession
-    bits = max(0, int(np.ceil(np.log2(max(1, rows) / SHARD_ROWS)))) if rows > SHARD_ROWS else 0
+    bits = shard_bits(rows)
     shards = 1 << bits
     arrays = HashArrays(scratch(spark, label), bits, payload, rows)
     shard = F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0).cast("long")
-    placed = df.select(F.col("h").cast("long").alias("h"), *payload).withColumn("_shard", shard).repartition(max(1, min(shards, 4096)), "_shard")
+    placed = df.select(F.col("h").cast("long").alias("h"), *payload).withColumn("_shard", shard).repartition(max(1, min(shards, 4096)), "_shard").sortWithinPartitions("_shard")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[list[np.ndarray]]] = {}
+        now, held = None, []
+
+        def flush() -> pa.RecordBatch:
+            joined = [np.concatenate(c) for c in zip(*held, strict=True)]
+            return told(now, write_shard(arrays, now, joined[0].view(np.uint64), dict(zip(payload, joined[1:], strict=True))))
+
         for batch in batches:
             columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            for k in np.unique(columns[-1]):
-                mine = columns[-1] == k
-                held.setdefault(int(k), []).append([c[mine] for c in columns[:-1]])
-        for k, parts in held.items():
-            joined = [np.concatenate(c) for c in zip(*parts, strict=True)]
-            hashes = joined[0].view(np.uint64)
-            order = np.argsort(hashes)
-            for (c, t), values in zip(payload.items(), joined[1:], strict=True):
-                save(arrays.uri, f"{k}.{c}", values[order].astype(t))
-            save(arrays.uri, f"{k}.hash", hashes[order])
-        yield pa.RecordBatch.from_arrays([pa.array([sum(len(p[0]) for parts in held.values() for p in parts)])], names=["n"])
-
-    arrays.rows = placed.mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
-    return arrays
+            edges = [0, *(np.flatnonzero(np.diff(columns[-1])) + 1).tolist(), batch.num_rows]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if a == b:
+                    continue
+                if now is not None and columns[-1][a] != now:
+                    yield flush()
+                    held = []
+                now = int(columns[-1][a])
+                held.append([c[a:b] for c in columns[:-1]])
+        if held:
+            yield flush()
+
+    return arrays.seal(placed.mapInArrow(write, "shard long, n long"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialise, scratch, table, without_prefix
+from lodestone.llm.common import by_part, joined, materialise, scratch, table, without_prefix
 from lodestone.llm.hasharrays import SHARD_ROWS, HashArrays, load, save
 from lodestone.llm.textscan import Slice, mix, slices
 
@@ -150,7 +150,7 @@ def _store_words(vocabulary: DataFrame, distinct: int) -> HashArrays:
     shard = F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0).cast("long")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, (h, c) in _by_part(batches):
+        for k, (h, c) in by_part(batches):
             order = np.argsort(h.view(np.uint64))
             save(arrays.uri, f"{k}.c", c[order])
             save(arrays.uri, f"{k}.id", (np.arange(len(h)) + (k << PLACE_BITS)).astype(np.uint32))
@@ -162,24 +162,6 @@ def _store_words(vocabulary: DataFrame, distinct: int) -> HashArrays:
     return arrays
 
 
-def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """Columns of batches sorted by their first column, one value of it at a time."""
-    now, held = None, []
-    for batch in batches:
-        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        edges = np.concatenate(([0], np.flatnonzero(columns[0][1:] != columns[0][:-1]) + 1, [batch.num_rows]))
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            if a == b:
-                continue
-            if columns[0][a] != now and held:
-                yield int(now), [np.concatenate(c) for c in zip(*held, strict=True)]
-                held = []
-            now = columns[0][a]
-            held.append([c[a:b] for c in columns[1:]])
-    if held:
-        yield int(now), [np.concatenate(c) for c in zip(*held, strict=True)]
-
-
 def _blocks(part: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
     """Rows sorted by part as one row for each part, the columns as bytes."""
     edges = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]))
@@ -189,10 +171,6 @@ def _blocks(part: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=["part", *columns])
 
 
-def _joined(blocks: np.ndarray, dtype: str) -> np.ndarray:
-    return np.frombuffer(b"".join(blocks), dtype)
-
-
 def _pair_blocks(docs: DataFrame, text: str, words: HashArrays, parts: int) -> DataFrame:
     """(part, keys, counts): the pairs of the texts, counted by task."""
     numbers = words.only("id")
@@ -229,8 +207,8 @@ def _store_pairs(blocks: DataFrame, pairs: HashArrays, parts: int) -> DataFrame:
     """Writes each part's pairs; gives (part, ids, n1, n2, n3, before) by shard of the vocabulary: part -1 has counts of counts, -2 the start."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, (key_blocks, count_blocks) in _by_part(batches):
-            keys, counts = _grouped(_joined(key_blocks, "u8"), _joined(count_blocks, "u4").astype(np.int64))
+        for k, (key_blocks, count_blocks) in by_part(batches):
+            keys, counts = _grouped(joined(key_blocks, "u8"), joined(count_blocks, "u4").astype(np.int64))
             h = mix(keys)
             order = np.argsort(h)
             save(pairs.uri, f"{k}.c", counts[order].astype(np.uint32))
@@ -252,9 +230,9 @@ def _store_stats(reports: DataFrame, words: HashArrays) -> DataFrame:
     """Sums the reports by shard and stores them; gives rows (part, a, b, c, d): numbers for the model."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, columns in _by_part(batches):
-            ids = _joined(columns[0], "u4")
-            values = [_joined(c, "u4").astype(np.int64) for c in columns[1:]]
+        for k, columns in by_part(batches):
+            ids = joined(columns[0], "u4")
+            values = [joined(c, "u4").astype(np.int64) for c in columns[1:]]
             if k < 0:
                 told = [int(v.sum()) for v in values]
             else:

@@ -4,17 +4,21 @@ A document is the set of its distinct word shingles, as 64-bit hashes. Documents
 start. Two sets of sizes a <= b with Jaccard at least t differ in at most H(a + b) elements. Sizes fall into bands; the
 smaller set of a pair is indexed in its own band, the larger one probes its own band and those below that can hold a
 partner. In each band the universe of shingles is dealt by hash into m segments: if the pair differs in at most H
-elements, then of any segments whose allowances (an exact match counts 1, a match up to one deletion counts 2) add up to
-H + 1 at least one matches within its allowance. The allocation goes by cost. For a band: the number of segments m and
-of those that also index their one-deletion neighbourhoods, from the expected number of keys and of accidental matches.
-For a document: it probes just as many of its segments as its own H needs, the fullest first (the rarest keys), takes
-one-deletion probes only for want of non-empty segments, and probes empty segments last of all.
-
-Entities that share a key are a bucket. Pairs within a bucket are not listed: first each meets the bucket's pivot; what
-that links is one component. Buckets of several components get other pivots, one for each bucket, as long as that links
-more. Then only pairs of different components meet, and only those whose parity bitmaps (a lower
-bound of the difference of two sets) admit a link. Every accepted link is verified on the whole sets; no pair that could
-join two components is left untested, so the components are exact (up to 64-bit collisions).
+elements, then of any segments of the larger set whose allowances (an exact match counts 1, a match up to one deletion
+counts 2) add up to H + 1 at least one matches within its allowance. The allocation goes by cost, twice. For a band: the
+number of segments m and of those that also index their one-deletion neighbourhoods, from the expected number of keys and
+of accidental matches. For a document: all keys are counted first, over the whole corpus, and it probes just as many of
+its segments as its own H needs, those of the fewest sets first. Most documents have enough segments that no other set
+has, and probe nothing. Empty segments are never keys. A set whose non-empty segments cannot add up (it is small, or its
+elements fell together) probes H + 1 of its shingles by themselves, one of which every partner has.
+
+Entities that share a probed key are a bucket. Pairs within a bucket are not listed: first each meets the bucket's pivot;
+what that links is one component. Buckets of several components get other pivots, one for each bucket, as long as that
+links more. Then buckets that still have several are cut into blocks of bounded size, and pairs of blocks are compared
+with array operations: only pairs of different components whose parity bitmaps (a lower bound of the difference of two
+sets) admit a link go on. Every accepted link is verified on the whole sets; no pair that could join two components is
+left untested, so the components are exact (up to 64-bit collisions). Links are within components, so the links of a
+document are counted there, again by pairs of blocks, as products of incidence matrices; ``linked_pairs`` writes them out.
 
 Results for odd input: null or empty text, or text without a word, is an empty set, linked with nothing; fewer words than
 a shingle make one shingle of the whole sequence; equal texts and repeated rows are one component; a null id takes part,
@@ -31,12 +35,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import discard, materialise, release, table, without_prefix
+from lodestone.llm.common import by_part, discard, joined, materialise, scratch, table, without_prefix
 from lodestone.llm.components import connected_components
-from lodestone.llm.hasharrays import HashArrays, build
+from lodestone.llm.hasharrays import HashArrays, build, shard_bits, told, write_shard
 from lodestone.llm.textscan import mix, slices, windows
 
 BAND_RATIO = 1.5
@@ -148,72 +152,83 @@ def bands(largest: int, t: int) -> tuple[Band, ...]:
     return tuple(out)
 
 
-def keys_of(shingles: np.ndarray, bounds: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Rows (set, key, indexed, probing) of the sets' segments."""
+@dataclass
+class Cells:
+    """Non-empty segments of some sets in one band, and the one-deletion variants of the loose ones among them.
+
+    A cell belongs to the set ``row``; ``keys`` are the exact keys of the cells. ``owner`` is the cell of each variant. A
+    loose segment of one element has no variant: the empty segment it leaves is never a key.
+    """
+
+    row: np.ndarray
+    keys: np.ndarray
+    owner: np.ndarray
+    variants: np.ndarray
+    #: what the set needs of matching segments, and whether the band is its own (it is indexed there)
+    needed: np.ndarray
+    own: bool
+
+
+def cells_of(shingles: np.ndarray, bounds: np.ndarray, t: int) -> Iterator[Cells]:
+    """The cells of the sets in their own band and in those below that can hold a partner. ``needed`` is by set."""
     sizes = np.diff(bounds)
-    out: list[tuple] = []
     if not len(sizes) or not sizes.max():
-        return (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, bool))
+        return
     for band in bands(int(sizes.max()), t):
         if not difference(band.high - 1 + (band.high - 1) * 100 // t, t):
             continue  # only equal sets link here, and they are one entity
         most = (band.high - 1) * 100 // t
         own = np.flatnonzero((sizes >= band.low) & (sizes < band.high))
         above = np.flatnonzero((sizes >= band.high) & (sizes <= most))
-        for chosen, index in ((own, True), (above, False)):
-            # in pieces of bounded size: the work arrays are as long as sets times segments
-            for piece in np.array_split(chosen, max(1, len(chosen) * band.segments // 400_000)) if len(chosen) else []:
+        for chosen, mine in ((own, True), (above, False)):
+            # in pieces of bounded size
+            for piece in np.array_split(chosen, max(1, int(sizes[chosen].sum()) // 400_000)) if len(chosen) else []:
                 if len(piece):
-                    out += _band_rows(shingles, bounds, piece, band, index, t)
-    if not out:
-        return (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, bool))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+                    yield _band_cells(shingles, bounds, piece, band, mine, t)
 
 
-def _band_rows(shingles: np.ndarray, bounds: np.ndarray, chosen: np.ndarray, band: Band, index: bool, t: int) -> list[tuple]:
+def _band_cells(shingles: np.ndarray, bounds: np.ndarray, chosen: np.ndarray, band: Band, own: bool, t: int) -> Cells:
     sizes = (bounds[1:] - bounds[:-1])[chosen]
-    m, n = band.segments, len(chosen)
+    m = band.segments
     take = np.repeat(bounds[chosen] - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
     tokens = shingles[take]
-    row = np.repeat(np.arange(n), sizes)
     spread = mix(tokens ^ _U(band.number * 0x9E3779B9 + 77))
     segment = ((spread >> _U(32)) * _U(m) >> _U(32)).astype(np.int64)
-    cell = row * m + segment
+    cell = np.repeat(np.arange(len(chosen)), sizes) * m + segment
     order = np.argsort(cell, kind="stable")
-    cells, weights = cell[order], mix(tokens[order] ^ _U(0x5DEECE66D))
-    edges = np.searchsorted(cells, np.arange(n * m + 1))
-    content, filled = _sums(weights, edges), np.diff(edges).reshape(n, m)
-    name = mix(np.arange(m, dtype=np.uint64) + _U(band.number << 32))
-    exact = mix(content + np.tile(name, n)).reshape(n, m)
-    allowed = np.array([difference(int(b) + min(int(b), band.high - 1), t) for b in sizes]) + 1
-    # the fullest segments first; ties by number
-    ranked = np.argsort(-filled, axis=1, kind="stable")
-    place = np.empty_like(ranked)
-    np.put_along_axis(place, ranked, np.broadcast_to(np.arange(m), (n, m)), axis=1)
-    full = (filled > 0).sum(axis=1)
-    short = np.maximum(0, allowed - full)
-    loose = np.minimum(short, band.loose)  # so many one-deletion probes make up for missing segments
-    probing = place < np.minimum(allowed - loose, m)[:, None]
-    softened = np.arange(m)[None, :] < loose[:, None]
-    # a loose segment counts 2 only where it is probed; where it was not, probing it counts for both
-    probing |= softened
-    gained = probing.sum(axis=1) + loose
-    while (lacking := (gained < allowed) & (probing.sum(axis=1) < m)).any():
-        for i in np.flatnonzero(lacking):
-            probing[i, ranked[i][~probing[i, ranked[i]]][0]] = True
-        gained = probing.sum(axis=1) + loose
-    if (gained < allowed).any():  # every segment is probed: loosen further ones, all of which are indexed so
-        raise AssertionError("a band has too few segments")
-    where = np.nonzero(probing if not index else np.ones_like(probing))
-    rows = [(chosen[where[0]], exact[where], np.full(len(where[0]), index), probing[where])]
-    # one-deletion neighbourhoods: of loose segments when indexed, of softened ones when probing
-    each_row, each_segment = cells // m, cells % m
-    wanted = (each_segment < band.loose) if index else softened[each_row, each_segment]
-    if wanted.any():
-        r, s = each_row[wanted], each_segment[wanted]
-        variant = mix(content[cells[wanted]] - weights[wanted] + name[s])
-        rows.append((chosen[r], variant, np.full(len(r), index), softened[r, s]))
-    return rows
+    cell, weights = cell[order], mix(tokens[order] ^ _U(0x5DEECE66D))
+    begin = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+    filled = np.diff(np.append(begin, len(cell)))
+    content = np.add.reduceat(weights, begin)
+    row, seg = np.divmod(cell[begin], m)
+    name = mix(np.arange(m, dtype=np.uint64) + _U(band.number << 32))[seg]
+    loose = np.repeat((seg < band.loose) & (filled >= 2), filled)
+    owner = np.repeat(np.arange(len(begin)), filled)[loose]
+    variants = mix(content[owner] - weights[loose] + name[owner])
+    needed = np.zeros(len(bounds) - 1, np.int64)
+    needed[chosen] = (sizes + np.minimum(sizes, band.high - 1)) * (100 - t) // (100 + t) + 1
+    return Cells(chosen[row], mix(content + name), owner, variants, needed, own)
+
+
+def probes(cells: Cells, cost: np.ndarray, variant_cost: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which cells are probed, which are probed with their variants too, and the sets that their cells cannot cover.
+
+    The costs are the numbers of sets that have the keys. A probed cell counts 1, with variants 1 more; the cheapest are
+    taken until a set has what it needs.
+    """
+    soft = np.bincount(cells.owner, variant_cost, minlength=len(cells.keys))
+    able = np.flatnonzero(np.bincount(cells.owner, minlength=len(cells.keys)) > 0)
+    cell = np.concatenate((np.arange(len(cells.keys)), able))
+    price = np.concatenate((cost, soft[able] + cost[able]))
+    row = cells.row[cell]
+    order = np.lexsort((cell, price, row))
+    first = np.searchsorted(row[order], row[order])
+    taken = order[np.arange(len(order)) - first < cells.needed[row[order]]]
+    exact, softened = np.zeros(len(cells.keys), bool), np.zeros(len(cells.keys), bool)
+    exact[cell[taken]] = True
+    softened[cell[taken[taken >= len(cells.keys)]]] = True
+    offered = np.bincount(row, minlength=len(cells.needed))
+    return exact, softened, np.flatnonzero(offered < cells.needed)
 
 
 # ------------------------------------------------------------------ join
@@ -245,26 +260,279 @@ def entities(docs: DataFrame, text: str, width: int, keep: list[str]) -> DataFra
     return source.mapInArrow(each, schema)
 
 
-def segment_keys(docs: DataFrame, text: str, width: int, t: int) -> DataFrame:
-    """(key, entity, n, indexed, probing) of every set; repeated sets of a batch are written once."""
+PART_KEYS = 2_000_000
+_FLUSH = 1_000_000
+_LONE = _U(0x6C6F6E65)
+
+
+def _distinct_sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids, shingles and bounds of the sets of a batch, repeated and empty ones once and not at all."""
+    seen = np.zeros(0, np.uint64)
+    for _, shingles, bounds in sets_of(batch.column(0), width):
+        ids, sizes = entity_ids(shingles, bounds), np.diff(bounds)
+        once = np.zeros(len(ids), bool)
+        once[np.unique(ids, return_index=True)[1]] = True
+        once &= ~np.isin(ids, seen) & (sizes > 0)
+        seen = np.concatenate((seen, ids[once]))
+        yield ids[once], shingles[np.repeat(once, sizes)], np.concatenate(([0], np.cumsum(sizes[once])))
+
+
+def counted_keys(docs: DataFrame, text: str, width: int, t: int, expected: int) -> HashArrays:
+    """Sorted arrays of the keys that more than one set has, with the number of sets (payload n).
+
+    A key is sent as 32 bits within its part, with 32 bits that stand for the set under this key. Two keys that fall
+    together are counted together, which makes them look dearer and loses nothing.
+    """
+    bits = shard_bits(expected, PART_KEYS)
+    arrays = HashArrays(scratch(docs.sparkSession, "shared-keys"), bits, {"n": "u4"}, 0)
+    shift = _U(64 - bits) if bits else None
+
+    def flush(held: list[np.ndarray], parts: np.ndarray) -> pa.RecordBatch:
+        both = np.concatenate(held)
+        order = np.argsort(parts, kind="stable")
+        both, parts = both[order], parts[order]
+        edges = np.concatenate(([0], np.flatnonzero(parts[1:] != parts[:-1]) + 1, [len(parts)]))
+        blocks = [np.unique(both[a:b]).tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(parts[edges[:-1]].astype(np.int64)), pa.array(blocks, pa.binary())], names=["part", "rows"])
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, parts, size = [], [], 0
+        for batch in batches:
+            for ids, shingles, bounds in _distinct_sets(batch, width):
+                for cells in cells_of(shingles, bounds, t):
+                    row = np.concatenate((cells.row, cells.row[cells.owner]))
+                    keys = np.concatenate((cells.keys, cells.variants))
+                    low = (keys << _U(bits)) >> _U(32)
+                    held.append(low << _U(32) | mix(ids[row] ^ keys) >> _U(32))
+                    parts.append(keys >> shift if bits else np.zeros(len(keys), np.uint64))
+                    size += len(keys)
+                    if size > _FLUSH:
+                        yield flush(held, np.concatenate(parts))
+                        held, parts, size = [], [], 0
+        if size:
+            yield flush(held, np.concatenate(parts))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, (blocks,) in by_part(batches):
+            low = np.unique(joined(blocks, "u8")) >> _U(32)
+            begin = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
+            n = np.diff(np.append(begin, len(low)))
+            often = n >= 2
+            keys = low[begin[often]] << _U(32 - bits)
+            if bits:
+                keys |= _U(k) << shift
+            if often.any():
+                yield told(k, write_shard(arrays, k, keys, {"n": n[often]}))
+
+    sent = docs.select(F.col(f"`{text}`").cast("string")).mapInArrow(send, "part long, rows binary")
+    return arrays.seal(sent.repartition(1 << bits, "part").sortWithinPartitions("part").mapInArrow(count, "shard long, n long"))
+
+
+def bucket_rows(docs: DataFrame, text: str, width: int, t: int, counts: HashArrays) -> DataFrame:
+    """(key, entity, n, indexed, probing, lone) of the keys that more than one set has, once for each set.
+
+    ``lone``: a shingle of a set whose segments cannot cover what it needs; any of so many of its shingles that one must
+    be in every partner.
+    """
+    mask = ~((_U(1) << _U(32 - counts.bits)) - _U(1))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen = np.zeros(0, np.uint64)
-            for _, shingles, bounds in sets_of(batch.column(0), width):
-                ids = entity_ids(shingles, bounds)
+            for ids, shingles, bounds in _distinct_sets(batch, width):
                 sizes = np.diff(bounds)
-                once = np.zeros(len(ids), bool)
-                once[np.unique(ids, return_index=True)[1]] = True
-                once &= ~np.isin(ids, seen)
-                seen = np.concatenate((seen, ids[once]))
-                flat = np.repeat(once, sizes)
-                shingles, bounds = shingles[flat], np.concatenate(([0], np.cumsum(sizes[once])))
-                row, key, indexed, probing = keys_of(shingles, bounds, t)
-                if len(row):
-                    yield pa.RecordBatch.from_arrays([_signed(key), _signed(ids[once][row]), pa.array(sizes[once][row].astype(np.int32)), pa.array(indexed), pa.array(probing)], names=["key", "entity", "n", "indexed", "probing"])
+                for cells in cells_of(shingles, bounds, t):
+                    n = counts.find(np.concatenate((cells.keys, cells.variants)) & mask)[1]["n"].astype(np.int64)
+                    cost, variant_cost = n[: len(cells.keys)], n[len(cells.keys) :]
+                    exact, softened, lone = probes(cells, cost, variant_cost)
+                    row = np.concatenate((cells.row, cells.row[cells.owner]))
+                    keys = np.concatenate((cells.keys, cells.variants))
+                    probing = np.concatenate((exact, softened[cells.owner]))
+                    sent = (n >= 2) & (probing | cells.own)
+                    alone = [(i, mix(shingles[bounds[i] : bounds[i] + difference(2 * sizes[i], t) + 1] ^ _LONE)) for i in lone.tolist()]
+                    at = np.concatenate((row[sent], *[np.full(len(k), i) for i, k in alone])).astype(np.int64)
+                    more = sum(len(k) for _, k in alone)
+                    flags = [np.concatenate((x, np.full(more, y))) for x, y in ((np.full(sent.sum(), cells.own), False), (probing[sent], True), (np.zeros(sent.sum(), bool), True))]
+                    if len(at):
+                        columns = [_signed(np.concatenate((keys[sent], *[k for _, k in alone]))), _signed(ids[at]), pa.array(sizes[at].astype(np.int32)), *map(pa.array, flags)]
+                        yield pa.RecordBatch.from_arrays(columns, names=["key", "entity", "n", "indexed", "probing", "lone"])
+
+    return _scan(docs, text, [], "key long, entity long, n int, indexed boolean, probing boolean, lone boolean", each)
+
+
+def lone_partners(docs: DataFrame, text: str, width: int, wanted: HashArrays) -> DataFrame:
+    """Rows as ``bucket_rows`` gives them of every set that has a shingle in ``wanted``."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, shingles, bounds in _distinct_sets(batch, width):
+                keys = mix(shingles ^ _LONE)
+                good = wanted.find(keys)[0]
+                at = np.repeat(np.arange(len(ids)), np.diff(bounds))[good]
+                if len(at):
+                    yes, no = np.ones(len(at), bool), np.zeros(len(at), bool)
+                    yield pa.RecordBatch.from_arrays([_signed(keys[good]), _signed(ids[at]), pa.array(np.diff(bounds)[at].astype(np.int32)), *map(pa.array, (yes, no, no))], names=["key", "entity", "n", "indexed", "probing", "lone"])
+
+    return _scan(docs, text, [], "key long, entity long, n int, indexed boolean, probing boolean, lone boolean", each)
+
+
+def buckets(docs: DataFrame, text: str, width: int, t: int, expected: int) -> DataFrame:
+    """(key, entity, n, indexed, probing) of the keys that some set probes and another has."""
+    counts = counted_keys(docs, text, width, t, expected)
+    once = ["key", "entity", "n"]
+    flags = [F.max(c).alias(c) for c in ("indexed", "probing", "lone")]
+    rows = materialise(bucket_rows(docs, text, width, t, counts).groupBy(*once).agg(*flags), "keys")
+    counts.discard()
+    alone = rows.where("lone").select(F.col("key").alias("h")).distinct()
+    if not alone.isEmpty():
+        wanted = build(alone, alone.count(), "lone")
+        more = materialise(rows.unionByName(lone_partners(docs, text, width, wanted)).groupBy(*once).agg(*flags), "keys")
+        wanted.discard()
+        discard(rows)
+        rows = more
+    told_ = rows.groupBy("key").agg(F.min("entity").alias("lo"), F.max("entity").alias("hi"), F.max("probing").alias("p"), F.max("indexed").alias("i"))
+    shared = materialise(rows.drop("lone").join(told_.where("lo <> hi and p and i").select("key"), "key"), "buckets")
+    discard(rows)
+    return shared
+
+
+# ------------------------------------------------------------------ blocks
+
+
+def in_blocks(rows: DataFrame, group: str, g: Column) -> DataFrame:
+    """``rows`` dealt so that every two of a group meet: ``_g`` names the meeting, ``_side`` is 0, 1, or 2 (both) there.
+
+    A group is cut by hash of the entity into ``g`` blocks of bounded size; each pair of blocks is a meeting, so no task
+    holds a group, however large it is.
+    """
+    own = rows.withColumn("_n", g.cast("int")).withColumn("_b", F.expr("int(pmod(xxhash64(entity), _n))"))
+    met = own.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    side = F.expr("case when _b = _o then 2 when _b < _o then 0 else 1 end")
+    return met.select("*", F.xxhash64(group, F.least("_b", "_o"), F.greatest("_b", "_o")).alias("_g"), side.alias("_side")).drop("_n", "_b", "_o")
+
+
+def _grouped_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches of whole groups of the first column, which is sorted, with the bounds of the groups. Only one group is ever held beyond a batch."""
+    held: list[pa.RecordBatch] = []
+
+    def whole() -> tuple[pa.RecordBatch, np.ndarray]:
+        table_ = pa.Table.from_batches(held).combine_chunks()
+        batch = table_.to_batches()[0]
+        g = batch.column(0).to_numpy()
+        return batch, np.concatenate(([0], np.flatnonzero(g[1:] != g[:-1]) + 1, [len(g)]))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        g = batch.column(0).to_numpy()
+        cut = int(np.searchsorted(g, g[-1]))
+        if cut:
+            held.append(batch.slice(0, cut))
+            yield whole()
+            held = []
+        elif held and held[-1].column(0)[-1].as_py() != g[0]:
+            yield whole()
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield whole()
+
+
+def _all_pairs(bounds: np.ndarray, most: int = 400_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i, j), i not j, of the rows of each group, in pieces of about ``most``."""
+    sizes = np.diff(bounds)
+    row = np.arange(bounds[0], bounds[-1])
+    partners = np.repeat(sizes, sizes)
+    upto = np.cumsum(partners)
+    a = 0
+    while a < len(row):
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + most, "right")))
+        n = partners[a:b]
+        i = np.repeat(row[a:b], n)
+        first = np.repeat(bounds[:-1], sizes)[a:b]
+        j = np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+        keep = i != j
+        yield i[keep], j[keep]
+        a = b
+
+
+def crossing(rest: DataFrame, t: int, block: int = 512) -> DataFrame:
+    """(src, dst): the pairs of sets of different components in a bucket, one probing and the other indexed, whose sizes and bitmaps admit a link."""
+    sizes = rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).alias("_blocks"))
+    dealt = in_blocks(rest.join(sizes, "key"), "key", F.col("_blocks")).select("_g", "_side", "entity", "n", "indexed", "probing", "component", "bits")
 
-    return _scan(docs, text, [], "key long, entity long, n int, indexed boolean, probing boolean", each)
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, bounds in _grouped_batches(batches):
+            side, entity, n, indexed, probing, component = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(1, 7))
+            lists = batch.column(7)
+            bits = lists.flatten().to_numpy().view(np.uint64).reshape(-1, BITMAP_LONGS)
+            for i, j in _all_pairs(bounds):
+                a, b = n[j].astype(np.int64), n[i].astype(np.int64)
+                good = probing[i] & indexed[j] & (component[i] != component[j]) & (a <= b) & (100 * a >= t * b) & ((side[i] == 2) | (side[i] != side[j]))
+                i, j, total = i[good], j[good], (a + b)[good]
+                apart = np.zeros(len(i), np.int64)
+                for k in range(BITMAP_LONGS):
+                    apart += np.bitwise_count(bits[i, k] ^ bits[j, k])
+                good = apart * (100 + t) <= total * (100 - t)
+                if good.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(entity[i[good]], entity[j[good]])), pa.array(np.maximum(entity[i[good]], entity[j[good]]))], names=["src", "dst"])
+
+    return dealt.repartition("_g").sortWithinPartitions("_g").mapInArrow(each, "src long, dst long").distinct()
+
+
+def _intersections(tokens: np.ndarray, bounds: np.ndarray, left: np.ndarray, right: np.ndarray, columns: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of the sets ``left`` with the sets ``right`` (indices), as products of incidence matrices."""
+    names, column = np.unique(tokens, return_inverse=True)
+    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for a in range(0, len(names), columns):
+        lo, hi = np.searchsorted(column, (a, a + columns))
+        dense = np.zeros((len(bounds) - 1, min(columns, len(names) - a)), np.float32)
+        dense[row[lo:hi], column[lo:hi] - a] = 1
+        out += dense[left] @ dense[right].T
+    return out.astype(np.int64)
+
+
+def all_links(members: DataFrame, t: int, pairs: bool = False, block: int = 1024, tokens: int = 2_000_000) -> DataFrame:
+    """Every link between different sets of one component. ``members``: component, entity, n, shingles.
+
+    With ``pairs`` the links themselves (src, dst), as many as there are; otherwise (entity, copies): the entity once for
+    each block it meets and the sum of ``copies``, a column of ``members``, over those it is linked with there.
+    """
+    sizes = members.groupBy("component").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("n") / tokens)).alias("_blocks"))
+    dealt = in_blocks(members.join(sizes, "component"), "component", F.col("_blocks")).select("_g", "_side", "entity", "copies", "shingles")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, bounds in _grouped_batches(batches):
+            side, entity, copies = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3))
+            lists = batch.column(4)
+            at = lists.offsets.to_numpy()[: batch.num_rows + 1]
+            flat = lists.values.to_numpy().view(np.uint64)
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                if b - a < 2:
+                    continue
+                here = side[a:b]
+                left = np.flatnonzero(here != 1)
+                right = left if here[0] == 2 else np.flatnonzero(here == 1)
+                if not len(left) or not len(right):
+                    continue
+                cut = at[a : b + 1] - at[a]
+                common = _intersections(flat[at[a] : at[b]], cut, left, right)
+                size = np.diff(cut)
+                linked = 100 * common >= t * (size[left][:, None] + size[right][None, :] - common)
+                if here[0] == 2:
+                    np.fill_diagonal(linked, False)
+                if pairs:
+                    i, j = np.nonzero(np.triu(linked) if here[0] == 2 else linked)
+                    x, y = entity[a:b][left[i]], entity[a:b][right[j]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["src", "dst"])
+                    continue
+                sums = [(left, linked @ copies[a:b][right])] + ([] if here[0] == 2 else [(right, copies[a:b][left] @ linked)])
+                for who, n in sums:
+                    yield pa.RecordBatch.from_arrays([pa.array(entity[a:b][who]), pa.array(n.astype(np.int64))], names=["entity", "copies"])
+
+    return dealt.repartition("_g").sortWithinPartitions("_g").mapInArrow(each, "src long, dst long" if pairs else "entity long, copies long")
 
 
 def sets_in(docs: DataFrame, text: str, width: int, wanted: HashArrays) -> DataFrame:
@@ -301,75 +569,102 @@ def _verified(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
     return both.withColumn("i", common).where(f"100 * i >= {t} * (size(x) + size(y) - i)").select("src", "dst")
 
 
-def links(docs: DataFrame, text: str, width: int, t: int) -> DataFrame:
-    """(node, component) of the entities that have a link; component is an entity."""
-    from pyspark.sql import Window
-
-    by_key = Window.partitionBy("key")
-    keyed = segment_keys(docs, text, width, t)
-    shared = keyed.select("*", F.min("entity").over(by_key).alias("first"), F.max("entity").over(by_key).alias("last"), F.max("probing").over(by_key).alias("probed"), F.min(F.struct(F.xxhash64("entity"), "entity")).over(by_key)["entity"].alias("pivot"))
-    shared = materialise(shared.where("first <> last and probed").drop("first", "last", "probed"), "buckets")
-    del keyed
-    release(docs.sparkSession)
+def links(docs: DataFrame, text: str, width: int, t: int, expected: int) -> tuple[DataFrame, DataFrame]:
+    """(node, component) of the entities that have a link, component being an entity; and the sets of the entities in buckets."""
+    shared = buckets(docs, text, width, t, expected)
     members = shared.select(F.col("entity").alias("h")).distinct()
     arrays = build(members, members.count(), "bucketed")
     sets = materialise(sets_in(docs, text, width, arrays), "sets")
-    met = shared.where("pivot <> entity").select(F.least("pivot", "entity").alias("src"), F.greatest("pivot", "entity").alias("dst")).distinct()
-    edges = materialise(_verified(met, sets, t), "links")
-    release(docs.sparkSession)
-    parts = materialise(connected_components(edges), "parts")
+    arrays.discard()
+    parts = None
     for turn in range(PIVOT_ROUNDS):
         rest = materialise(_open_rows(shared, parts), "open")
-        rank = F.xxhash64(F.lit(turn), "key", "entity")
+        rank = F.xxhash64("entity") if not turn else F.xxhash64(F.lit(turn), "key", "entity")
         pivots = rest.groupBy("key").agg(F.min(F.struct(rank.alias("r"), F.col("entity").alias("p"), F.col("component").alias("c"))).alias("m")).select("key", "m.p", "m.c")
         met = rest.join(pivots, "key").where("component <> c").select(F.least("p", "entity").alias("src"), F.greatest("p", "entity").alias("dst")).distinct()
         more = materialise(_verified(met, sets, t), "links")
         discard(rest)
         if more.isEmpty():
+            discard(more)
             break
         parts = _merged(parts, more)
-        release(docs.sparkSession)
     rest = materialise(_open_rows(shared, parts).join(sets.select("entity", "bits"), "entity"), "open")
-    probes = rest.where("probing").select("key", F.col("entity").alias("src"), F.col("n").alias("b"), F.col("component").alias("cb"), F.col("bits").alias("y"))
-    indexed = rest.where("indexed").select("key", F.col("entity").alias("dst"), F.col("n").alias("a"), F.col("component").alias("ca"), F.col("bits").alias("x"))
-    apart = " + ".join(f"bit_count(x[{i}] ^ y[{i}])" for i in range(BITMAP_LONGS))
-    admitted = F.expr(f"ca <> cb and a <= b and 100 * a >= {t} * b and ({apart}) * {100 + t} <= (a + b) * {100 - t}")
-    crossing = probes.join(indexed, (probes.key == indexed.key) & admitted).select("src", "dst").distinct()
-    more = materialise(_verified(crossing, sets, t), "links")
-    if not more.isEmpty():
+    more = materialise(_verified(crossing(rest, t), sets, t), "links")
+    if parts is None or not more.isEmpty():
         parts = _merged(parts, more)
-    for used in (shared, sets, rest, more):
+    for used in (shared, rest, more):
         discard(used)
-    return parts
+    return parts, sets
 
 
-def _open_rows(shared: DataFrame, parts: DataFrame) -> DataFrame:
+def _open_rows(shared: DataFrame, parts: DataFrame | None) -> DataFrame:
     """The rows of buckets of more than one component, with the component."""
-    named = shared.select("key", "entity", "n", "indexed", "probing").join(parts.select(F.col("node").alias("entity"), "component"), "entity", "left").withColumn("component", F.coalesce("component", "entity"))
+    if parts is None:
+        return shared.withColumn("component", F.col("entity"))
+    named = shared.join(parts.select(F.col("node").alias("entity"), "component"), "entity", "left").withColumn("component", F.coalesce("component", "entity"))
     mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     return named.join(mixed, "key")
 
 
-def _merged(parts: DataFrame, more: DataFrame) -> DataFrame:
-    """Components of the known ones and further links together."""
-    out = materialise(connected_components(parts.select(F.col("node").alias("src"), F.col("component").alias("dst")).union(more)), "parts")
+def _merged(parts: DataFrame | None, more: DataFrame) -> DataFrame:
+    """Components of the known ones and further links together; ``more`` is given up."""
+    edges = more if parts is None else parts.select(F.col("node").alias("src"), F.col("component").alias("dst")).union(more)
+    out = materialise(connected_components(edges), "parts")
     discard(parts)
+    discard(more)
     return out
 
 
-def with_components(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, t: int = 80, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (all by default), _j_n (size of the set), _j_group (the component; null for an empty set) and _j_component (its least ``key``)."""
+def _members(parts: DataFrame, sets: DataFrame, copies: DataFrame) -> DataFrame:
+    named = parts.select(F.col("node").alias("entity"), "component")
+    return sets.select("entity", "n", "shingles").join(named, "entity").join(copies, "entity")
+
+
+def _expected(known: DataFrame) -> int:
+    """About how many keys the sets have: their segments are some .3 of their size, and half as many again below."""
+    return int(0.5 * (known.agg(F.sum("_j_n")).first()[0] or 0))
+
+
+def linked_pairs(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, t: int = 80) -> tuple[DataFrame, DataFrame]:
+    """Every link between different sets as (src, dst) of entities, and the membership (``key``, entity) of the documents."""
+    docs = without_prefix(docs, "_j_")
+    known = materialise(entities(docs, text, width, [key]), "entities")
+    parts, sets = links(docs, text, width, t, _expected(known))
+    pairs = materialise(all_links(_members(parts, sets, sets.select("entity", F.lit(1).cast("long").alias("copies"))), t, pairs=True), "pairs")
+    for used in (parts, sets):
+        discard(used)
+    return pairs, known.select(key, F.col("_j_entity").alias("entity"))
+
+
+def with_components(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, t: int = 80, keep: list[str] | None = None, count: bool = False) -> DataFrame:
+    """The columns ``keep`` (all by default), _j_n (size of the set), _j_group (the component; null for an empty set) and _j_component (its least ``key``).
+
+    With ``count`` also _j_links: with how many other documents it is linked itself, copies included.
+    """
     docs = without_prefix(docs, "_j_")
     names = docs.columns if keep is None else keep
     known = materialise(entities(docs, text, width, list(dict.fromkeys([*names, key]))), "entities")
-    parts = links(docs, text, width, t)
-    placed = known.join(parts.select(F.col("node").alias("_j_entity"), F.col("component").alias("_j_part")), "_j_entity", "left").withColumn("_j_part", F.coalesce("_j_part", "_j_entity"))
-    named = placed.where("_j_part is not null").groupBy("_j_part").agg(F.min(F.col(f"`{key}`")).alias("_j_least"))
-    out = placed.join(named, "_j_part", "left").withColumn("_j_component", F.coalesce("_j_least", F.col(f"`{key}`")))
-    return out.select(*[F.col(f"`{c}`") for c in names], "_j_n", F.col("_j_part").alias("_j_group"), "_j_component")
+    parts, sets = links(docs, text, width, t, _expected(known))
+    # by entity first: combined before the shuffle, so a text with many copies is one row here
+    single = known.where("_j_entity is not null").groupBy("_j_entity").agg(F.min(F.col(f"`{key}`")).alias("_j_least"), F.count(F.lit(1)).alias("_j_copies"))
+    placed = single.join(parts.select(F.col("node").alias("_j_entity"), F.col("component").alias("_j_part")), "_j_entity", "left").withColumn("_j_group", F.coalesce("_j_part", "_j_entity")).drop("_j_part")
+    told_ = placed.groupBy("_j_group").agg(F.min("_j_least").alias("_j_component"))
+    named = placed.drop("_j_least").join(told_, "_j_group")
+    extra = []
+    if count:
+        copies = single.select(F.col("_j_entity").alias("entity"), F.col("_j_copies").alias("copies"))
+        linked = all_links(_members(parts, sets, copies), t).groupBy(F.col("entity").alias("_j_entity")).agg(F.sum("copies").alias("_j_linked"))
+        named = named.join(linked, "_j_entity", "left").withColumn("_j_links", F.col("_j_copies") - 1 + F.coalesce("_j_linked", F.lit(0)))
+        extra = [F.coalesce("_j_links", F.lit(0)).cast("long").alias("_j_links")]
+    named = materialise(named.select("_j_entity", "_j_group", "_j_component", *(["_j_links"] if count else [])), "named")
+    for used in (parts, sets):
+        discard(used)
+    # the documents of one text may be a large part of all: this join has no aggregate beside it, so the planner can split them
+    out = known.join(named, "_j_entity", "left").withColumn("_j_component", F.coalesce("_j_component", F.col(f"`{key}`")))
+    return out.select(*[F.col(f"`{c}`") for c in names], "_j_n", "_j_group", "_j_component", *extra)
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    out = with_components(docs, width=4, t=85, keep=["doc_id"])
-    return out.select("doc_id", F.col("_j_n").alias("n_shingles"), F.col("_j_component").alias("component_id"))
+    out = with_components(docs, width=4, t=85, keep=["doc_id"], count=True)
+    return out.select("doc_id", F.col("_j_n").alias("n_shingles"), F.col("_j_component").alias("component_id"), F.col("_j_links").alias("n_links"))

@@ -111,21 +111,104 @@ def test_set_join_large_group(spark):
     assert sorted(((x.doc_id, x["_j_n"], x["_j_component"]) for x in out.collect()), key=str) == brute.components(made, 4, 85)
 
 
-def test_pigeonhole_has_no_gap():
-    """Pairs at the very bound always share a key that one indexes and the other probes."""
+@pytest.mark.parametrize("t", [80, 85])
+def test_pigeonhole_has_no_gap(t):
+    """Pairs at the very bound always share a key that one indexes and the other probes, whatever the keys cost."""
     r = np.random.default_rng(5)
-    for _ in range(300):
-        n = int(r.integers(1, 260))
-        common = int(np.ceil(85 * 2 * n / 185)) if r.random() < 0.5 else n - int(r.integers(0, max(1, n // 8)))
+    alone = 0
+    for turn in range(1500):
+        n = int(r.integers(1, 260 if turn % 3 else 14))
+        common = int(np.ceil(t * 2 * n / (100 + t))) if r.random() < 0.5 else n - int(r.integers(0, max(1, n // 8)))
         a = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
-        b = np.unique(np.concatenate((a[: min(common, len(a))], r.integers(0, 2**63, int(r.integers(0, max(1, n // 7)))).astype(np.uint64))))
+        b = np.unique(np.concatenate((a[: min(common, len(a))], r.integers(0, 2**63, int(r.integers(0, max(2, n // 7)))).astype(np.uint64))))
         small, large = sorted((a, b), key=len)
         inter = len(np.intersect1d(small, large))
-        if 100 * inter < 85 * (len(a) + len(b) - inter) or inter == len(a) == len(b):
+        if 100 * inter < t * (len(a) + len(b) - inter) or inter == len(a) == len(b):
             continue
         flat, bounds = np.concatenate((small, large)), np.array([0, len(small), len(a) + len(b)])
-        row, key, indexed, probing = setjoin.keys_of(flat, bounds, 85)
-        assert set(key[(row == 0) & indexed]) & set(key[(row == 1) & probing]), (len(a), len(b), inter)
+        indexed, probing, lone = set(), set(), False
+        for cells in setjoin.cells_of(flat, bounds, t):
+            exact, softened, short = setjoin.probes(cells, r.integers(0, 5, len(cells.keys)), r.integers(0, 5, len(cells.variants)))
+            if cells.own:
+                indexed |= set(cells.keys[cells.row == 0]) | set(cells.variants[cells.row[cells.owner] == 0])
+            probing |= set(cells.keys[exact & (cells.row == 1)]) | set(cells.variants[softened[cells.owner] & (cells.row[cells.owner] == 1)])
+            lone |= 1 in short
+        if lone:
+            alone += 1
+            assert len(np.setdiff1d(large, small)) <= setjoin.difference(2 * len(large), t)
+        else:
+            assert indexed & probing, (len(a), len(b), inter)
+    assert alone < 30
+
+
+@pytest.mark.parametrize("t", [80, 85])
+def test_sets_without_enough_segments(spark, t, monkeypatch):
+    """With far too few segments, single shingles take over."""
+    plain = setjoin.bands.__wrapped__
+    few = lambda largest, t: tuple(setjoin.Band(b.number, b.low, b.high, 2, 1) for b in plain(largest, t))
+    rows = list(enumerate(texts(9, 25)))
+    expected = brute.components(rows, 4, t)
+    monkeypatch.setattr(setjoin, "bands", few)
+    flat = np.arange(40, dtype=np.uint64) * np.uint64(977)
+    cells = next(setjoin.cells_of(flat, np.array([0, 40]), t))
+    assert setjoin.probes(cells, np.zeros(len(cells.keys)), np.zeros(len(cells.variants)))[2].tolist() == [0]
+    shipped = setjoin.cells_of
+
+    def each(*args):  # runs on workers, which do not see the patch
+        setjoin.bands = few
+        yield from shipped(*args)
+
+    monkeypatch.setattr(setjoin, "cells_of", each)
+    out = setjoin.with_components(docs(spark, rows), width=4, t=t)
+    assert sorted(((x.doc_id, x["_j_n"], x["_j_component"]) for x in out.collect()), key=str) == expected
+
+
+@pytest.mark.parametrize("t", [80, 85])
+def test_short_sets_and_links(spark, t):
+    """Many short sets with common shingles: components, the number of links and the links themselves."""
+    r = random.Random(11)
+    phrase = ["all", "rights", "reserved", "by", "the", "owner", "of", "this"]
+    rows = []
+    for i in range(1200):
+        w = phrase[: r.randrange(9)] + [f"w{r.randrange(400)}" for _ in range(r.randrange(14))]
+        if rows and r.random() < 0.5:
+            w = (rows[r.randrange(len(rows))][1] or "").split()
+            if w and r.random() < 0.7:
+                w[-1] = f"w{r.randrange(400)}"
+        rows.append((i, " ".join(w)))
+    sets = {i: brute.shingles(x, 2) for i, x in rows}
+    linked = {(a, b) for a in sets for b in range(a) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= t * len(sets[a] | sets[b])}
+    out = {x.doc_id: x for x in setjoin.with_components(docs(spark, rows), width=2, t=t, count=True).collect()}
+    assert sorted((i, x["_j_n"], x["_j_component"]) for i, x in out.items()) == sorted(brute.components(rows, 2, t))
+    times = {i: 0 for i in sets}
+    for a, b in linked:
+        times[a] += 1
+        times[b] += 1
+    assert {i: x["_j_links"] for i, x in out.items()} == times
+    pairs, membership = setjoin.linked_pairs(docs(spark, rows), width=2, t=t)
+    entity = {x.doc_id: x.entity for x in membership.collect()}
+    got = [(x.src, x.dst) for x in pairs.collect()]
+    assert len(got) == len(set(got)) and set(got) == {tuple(sorted((entity[a], entity[b]))) for a, b in linked if entity[a] != entity[b]}
+
+
+def test_blocks_meet_once(spark):
+    """Groups cut into several blocks: each pair is compared and counted once."""
+    r = random.Random(12)
+    base = [f"t{k}" for k in range(60)]
+    rows = []
+    for i in range(300):
+        w = list(base)
+        for _ in range(r.randrange(4)):
+            w[r.randrange(60)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    frame = docs(spark, rows)
+    known = setjoin.entities(frame, "text", 1, ["doc_id"])
+    sets = spark.createDataFrame([(x["_j_entity"], x["_j_n"], sorted(hash(y) for y in brute.shingles(rows[x.doc_id][1], 1))) for x in known.dropDuplicates(["_j_entity"]).collect()], "entity long, n int, shingles array<long>")
+    members = sets.withColumn("component", F.lit(1).cast("long")).withColumn("copies", F.lit(1).cast("long"))
+    whole = {x.entity: x.c for x in setjoin.all_links(members, 85).groupBy("entity").agg(F.sum("copies").alias("c")).collect()}
+    cut = {x.entity: x.c for x in setjoin.all_links(members, 85, block=16).groupBy("entity").agg(F.sum("copies").alias("c")).collect()}
+    assert whole == cut and sum(whole.values()) > 1000
+    assert setjoin.all_links(members, 85, pairs=True, block=16).distinct().count() * 2 == setjoin.all_links(members, 85, pairs=True, block=16).count() * 2 == sum(whole.values())
 
 
 def test_decontamination(spark, rows):
