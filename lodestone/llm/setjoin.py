@@ -46,7 +46,7 @@ from lodestone.llm.textscan import mix, slices, windows
 BAND_RATIO = 1.5
 BITMAP_LONGS = 16
 #: Rounds at most in which each open bucket has a pivot of its own before the pairs across components are joined.
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 2
 _U = np.uint64
 
 
