@@ -30,11 +30,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     once, with the chosen.
     """
     marked = docs.select(*COLUMNS, F.md5(F.coalesce("text", F.lit(""))).alias("_n_md5"))
-    grouped = setjoin.with_components(marked, width=5, t=80, keep=["doc_id", "_n_md5"])
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("_n_md5").alias("md5"))).alias("b")
-    chosen = grouped.where("_j_n > 0").groupBy("_j_group").agg(best).select("b.id", "b.md5")
+    grouped = setjoin.with_components(marked, width=5, t=80, keep=["doc_id", "_n_md5"]).where("_j_n > 0")
+    rows = grouped.groupBy("_j_group", "doc_id", "_n_md5").agg(F.count(F.lit(1)).alias("rows"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("_n_md5").alias("md5"), "rows")).alias("b")
+    chosen = materialise(rows.groupBy("_j_group").agg(best).select("b.id", "b.md5", "b.rows"), "chosen")
     wordy = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    kept = marked.where(wordy).join(chosen, (F.col("_n_md5") == F.col("md5")) & F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").dropDuplicates(["_n_md5", "doc_id"])
+    same = (F.col("_n_md5") == F.col("md5")) & F.col("doc_id").eqNullSafe(F.col("id"))
+    kept = marked.where(wordy).join(chosen.where("rows = 1"), same, "left_semi")
+    if not chosen.where("rows > 1").isEmpty():  # only repeated rows are brought together with their texts
+        kept = kept.unionByName(marked.where(wordy).join(chosen.where("rows > 1"), same, "left_semi").dropDuplicates(["_n_md5", "doc_id"]))
     return kept.unionByName(marked.where(~wordy)).select(*COLUMNS)
 
 
