@@ -22,7 +22,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import remove, scratch
+from lodestone.llm.common import remove, scratch, trimmed
 
 SHARD_ROWS = 1 << 20
 HELD_BYTES = 64 << 20
@@ -192,4 +192,4 @@ def build(df: DataFrame, rows: int, label: str, payload: dict[str, str] | None =
         if held:
             yield flush()
 
-    return arrays.seal(placed.mapInArrow(write, "shard long, n long"))
+    return arrays.seal(placed.mapInArrow(trimmed(write), "shard long, n long"))

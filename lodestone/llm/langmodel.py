@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import by_part, joined, materialise, scratch, table, without_prefix
+from lodestone.llm.common import by_part, joined, materialise, scratch, table, trimmed, without_prefix
 from lodestone.llm.hasharrays import SHARD_ROWS, HashArrays, load, save
 from lodestone.llm.textscan import Slice, mix, slices
 
@@ -138,7 +138,7 @@ def _word_counts(docs: DataFrame, text: str) -> DataFrame:
             keys, counts = _grouped(*map(np.concatenate, zip(*held, strict=True)))
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["h", "c"])
 
-    return docs.select(F.col(f"`{text}`").cast("string")).mapInArrow(each, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    return docs.select(F.col(f"`{text}`").cast("string")).mapInArrow(trimmed(each), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
 def _store_words(vocabulary: DataFrame, distinct: int) -> HashArrays:
@@ -158,7 +158,7 @@ def _store_words(vocabulary: DataFrame, distinct: int) -> HashArrays:
         yield pa.RecordBatch.from_arrays([pa.array([0])], names=["done"])
 
     placed = vocabulary.select(shard.alias("_shard"), "h", "c").repartition(1 << bits, "_shard").sortWithinPartitions("_shard")
-    placed.mapInArrow(write, "done long").count()
+    placed.mapInArrow(trimmed(write), "done long").count()
     return arrays
 
 
@@ -200,7 +200,7 @@ def _pair_blocks(docs: DataFrame, text: str, words: HashArrays, parts: int) -> D
         if held:
             yield flush(held)
 
-    return docs.select(F.col(f"`{text}`").cast("string")).mapInArrow(each, "part long, keys binary, counts binary")
+    return docs.select(F.col(f"`{text}`").cast("string")).mapInArrow(trimmed(each), "part long, keys binary, counts binary")
 
 
 def _store_pairs(blocks: DataFrame, pairs: HashArrays, parts: int) -> DataFrame:
@@ -223,7 +223,7 @@ def _store_pairs(blocks: DataFrame, pairs: HashArrays, parts: int) -> DataFrame:
             order = np.argsort(shard, kind="stable")
             yield _blocks(shard[order], {"ids": ids[order].astype(np.uint32), **{n: v[order] for n, v in told.items()}})
 
-    return blocks.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(each, "part long, ids binary, n1 binary, n2 binary, n3 binary, before binary")
+    return blocks.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(trimmed(each), "part long, ids binary, n1 binary, n2 binary, n3 binary, before binary")
 
 
 def _store_stats(reports: DataFrame, words: HashArrays) -> DataFrame:
@@ -246,7 +246,7 @@ def _store_stats(reports: DataFrame, words: HashArrays) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([k]), *[pa.array([x]) for x in told]], names=["part", "a", "b", "c", "d", "e", "f"])
 
     shards = (1 << words.bits) + 2
-    return reports.repartition(shards, "part").sortWithinPartitions("part").mapInArrow(each, "part long, a long, b long, c long, d long, e long, f long")
+    return reports.repartition(shards, "part").sortWithinPartitions("part").mapInArrow(trimmed(each), "part long, a long, b long, c long, d long, e long, f long")
 
 
 def train(docs: DataFrame, text: str = "text") -> Model:
@@ -285,7 +285,7 @@ def with_scores(docs: DataFrame, model: Model, text: str = "text", keep: list[st
             perplexity = 10.0 ** (-score / np.maximum(n, 1))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *map(pa.array, (n, known, base, score, perplexity))], names=schema.fieldNames())
 
-    return source.mapInArrow(each, schema)
+    return source.mapInArrow(trimmed(each), schema)
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

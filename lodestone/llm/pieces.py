@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import table, without_prefix
+from lodestone.llm.common import table, trimmed, without_prefix
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -482,7 +482,7 @@ def with_ids(docs: DataFrame, text: str = "text", key: str = "doc_id", name: str
                 yield pa.RecordBatch.from_arrays([*[c[part] for c in batch.columns[:-2]], lists], names=schema.fieldNames())
                 done = end
 
-    return source.mapInArrow(each, schema)
+    return source.mapInArrow(trimmed(each), schema)
 
 
 def with_text(encoded: DataFrame, ids: str = "ids", name: str = "decoded", model: str = MODEL, keep: list[str] | None = None) -> DataFrame:
@@ -503,7 +503,7 @@ def with_text(encoded: DataFrame, ids: str = "ids", name: str = "decoded", model
             texts = [None if null[i] else v.decode(flat[bounds[i] : bounds[i + 1]].tolist()) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=schema.fieldNames())
 
-    return source.mapInArrow(each, schema)
+    return source.mapInArrow(trimmed(each), schema)
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import by_part, discard, joined, materialise, scratch, table, without_prefix
+from lodestone.llm.common import by_part, discard, joined, materialise, scratch, table, trimmed, without_prefix
 from lodestone.llm.components import connected_components
 from lodestone.llm.hasharrays import HashArrays, build, shard_bits, told, write_shard
 from lodestone.llm.textscan import mix, slices, windows
@@ -236,7 +236,7 @@ def probes(cells: Cells, cost: np.ndarray, variant_cost: np.ndarray) -> tuple[np
 
 def _scan(docs: DataFrame, text: str, names: list[str], schema: str, each) -> DataFrame:
     source = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").cast("string").alias("_j_text"))
-    return source.mapInArrow(each, schema)
+    return source.mapInArrow(trimmed(each), schema)
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -257,11 +257,11 @@ def entities(docs: DataFrame, text: str, width: int, keep: list[str]) -> DataFra
             columns = [*batch.columns[:-1], pa.array(n), pa.array(ids.view(np.int64), mask=n == 0)]
             yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
 
-    return source.mapInArrow(each, schema)
+    return source.mapInArrow(trimmed(each), schema)
 
 
-PART_KEYS = 2_000_000
-_FLUSH = 1_000_000
+PART_KEYS = 500_000
+_FLUSH = 500_000
 _LONE = _U(0x6C6F6E65)
 
 
@@ -324,8 +324,8 @@ def counted_keys(docs: DataFrame, text: str, width: int, t: int, expected: int)
             if often.any():
                 yield told(k, write_shard(arrays, k, keys, {"n": n[often]}))
 
-    sent = docs.select(F.col(f"`{text}`").cast("string")).mapInArrow(send, "part long, rows binary")
-    return arrays.seal(sent.repartition(1 << bits, "part").sortWithinPartitions("part").mapInArrow(count, "shard long, n long"))
+    sent = docs.select(F.col(f"`{text}`").cast("string")).mapInArrow(trimmed(send), "part long, rows binary")
+    return arrays.seal(sent.repartition(1 << bits, "part").sortWithinPartitions("part").mapInArrow(trimmed(count), "shard long, n long"))
 
 
 def bucket_rows(docs: DataFrame, text: str, width: int, t: int, counts: HashArrays) -> DataFrame:
@@ -476,7 +476,7 @@ def crossing(rest: DataFrame, t: int, block: int = 512) -> DataFrame:
                 if good.any():
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(entity[i[good]], entity[j[good]])), pa.array(np.maximum(entity[i[good]], entity[j[good]]))], names=["src", "dst"])
 
-    return dealt.repartition("_g").sortWithinPartitions("_g").mapInArrow(each, "src long, dst long").distinct()
+    return dealt.repartition("_g").sortWithinPartitions("_g").mapInArrow(trimmed(each), "src long, dst long").distinct()
 
 
 def _intersections(tokens: np.ndarray, bounds: np.ndarray, left: np.ndarray, right: np.ndarray, columns: int = 4096) -> np.ndarray:
@@ -532,7 +532,7 @@ def all_links(members: DataFrame, t: int, pairs: bool = False, block: int = 1024
                 for who, n in sums:
                     yield pa.RecordBatch.from_arrays([pa.array(entity[a:b][who]), pa.array(n.astype(np.int64))], names=["entity", "copies"])
 
-    return dealt.repartition("_g").sortWithinPartitions("_g").mapInArrow(each, "src long, dst long" if pairs else "entity long, copies long")
+    return dealt.repartition("_g").sortWithinPartitions("_g").mapInArrow(trimmed(each), "src long, dst long" if pairs else "entity long, copies long")
 
 
 def sets_in(docs: DataFrame, text: str, width: int, wanted: HashArrays) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import discard, materialise, table, without_prefix
+from lodestone.llm.common import discard, materialise, table, trimmed, without_prefix
 from lodestone.llm.hasharrays import HashArrays, build
 from lodestone.llm.textscan import WHITE, Slice, mix, slices, windows
 
@@ -246,7 +246,7 @@ def _counted(docs: DataFrame, text: str, width: int, hot: HashArrays | None) ->
                 if len(keys):
                     yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["h", "n"])
 
-    scanned = docs.select(F.col(f"`{text}`").cast("string")).mapInArrow(each, "h long, n long")
+    scanned = docs.select(F.col(f"`{text}`").cast("string")).mapInArrow(trimmed(each), "h long, n long")
     return scanned.groupBy("h").agg(F.sum("n").alias("n"))
 
 
@@ -275,7 +275,7 @@ def _sent(docs: DataFrame, text: str, width: int, recurring: HashArrays, hot: Ha
                 content = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(words[take]))])
                 yield pa.RecordBatch.from_arrays([pa.array(h[once].view(np.int64)), content, pa.array(ids[once].view(np.int64)), pa.array(times >= 2)], names=["h", "content", "id", "twice"])
 
-    return docs.select(F.col(f"`{text}`").cast("string")).mapInArrow(each, "h long, content binary, id long, twice boolean")
+    return docs.select(F.col(f"`{text}`").cast("string")).mapInArrow(trimmed(each), "h long, content binary, id long, twice boolean")
 
 
 def _indexed(sent: DataFrame, width: int, shards: int) -> DataFrame:
@@ -312,7 +312,7 @@ def _indexed(sent: DataFrame, width: int, shards: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids[order[a:b]][some]), pa.array(masks[some])], names=["h", "mask"])
             a = b
 
-    return sent.repartition(shards, "h").mapInArrow(each, "h long, mask long")
+    return sent.repartition(shards, "h").mapInArrow(trimmed(each), "h long, mask long")
 
 
 def repeats(docs: DataFrame, text: str = "text", width: int = WIDTH, hot_limit: int = HOT) -> tuple[HashArrays, HashArrays | None]:
@@ -384,7 +384,7 @@ def without_repeats(docs: DataFrame, text: str = "text", width: int = WIDTH, kee
                     kept.append(out[i:j].decode() if as_text else hashlib.sha256(out[i:j]).hexdigest())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n), pa.array(removed), pa.array(kept, pa.string())], names=schema.fieldNames())
 
-    return source.mapInArrow(each, schema)
+    return source.mapInArrow(trimmed(each), schema)
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
