@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import by_part, joined, materialise, scratch, table, trimmed, without_prefix
-from lodestone.llm.hasharrays import SHARD_ROWS, HashArrays, load, save
+from lodestone.llm.hasharrays import SHARD_ROWS, HashArrays, save, told
 from lodestone.llm.textscan import Slice, mix, slices
 
 PLACE_BITS = 24
@@ -38,6 +38,7 @@ FLUSH_PAIRS = 2_000_000
 _U = np.uint64
 END = _U(0x0E4D0E4D0E4D0E4D)
 START_ID = _U(0xFFFFFFFF)
+SIZES = -3
 _STATS = {"n1": "u4", "n2": "u4", "n3": "u4", "before": "u4"}
 
 
@@ -155,11 +156,10 @@ def _store_words(vocabulary: DataFrame, distinct: int) -> HashArrays:
             save(arrays.uri, f"{k}.c", c[order])
             save(arrays.uri, f"{k}.id", (np.arange(len(h)) + (k << PLACE_BITS)).astype(np.uint32))
             save(arrays.uri, f"{k}.hash", h[order].view(np.uint64))
-        yield pa.RecordBatch.from_arrays([pa.array([0])], names=["done"])
+            yield told(k, len(h))
 
     placed = vocabulary.select(shard.alias("_shard"), "h", "c").repartition(1 << bits, "_shard").sortWithinPartitions("_shard")
-    placed.mapInArrow(trimmed(write), "done long").count()
-    return arrays
+    return arrays.seal(placed.mapInArrow(trimmed(write), "shard long, n long"))
 
 
 def _blocks(part: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
@@ -204,7 +204,7 @@ def _pair_blocks(docs: DataFrame, text: str, words: HashArrays, parts: int) -> D
 
 
 def _store_pairs(blocks: DataFrame, pairs: HashArrays, parts: int) -> DataFrame:
-    """Writes each part's pairs; gives (part, ids, n1, n2, n3, before) by shard of the vocabulary: part -1 has counts of counts, -2 the start."""
+    """Writes each part's pairs; gives (part, ids, n1, n2, n3, before) by shard of the vocabulary: part -1 has counts of counts, -2 the start, -3 the parts' sizes."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, (key_blocks, count_blocks) in by_part(batches):
@@ -213,6 +213,8 @@ def _store_pairs(blocks: DataFrame, pairs: HashArrays, parts: int) -> DataFrame:
             order = np.argsort(h)
             save(pairs.uri, f"{k}.c", counts[order].astype(np.uint32))
             save(pairs.uri, f"{k}.hash", h[order])
+            size = {"ids": np.array([k], np.uint32), **{n: np.array([len(keys)], np.uint32) for n in _STATS}}
+            yield _blocks(np.array([SIZES]), size)
             seen = [int((counts == n).sum()) for n in (1, 2, 3, 4)]
             yield _blocks(np.array([-1]), {"ids": np.zeros(1, np.uint32), **{n: np.array([x], np.uint32) for n, x in zip(_STATS, seen, strict=True)}})
             left, right = keys >> _U(32), keys & _U(0xFFFFFFFF)
@@ -226,26 +228,31 @@ def _store_pairs(blocks: DataFrame, pairs: HashArrays, parts: int) -> DataFrame:
     return blocks.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(trimmed(each), "part long, ids binary, n1 binary, n2 binary, n3 binary, before binary")
 
 
-def _store_stats(reports: DataFrame, words: HashArrays) -> DataFrame:
+def _store_stats(reports: DataFrame, words: HashArrays, pairs: HashArrays) -> DataFrame:
     """Sums the reports by shard and stores them; gives rows (part, a, b, c, d): numbers for the model."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, columns in by_part(batches):
             ids = joined(columns[0], "u4")
             values = [joined(c, "u4").astype(np.int64) for c in columns[1:]]
+            if k == SIZES:
+                sizes = np.zeros(1 << pairs.bits, np.uint64)
+                sizes[ids] = values[0]
+                save(pairs.uri, "sizes", sizes)
+                continue
             if k < 0:
-                told = [int(v.sum()) for v in values]
+                sums = [int(v.sum()) for v in values]
             else:
-                size = len(load(words.uri, f"{k}.hash", "u8"))
+                size = words.size(k)
                 place = ids & ((1 << PLACE_BITS) - 1)
                 summed = [np.bincount(place, v, minlength=size).astype(np.int64) for v in values]
                 for n, v in zip(_STATS, summed, strict=True):
                     save(words.uri, f"{k}.{n}", v.astype(np.uint32))
-                told = [*[int((summed[3] == n).sum()) for n in (1, 2, 3, 4)], int(summed[3].sum()), int((summed[3] >= 3).sum())]
-            told += [0] * (6 - len(told))
-            yield pa.RecordBatch.from_arrays([pa.array([k]), *[pa.array([x]) for x in told]], names=["part", "a", "b", "c", "d", "e", "f"])
+                sums = [*[int((summed[3] == n).sum()) for n in (1, 2, 3, 4)], int(summed[3].sum()), int((summed[3] >= 3).sum())]
+            sums += [0] * (6 - len(sums))
+            yield pa.RecordBatch.from_arrays([pa.array([k]), *[pa.array([x]) for x in sums]], names=["part", "a", "b", "c", "d", "e", "f"])
 
-    shards = (1 << words.bits) + 2
+    shards = (1 << words.bits) + 3
     return reports.repartition(shards, "part").sortWithinPartitions("part").mapInArrow(trimmed(each), "part long, a long, b long, c long, d long, e long, f long")
 
 
@@ -253,18 +260,18 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     """Count the whole texts of ``docs`` and store the model in the shared folder."""
     spark = docs.sparkSession
     vocabulary = materialise(_word_counts(docs, text), "vocabulary")
-    told = vocabulary.agg(F.count(F.lit(1)).alias("v"), F.sum("c").alias("n"), F.sum(F.expr(f"if(h = {int(np.int64(END.view(np.int64)))}, c, 0)")).alias("texts")).first()
-    total = told.n or 0
-    words = _store_words(vocabulary, told.v)
+    seen_words = vocabulary.agg(F.count(F.lit(1)).alias("v"), F.sum("c").alias("n"), F.sum(F.expr(f"if(h = {int(np.int64(END.view(np.int64)))}, c, 0)")).alias("texts")).first()
+    total = seen_words.n or 0
+    words = _store_words(vocabulary, seen_words.v)
     bits = int(np.ceil(np.log2(max(1, total) / PART_PAIRS))) if total > PART_PAIRS else 0
     pairs = HashArrays(scratch(spark, "pairs"), bits, {"c": "u4"}, total)
     reports = _store_pairs(_pair_blocks(docs, text, words, 1 << bits), pairs, 1 << bits)
-    numbers = _store_stats(reports, words).groupBy(F.expr("least(part, 0)").alias("part")).agg(*[F.sum(c).alias(c) for c in "abcdef"]).collect()
+    numbers = _store_stats(reports, words, pairs).groupBy(F.expr("least(part, 0)").alias("part")).agg(*[F.sum(c).alias(c) for c in "abcdef"]).collect()
     by = {r.part: r for r in numbers}
     seen = [getattr(by[-1], c) for c in "abcd"] if -1 in by else [0] * 4
     start = tuple(getattr(by[-2], c) for c in "abc") if -2 in by else (0, 0, 0)
     low = [getattr(by[0], c) for c in "abcdef"] if 0 in by else [0] * 6
-    return Model(words, pairs, total, told.v, told.texts or 0, start, discounts(seen), discounts(low[:4]), low[4], (low[0], low[1], low[5]))
+    return Model(words, pairs, total, seen_words.v, seen_words.texts or 0, start, discounts(seen), discounts(low[:4]), low[4], (low[0], low[1], low[5]))
 
 
 def with_scores(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
