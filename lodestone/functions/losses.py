@@ -36,6 +36,8 @@ def divergence_scores(kind: str, ratio: Column, alpha: float = 0.5) -> Column:
     if kind == "js_divergence":
         return logsigmoid(ratio)
     if kind == "alpha_divergence":
+        if abs(alpha - 1.0) < 1e-6:  # the limit is the logarithm
+            return ratio
         return F.exp(F.least(ratio * (alpha - 1.0), F.lit(80.0))) * (1.0 / (alpha - 1.0))
     raise ValueError(f"divergence {kind!r}")
 
@@ -136,14 +138,20 @@ def reward_model_loss(chosen: Column, rejected: Column, margin: Column | None =
     return -logsigmoid(gap) + centre * (chosen + rejected) * (chosen + rejected)
 
 
-def xpo_loss(chosen: Column, rejected: Column, of_model: Column, beta: float, alpha: float) -> Column:
-    """Preference term on log-ratios plus alpha times the model side's log-ratio sum."""
-    return -logsigmoid(beta * (chosen - rejected)) + alpha * of_model
+def xpo_loss(chosen: Column, rejected: Column, of_reference: Column, beta: float, alpha: float, kind: str = "sigmoid") -> Column:
+    """Preference term on the log-ratios (sigmoid or ipo) plus alpha times the model's log-probability of the reference's completion."""
+    gap = chosen - rejected
+    if kind not in ("sigmoid", "ipo"):
+        raise ValueError(f"loss {kind!r}")
+    term = -logsigmoid(beta * gap) if kind == "sigmoid" else (gap - 1 / (2 * beta)) * (gap - 1 / (2 * beta))
+    return term + alpha * of_reference
 
 
-def nash_md_score(policy: Column, reference: Column, probability: Column, beta: float) -> Column:
-    """(probability - 1/2) times log-probability, less beta times the log-ratio."""
-    return (probability - 0.5) * policy - beta * (policy - reference)
+def nash_md_loss(logps: str, ref: str, probability: Column, beta: float) -> Column:
+    """beta times the sum of log-ratio times log-probability, less (probability - 1/2) times the log-probability. Arrays are masked: 0 where padded."""
+    total = F.expr(f"aggregate({logps}, 0D, (s, x) -> s + x)")
+    weighted = F.expr(f"aggregate(zip_with({logps}, {ref}, (p, q) -> (p - q) * p), 0D, (s, x) -> s + x)")
+    return beta * weighted - (probability - 0.5) * total
 
 
 # ------------------------------------------------------------------ token losses
@@ -169,8 +177,8 @@ def policy_token_losses(kind: str, logps: str, old: str, advantage: str, mask: s
     return F.expr(f"transform({coef}, c -> -least({first} * {advantage}, greatest(least(c, {1 + high}D), {1 - low}D) * {advantage}))")
 
 
-def reduce_policy(kind: str, df: DataFrame, losses: str, mask: str, longest: int = 0, by: str | None = None) -> DataFrame:
-    """The batch's loss as column loss (and ``by``, one batch a value)."""
+def reduce_policy(kind: str, df: DataFrame, losses: str, mask: str, longest: int = 0, by: str | None = None, level: str = "token") -> DataFrame:
+    """The batch's loss as column loss (and ``by``, one batch a value). ``level``: of the importance ratios, which luspo's mean depends on."""
     masked = F.expr(f"aggregate(zip_with({losses}, {mask}, (x, m) -> x * m), 0D, (s, x) -> s + x)")
     count = F.expr(f"aggregate({mask}, 0D, (s, m) -> s + m)")
     rows = df.select(*([by] if by else []), masked.alias("_s"), count.alias("_n"), F.expr(f"aggregate({losses}, 0D, (s, x) -> s + x)").alias("_all"), F.size(losses).alias("_size"))
@@ -182,8 +190,10 @@ def reduce_policy(kind: str, df: DataFrame, losses: str, mask: str, longest: int
         out = F.sum("_s") / (F.count(F.lit(1)) * F.lit(longest))
     elif kind in ("cispo", "dapo"):
         out = F.sum("_s") / F.greatest(F.sum("_n"), F.lit(1.0))
-    else:  # luspo: token losses weighted by their row's length
-        out = F.sum(F.col("_all") * F.col("_n")) / F.sum("_size")
+    elif level == "sequence":  # luspo: one loss a sequence, weighted by its length
+        out = F.avg(F.col("_all") / F.col("_size") * F.col("_n"))
+    else:  # the mean over the batch as a matrix, padded to its longest row
+        out = F.sum(F.col("_all") * F.col("_n")) / (F.count(F.lit(1)) * F.max("_size"))
     grouped = rows.groupBy(by) if by else rows.groupBy()
     return grouped.agg(out.alias("loss"))
 

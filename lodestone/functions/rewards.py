@@ -24,9 +24,10 @@ def bounded_beta(scale: float, n: Column) -> Column:
     return F.when(n <= 0, 0.0).otherwise(F.least(scale / n, (1 - 1e-6) / n))
 
 
-def composite(pass_rate: Column, format_ok: Column, soft: Column, compiled: Column, eligible: Column, soft_weight: float, compile_scale: float, format_scale: float, aux_scale: float = 0.5) -> Column:
-    """Pass rate plus soft, compile and format parts, clamped to 0..1; the parts shrink where the format is not right."""
-    aux = F.when(format_ok, 1.0).otherwise(clamp(F.lit(aux_scale), 0.0, 1.0))
+def composite(pass_rate: Column, format_ok: Column, soft: Column, compiled: Column, eligible: Column, soft_weight: float, compile_scale: float, format_scale: float, aux_scale: float = 1.0) -> Column:
+    """Pass rate plus soft, compile and format parts, clamped to 0..1, as are all weights; the parts shrink where the format is not right."""
+    soft_weight, compile_scale, format_scale, aux_scale = (min(1.0, max(0.0, w)) for w in (soft_weight, compile_scale, format_scale, aux_scale))
+    aux = F.when(format_ok, 1.0).otherwise(aux_scale)
     part = F.when(eligible, clamp(soft, 0.0, 1.0)).otherwise(clamp(soft, 0.0, 1.0) * 0.3)
     return clamp(clamp(pass_rate, 0.0, 1.0) + aux * soft_weight * part + aux * compile_scale * clamp(compiled, 0.0, 1.0) + format_scale * format_ok.cast("double"), 0.0, 1.0)
 
@@ -52,13 +53,37 @@ def iterative_priority(p: Column, soft: Column, prior: Column) -> Column:
     return F.greatest(F.greatest(F.lit(1e-6), 4 * p * (1 - p) + 0.1 * F.greatest(F.lit(0.0), soft)) * prior, F.lit(1e-6))
 
 
-def prior_weight(mean: Column, seen: Column, mastered: float = 0.95, hard: float = 0.05, middle: tuple[float, float] = (0.2, 0.8)) -> Column:
-    """Weight of a question by its mean so far; the rules in order."""
-    return F.when(mean >= mastered, 0.2).when((mean <= hard) & (seen >= 3), 0.3).when(mean.between(*middle), 1.5).when(mean < middle[0], 0.8).otherwise(1.0)
+# Limits and weights of a question's prior.
+PRIOR_HIGH, PRIOR_LOW, PRIOR_GAP, PRIOR_SEEN = 0.7, 0.3, 0.2, 3
+PRIOR_WEIGHTS = {"mastered": 0.4, "too_hard": 0.2, "high_value": 1.0, "mid_negative_gap": 0.7, "default": 0.8}
 
 
-def keep_probability(base: float, decay: float, streak: Column, age: Column, floor: float = 0.05, cap: float = 1.0, bonus: float = 0.01) -> Column:
-    return clamp(base * F.pow(F.lit(decay), streak) + bonus * age, floor, cap)
+def prior_weight(code: Column, reason: Column, seen: Column, high: float = PRIOR_HIGH, low: float = PRIOR_LOW, gap: float = PRIOR_GAP, least_seen: int = PRIOR_SEEN) -> Column:
+    """Weight of a question by its moving values of solved code and of reasoning; the first rule that holds."""
+    w = PRIOR_WEIGHTS
+    return (
+        F.when((code >= high) & (reason >= high), w["mastered"]).when((code <= low) & (reason <= low) & (seen >= least_seen), w["too_hard"])
+        .when(reason - code >= gap, w["high_value"]).when(code - reason >= gap, w["mid_negative_gap"]).otherwise(w["default"])
+    )
+
+
+def reason_signal(triggered: Column, soft: Column, hard: Column) -> Column:
+    """What a rollout says of the reasoning: the soft reward where it was in use, else the hard one, within 0..1."""
+    return clamp(F.when(triggered > 0, soft).otherwise(hard), 0.0, 1.0)
+
+
+def keep_probability(prior: Column, streak: Column, age: Column, threshold: int = 2, decay: float = 0.5, per_step: float = 0.0, most: float = 0.0, floor: float = 0.1, prior_floor: float = 0.05) -> Column:
+    """Chance that an original question stays in the pool.
+
+    Its prior weight, decayed for each rollout without a pass beyond the threshold, plus a bonus by the steps since its
+    last rollout (negative: never rolled out, no bonus), at most ``most`` and 1 in all. A null streak is a question without
+    a state. Floors: ``prior_floor``, and once decay sets in the greater of both.
+    """
+    bonus = F.when((age >= 0) & F.lit(per_step > 0), F.least(F.lit(most), age * per_step)).otherwise(0.0)
+    over = streak - threshold
+    held = F.greatest(F.lit(prior_floor), F.least(F.lit(1.0), prior + bonus))
+    decayed = F.greatest(F.lit(max(floor, prior_floor)), F.least(F.lit(1.0), F.pow(F.lit(decay), over) * prior + bonus))
+    return F.when(F.coalesce(over > 0, F.lit(False)), decayed).otherwise(held)
 
 
 def density_weight(p: Column, low: float = 0.1, high: float = 10.0) -> Column:
@@ -103,3 +128,9 @@ def numeric_equal(answer: Column, gold: Column) -> Column:
 
     a, g = number(answer), number(gold)
     return F.when(g.isNotNull(), F.coalesce(F.abs(a - g) <= 1e-6, F.lit(False)).cast("double"))
+
+
+def reasoning_accuracy(text: Column, gold: Column, delimiters: list[str]) -> Column:
+    """The accuracy of what follows the reasoning; 0 where no delimiter ends it."""
+    answer = reasoning_answer(text, delimiters)
+    return F.when(answer.isNull(), 0.0).otherwise(numeric_equal(answer, gold))

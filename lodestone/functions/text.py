@@ -29,7 +29,7 @@ def normalized(c: Column) -> Column:
 
 def signature(c: Column) -> Column:
     """Tags dropped, white space collapsed, lower case, other than a-z, 0-9 as spaces, collapsed again."""
-    bare = F.lower(normalized(F.regexp_replace(F.regexp_replace(c, "<[^>]+>", " "), "\r", "")))
+    bare = F.lower(normalized(F.regexp_replace(F.regexp_replace(c, "<[^>]+>", " "), "\r\n?", "\n")))
     return normalized(F.regexp_replace(bare, r"[^a-z0-9\s]", " "))
 
 
@@ -48,7 +48,15 @@ def summary(c: Column, lines: int, most: int) -> Column:
     return F.when(F.length(head) > most, F.concat(rstrip(F.substring(head, 1, max(0, most - 3))), F.lit("..."))).otherwise(head)
 
 
-_FENCE = r"(?s)```(?:[A-Za-z0-9_+-]*)[ \t]*\n(.*?)```"
+#: Fences and elements that hold code.
+_FENCE = rf"(?si)```(?:python)?{SPACE}*(.*?){SPACE}*```"
+_OPEN = rf"(?si)^{SPACE}*```(?:python)?{SPACE}*\n?"
+_ELEMENT = rf"(?si)<CODE>{SPACE}*(.*?){SPACE}*</CODE>"
+
+
+def response(c: Column) -> Column:
+    """Stripped, without byte order marks."""
+    return strip(F.replace(c, F.lit("\ufeff"), F.lit("")))
 
 
 def fenced_blocks(c: Column) -> Column:
@@ -56,17 +64,19 @@ def fenced_blocks(c: Column) -> Column:
 
 
 def code_of(c: Column) -> Column:
-    """The last fenced block, else what follows an open fence, else the last <CODE> element, else the text; stripped."""
-    blocks = fenced_blocks(c)
-    tags = F.regexp_extract_all(c, F.lit(r"(?si)<CODE>(.*?)</CODE>"), 1)
-    opened = F.regexp_extract(c, r"(?s)```(?:[A-Za-z0-9_+-]*)[ \t]*\n(.*)\z", 1)
-    return strip(F.when(F.size(blocks) > 0, F.element_at(blocks, -1)).when(opened != "", opened).when(F.size(tags) > 0, F.element_at(tags, -1)).otherwise(c))
+    """The last fenced block, else what follows a fence that opens the text, else the last <CODE> element, else the text; stripped."""
+    c = response(c)
+    blocks, tags = fenced_blocks(c), F.regexp_extract_all(c, F.lit(_ELEMENT), 1)
+    opened = F.regexp_replace(F.regexp_replace(c, _OPEN, ""), rf"{SPACE}*```+{SPACE}*$", "")
+    return strip(F.when(F.size(blocks) > 0, F.element_at(blocks, -1)).when(c.rlike(_OPEN), opened).when(F.size(tags) > 0, F.element_at(tags, -1)).otherwise(c))
 
 
 def format_ok(c: Column, allowance: int = 0) -> Column:
-    """One fenced block, and at most ``allowance`` letters other than white space outside it."""
-    outside = F.length(F.regexp_replace(F.regexp_replace(c, _FENCE, ""), SPACE, ""))
-    return (F.size(fenced_blocks(c)) == 1) & (outside <= allowance)
+    """Just one fenced block, or without a fence just one <CODE> element, and at most ``allowance`` letters other than white space outside it."""
+    c = response(c)
+    outside = lambda pattern: F.length(F.regexp_replace(F.regexp_replace(c, pattern, ""), SPACE, "")) <= max(0, allowance)
+    blocks, tags = fenced_blocks(c), F.regexp_extract_all(c, F.lit(_ELEMENT), 1)
+    return F.when(F.size(blocks) > 0, (F.size(blocks) == 1) & outside(_FENCE)).when(c.rlike(_OPEN), False).otherwise((F.size(tags) == 1) & outside(_ELEMENT))
 
 
 def fenced(code: Column, language: str = "python") -> Column:

@@ -28,7 +28,9 @@ def masked_var(a: str, mask: str) -> Column:
 
 
 def whitened(a: str, mask: str, mean: str, var: str, restore_mean: bool = False) -> Column:
-    return F.expr(f"transform({a}, x__ -> (x__ - {mean}) / sqrt({var} + 1e-8D){f' + {mean}' if restore_mean else ''})")
+    # mean and variance are bound once: in the inner function they would be worked out for every element
+    value = f"(x__ - s__.mean) / sqrt(s__.var + 1e-8D){' + s__.mean' if restore_mean else ''}"
+    return F.expr(f"element_at(transform(array(named_struct('mean', {mean}, 'var', {var})), s__ -> transform({a}, x__ -> {value})), 1)")
 
 
 def log_sum_exp(logits: str) -> str:
@@ -52,8 +54,21 @@ def gae(rewards: str, values: str, gamma: float, lam: float) -> Column:
     return F.expr(f"reverse(aggregate(if({n} = 0, cast(array() as array<int>), sequence({n} - 1, 0, -1)), named_struct('a__', 0D, 'out', cast(array() as array<double>)), (s__, i__) -> named_struct('a__', {delta} + {gamma * lam!r}D * s__.a__, 'out', array_append(s__.out, {delta} + {gamma * lam!r}D * s__.a__)), s__ -> s__.out))")
 
 
-def discounted_suffix(rewards: str, gamma: float) -> Column:
-    return F.expr(f"reverse(aggregate(reverse({rewards}), named_struct('a__', 0D, 'out', cast(array() as array<double>)), (s__, x__) -> named_struct('a__', x__ + {gamma}D * s__.a__, 'out', array_append(s__.out, x__ + {gamma}D * s__.a__)), s__ -> s__.out))")
+def discounted_suffix(rewards: str, gamma: float, mask: str | None = None, normalise: bool = False) -> Column:
+    """Sums from each place to the end of reward times gamma to the power of the place (from the row's start).
+
+    With ``normalise`` by the sum of the same powers over the unmasked places (1e-4 where masked). gamma 0: the rewards.
+    """
+    masked_ = rewards if mask is None else masked(rewards, mask)
+    if gamma <= 0:
+        return F.expr(masked_)
+    weighted = f"transform({masked_}, (x__, i__) -> x__ * pow({gamma}D, i__))"
+    suffix = lambda a: f"reverse(aggregate(reverse({a}), named_struct('a__', 0D, 'out', cast(array() as array<double>)), (s__, x__) -> named_struct('a__', x__ + s__.a__, 'out', array_append(s__.out, x__ + s__.a__)), s__ -> s__.out))"
+    if not normalise:
+        return F.expr(suffix(weighted))
+    ones = f"transform({rewards}, x__ -> 1D)" if mask is None else f"transform({mask}, m__ -> if(m__ < 0.5, 1e-4D, double(m__)))"
+    powers = f"transform({ones}, (m__, i__) -> m__ * pow({gamma}D, i__))"
+    return F.expr(f"zip_with({suffix(weighted)}, {suffix(powers)}, (a__, b__) -> a__ / b__)")
 
 
 def k3_kl(ref: str, cur: str) -> Column:

@@ -67,8 +67,9 @@ def extract_prompt(df: DataFrame, compat: bool = False) -> DataFrame:
         out = df.withColumns({"prompt": F.slice("chosen", F.lit(1), F.col("_n")), "chosen": tail("chosen"), "rejected": tail("rejected")})
         return out.drop("_n")
     n = "least(length(chosen), length(rejected))"
-    differs = f"try_element_at(filter(sequence(1, greatest({n}, 1)), i -> i > {n} or substring(chosen, i, 1) <> substring(rejected, i, 1)), 1)"
-    df = df.withColumn("_n", F.expr(f"coalesce({differs} - 1, {n} - 1)"))
+    # the longest common start by bisection: 31 comparisons, whatever the length
+    bisect = f"aggregate(sequence(1, 31), named_struct('a', 0, 'b', {n}), (s, i) -> if(s.a >= s.b, s, if(left(chosen, (s.a + s.b + 1) div 2) = left(rejected, (s.a + s.b + 1) div 2), named_struct('a', int((s.a + s.b + 1) div 2), 'b', s.b), named_struct('a', s.a, 'b', int((s.a + s.b + 1) div 2 - 1)))), s -> s.a)"
+    df = df.withColumn("_n", F.expr(bisect))
     df = df.withColumn("_n", F.expr(f"if(_n = {n} and _n > 0, _n - 1, _n)"))
     back = F.expr("substring(chosen, _n, 1) = ' '") & (F.col("_n") > 0)
     if compat:

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as t
 
 # What marks interactive and file-reading problems, and packages that programs may not import.
-INTERACTIVE = ("interactive problem", "interactor", "flush", "stdout.flush")
-FILE_IO = ("input.txt", "output.txt", "freopen", "read from file")
-PACKAGES = ("numpy", "scipy", "pandas", "torch", "tensorflow", "sklearn", "sympy")
+INTERACTIVE = ("interactive", "flush", "output flushing", "hacked interaction")
+FILE_IO = ("input.txt", "output.txt", "read from file", "write to file", "file input", "file output")
+PACKAGES = ("numpy", "pandas", "scipy", "torch", "tensorflow", "sklearn", "requests")
 
 
 def mentions(text: Column, phrases: Sequence[str]) -> Column:
@@ -25,7 +25,7 @@ def mentions(text: Column, phrases: Sequence[str]) -> Column:
 
 def imports_packages(code: Column, packages: Sequence[str] = PACKAGES) -> Column:
     names = "|".join(packages)
-    return code.rlike(rf"(?m)^\s*import\s+({names})\b") | code.rlike(rf"(?m)^\s*from\s+({names})\b")
+    return code.rlike(rf"(^|\n)\s*(import|from)\s+({names})\b")
 
 
 def first_reason(rules: Sequence[tuple[str, Column]]) -> Column:
@@ -39,11 +39,12 @@ def first_reason(rules: Sequence[tuple[str, Column]]) -> Column:
 def dedupe(df: DataFrame, key: Sequence[str | Column], score: str, order: str) -> DataFrame:
     """Of equal keys the row of the best score stays, the first of equal ones; it takes the earliest place (``position``).
 
-    Hot keys: the winner is found by a grouped maximum, combined before the shuffle, not in a window.
+    ``order`` tells rows apart. Hot keys: the winner is found by a grouped maximum over (order, score, digest of the key),
+    combined before the shuffle, not in a window; the rows themselves meet the winners once, by ``order``.
     """
-    keyed = df.withColumn("_key", F.md5(F.concat_ws("\x1f", *key)))
+    keyed = df.select(order, score, F.md5(F.concat_ws("\x1f", *key)).alias("_key"))
     best = keyed.groupBy("_key").agg(F.max_by(order, F.struct(F.col(score), -F.col(order))).alias("_kept"), F.min(order).alias("position"))
-    return keyed.join(best, (keyed["_key"] == best["_key"]) & (keyed[order] == best["_kept"])).drop("_key", "_kept")
+    return df.join(best.select("_kept", "position"), df[order] == F.col("_kept")).drop("_kept")
 
 
 def signature_key(c: Column, words: int | None = None) -> Column:
@@ -86,7 +87,7 @@ def ratio_split(df: DataFrame, key: str, names: Sequence[str], ratios: Sequence[
     sizes = ratio_sizes(df.count(), ratios)
     from lodestone.operators.groups import numbered
 
-    ranked = numbered(df.withColumn("_h", shuffled_by(seed, key)), "_h", key, name="_n")
+    ranked = numbered(df.withColumn("_h", shuffled_by(seed, key)), "_h", key, name="_n", bucket=F.substring("_h", 1, 3))
     out, upto = F.lit(names[-1]), sum(sizes)
     for name, size in list(zip(names, sizes, strict=True))[::-1]:
         out = F.when(F.col("_n") < upto, name).otherwise(out)

@@ -5,6 +5,9 @@ Missing rewards are NULL, never NaN. Every order-dependent operator takes an ord
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -115,16 +118,36 @@ def weighted_sample(df: DataFrame, weight: str, key: str, n: int, seed: int = 0)
     return df.withColumn("_race", race).orderBy("_race", key).limit(n).drop("_race")
 
 
-def numbered(df: DataFrame, *order: Column | str, name: str = "_n") -> DataFrame:
-    """Adds the global ordinal from 0, without bringing all rows to one task.
+def numbered(df: DataFrame, *order: Column | str, name: str = "_n", bucket: Column | None = None) -> DataFrame:
+    """Adds the global ordinal from 0, without bringing all rows to one task. Rows are distinct in ``order``.
 
-    Rows are sorted by range; each part's size is counted (one row a part), and a row's ordinal is its place in its part
-    and the sizes before it. The sort runs twice unless the input is stored.
+    ``bucket``: a string that grows with the order and cuts the rows into parts of like size, such as the first letters of
+    a hash. Its counts (one row a bucket) give each bucket its start, and rows are ranked within their bucket; a row's
+    bucket and rank come from the row alone, so nothing depends on which task sees it. Without one, the sorted rows are
+    stored first (a reliable checkpoint in spark.checkpoint.dir), and their parts, fixed then, are the buckets.
     """
-    placed = df.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
-    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"), F.min("_at").alias("_low"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return placed.join(F.broadcast(before.select("_part", "_low", "_before")), "_part").withColumn(name, F.col("_at") - F.col("_low") + F.col("_before")).drop("_part", "_at", "_low", "_before")
+    if bucket is None:
+        _checkpoint_dir(df)
+        placed = df.orderBy(*order).withColumn("_part", F.format_string("%010d", F.spark_partition_id())).checkpoint()
+    else:
+        placed = df.withColumn("_part", bucket)
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+    before = sizes.select("_part", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return placed.withColumn("_rank", rank).join(F.broadcast(before), "_part").withColumn(name, F.col("_rank") - 1 + F.col("_before")).drop("_part", "_rank", "_before")
+
+
+def _checkpoint_dir(df: DataFrame) -> None:
+    """Checkpoints go where the session says; only on one machine, and only where it says nothing, to a folder of our own."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        named = sc.getConf().get("spark.checkpoint.dir", None)
+        if named is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+            named = tempfile.mkdtemp(prefix="lodestone-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        sc.setCheckpointDir(named)
 
 
 def repeat_sampler(df: DataFrame, ordinal: str, mini_repeat: int, batch: int, repeats: int) -> DataFrame:

@@ -117,15 +117,15 @@ _add("summarize_text", lambda s, d: read(s, d, "documents").select("doc_id", t.s
 
 
 def _completions(s: SparkSession, d: str) -> DataFrame:
-    k, x = F.col("doc_id") % 5, F.substring("text", 1, 60)
+    k, x = F.col("doc_id") % 5, F.translate("text", "`<", "''")
     fence = lambda y: F.concat(F.lit("```python\n"), y, F.lit("\n```"))
     made = F.when(k == 0, fence(x)).when(k == 1, F.concat(fence(F.lit("a")), F.lit("\nso\n"), fence(x))).when(k == 2, F.concat(F.lit("<think>hm</think> "), x)).when(k == 3, F.concat(F.lit("<CODE>"), x, F.lit("</CODE>"))).otherwise(x)
     return read(s, d, "documents").select("doc_id", made.alias("c"))
 
 
-_C = "x as (select doc_id, doc_id % 5 as k, substr(text, 1, 60) as x from documents)"
+_C = "x as (select doc_id, doc_id % 5 as k, translate(text, '`<', chr(39) || chr(39)) as x from documents)"
 _STRIP = r"regexp_replace(x, '^\s+|\s+$', '', 'g')"
-_add("extract_code_block", lambda s, d: _completions(s, d).select("doc_id", t.code_of(F.col("c")).alias("code"), t.format_ok(F.col("c")).alias("ok")), f"with {_C} select doc_id, case when k = 2 then regexp_replace('<think>hm</think> ' || x, '\\s+$', '') else {_STRIP} end as code, k = 0 as ok from x")
+_add("extract_code_block", lambda s, d: _completions(s, d).select("doc_id", t.code_of(F.col("c")).alias("code"), t.format_ok(F.col("c")).alias("ok")), f"with {_C} select doc_id, case when k = 2 then regexp_replace('<think>hm</think> ' || x, '\\s+$', '') else {_STRIP} end as code, k in (0, 3) as ok from x")
 _add("think_format", lambda s, d: _completions(s, d).select("doc_id", t.think_format(F.col("c")).alias("reward")), f"with {_C} select doc_id, case when k = 2 then 1.0::double else 0.0::double end as reward from x")
 _add("stop_strings", lambda s, d: read(s, d, "documents").select("doc_id", t.before_stops(F.col("text"), [". ", "\n"]).alias("t")), "select doc_id, substr(text, 1, least(case when contains(text, '. ') then strpos(text, '. ') - 1 else length(text) end, case when contains(text, chr(10)) then strpos(text, chr(10)) - 1 else length(text) end)) as t from documents")
 _add("slug", lambda s, d: read(s, d, "pages").select("page_id", t.slug(F.col("url")).alias("slug")), "select page_id, regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') as slug from pages")

@@ -57,12 +57,11 @@ _add("mixture_union", lambda s, d: c.mixture([(docs(s, d).withColumn("id", F.col
 
 
 def cases(s: SparkSession, d: str) -> DataFrame:
-    lines = F.slice(F.split("text", "\n"), 1, 9)
-    return docs(s, d).select("doc_id", F.transform(lines, lambda x: F.struct(F.substring(x, 1, 30).alias("input"), F.substring(x, 5, 40).alias("output"))).alias("cases"))
+    return docs(s, d).select("doc_id", F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("input"), F.reverse(x).alias("output"))).alias("cases"))
 
 
-_CASES = "c as (select doc_id, list_transform(string_split(text, chr(10))[1:9], lambda x: struct_pack(i := substr(x, 1, 30), o := substr(x, 5, 40))) as cs from documents), x as (select doc_id, unnest(cs) as c, unnest(range(len(cs))) as i from c), y as (select doc_id, c, min(i) as i from x group by all), z as (select *, count(*) over (partition by doc_id) as n, row_number() over (partition by doc_id order by length(c.i) + length(c.o), i) - 1 as rk from y where length(c.i) + length(c.o) <= 60)"
-_add("representative_cases", lambda s, d: c.prepared_cases(cases(s, d), "cases", 3, 60, 2).select("doc_id", F.array_join(F.transform("cases", lambda x: F.concat(x["input"], F.lit("|"), x["output"])), "~").alias("cases"), "selected_test_count").where("selected_test_count > 0"), f"with {_CASES} select doc_id, string_agg(c.i || '|' || c.o, '~' order by i) as cases, count(*) as selected_test_count from z where n <= 3 or rk in (0, round_even((n - 1) / 2.0::double, 0)::int, n - 1) group by doc_id")
+_CASES = "c as (select doc_id, list_transform(string_split(text, chr(10)), lambda x: struct_pack(i := x, o := reverse(x))) as cs from documents), x as (select doc_id, unnest(cs) as c, unnest(range(len(cs))) as i from c), y as (select doc_id, c, min(i) as i from x group by all), z as (select *, count(*) over (partition by doc_id) as n, row_number() over (partition by doc_id order by length(c.i) + length(c.o), i) - 1 as rk from y where length(c.i) + length(c.o) <= 600)"
+_add("representative_cases", lambda s, d: c.prepared_cases(cases(s, d), "cases", 3, 600, 2).select("doc_id", F.array_join(F.transform("cases", lambda x: F.concat(x["input"], F.lit("|"), x["output"])), "~").alias("cases"), "selected_test_count").where("selected_test_count > 0"), f"with {_CASES} select doc_id, string_agg(c.i || '|' || c.o, '~' order by i) as cases, count(*) as selected_test_count from z where n <= 3 or rk in (0, round_even((n - 1) / 2.0::double, 0)::int, n - 1) group by doc_id")
 
 # ------------------------------------------------------------------ rewards
 
@@ -87,10 +86,11 @@ _sql = lambda e: f"select l_orderkey, round(sum({e}), 5) as reward from lineitem
 _add("overlong_penalty", _reward(lambda: w.overlong_penalty(C.l_quantity, 40, 20)), _sql("case when l_quantity <= 20 then 0 when l_quantity <= 40 then (20 - l_quantity) / 20.0::double else -1 end"))
 _add("soft_unit", _reward(lambda: w.soft_unit(C.l_discount, 0.02, 0.08)), _sql("(greatest(least(l_discount, 0.08::double), 0.02::double) - 0.02::double) / (0.08::double - 0.02::double)"))
 _add("beta_cap", _reward(lambda: w.bounded_beta(2.0, F.floor(C.l_quantity))), _sql("case when floor(l_quantity) <= 0 then 0 else least(2.0::double / floor(l_quantity), (1 - 1e-6::double) / floor(l_quantity)) end"))
-_add("composite_reward", _reward(lambda: w.composite(C.l_discount * 10, F.col("l_returnflag") == "N", C.l_tax * 10, C.l_quantity / 50, F.col("l_linenumber") > 2, 0.2, 0.1, 0.1)), _sql("greatest(least(greatest(least(l_discount * 10, 1), 0) + case when l_returnflag = 'N' then 1 else 0.5::double end * 0.2::double * greatest(least(l_tax * 10, 1), 0) * case when l_linenumber > 2 then 1 else 0.3::double end + case when l_returnflag = 'N' then 1 else 0.5::double end * 0.1::double * greatest(least(l_quantity / 50, 1), 0) + 0.1::double * (l_returnflag = 'N')::int, 1), 0)"))
+_add("composite_reward", _reward(lambda: w.composite(C.l_discount * 10, F.col("l_returnflag") == "N", C.l_tax * 10, C.l_quantity / 50, F.col("l_linenumber") > 2, 0.2, 0.1, 0.1, 0.5)), _sql("greatest(least(greatest(least(l_discount * 10, 1), 0) + case when l_returnflag = 'N' then 1 else 0.5::double end * 0.2::double * greatest(least(l_tax * 10, 1), 0) * case when l_linenumber > 2 then 1 else 0.3::double end + case when l_returnflag = 'N' then 1 else 0.5::double end * 0.1::double * greatest(least(l_quantity / 50, 1), 0) + 0.1::double * (l_returnflag = 'N')::int, 1), 0)"))
 _add("iterative_priority", _reward(lambda: w.iterative_priority(C.l_discount * 5, C.l_tax - 0.03, F.lit(1.5))), _sql("greatest(greatest(1e-6::double, 4 * l_discount * 5 * (1 - l_discount * 5) + 0.1::double * greatest(0, l_tax - 0.03::double)) * 1.5::double, 1e-6::double)"))
-_add("prior_weight", _reward(lambda: w.prior_weight(C.l_quantity / 50, F.col("l_linenumber"))), _sql("case when l_quantity / 50 >= 0.95::double then 0.2::double when l_quantity / 50 <= 0.05::double and l_linenumber >= 3 then 0.3::double when l_quantity / 50 between 0.2::double and 0.8::double then 1.5::double when l_quantity / 50 < 0.2::double then 0.8::double else 1.0::double end"))
-_add("keep_probability", _reward(lambda: w.keep_probability(0.9, 0.7, F.col("l_linenumber"), C.l_quantity)), _sql("greatest(least(0.9::double * pow(0.7::double, l_linenumber) + 0.01::double * l_quantity, 1), 0.05::double)"))
+_PRIOR_SQL = "case when l_quantity / 50 >= 0.7::double and l_discount * 10 >= 0.7::double then 0.4::double when l_quantity / 50 <= 0.3::double and l_discount * 10 <= 0.3::double and l_linenumber >= 3 then 0.2::double when l_discount * 10 - l_quantity / 50 >= 0.2::double then 1.0::double when l_quantity / 50 - l_discount * 10 >= 0.2::double then 0.7::double else 0.8::double end"
+_add("prior_weight", _reward(lambda: w.prior_weight(C.l_quantity / 50, C.l_discount * 10, F.col("l_linenumber"))), _sql(_PRIOR_SQL))
+_add("keep_probability", _reward(lambda: w.keep_probability(C.l_discount * 10, F.col("l_linenumber"), C.l_quantity - 5, per_step=0.01, most=0.3)), _sql("case when l_linenumber <= 2 then greatest(0.05::double, least(1, l_discount * 10 + case when l_quantity >= 5 then least(0.3::double, (l_quantity - 5) * 0.01::double) else 0 end)) else greatest(0.1::double, least(1, pow(0.5::double, l_linenumber - 2) * l_discount * 10 + case when l_quantity >= 5 then least(0.3::double, (l_quantity - 5) * 0.01::double) else 0 end)) end"))
 _add("density_weight", _reward(lambda: w.density_weight(C.l_discount * 9)), _sql("greatest(least(l_discount * 9 / (1 - l_discount * 9 + 1e-8::double), 10), 0.1::double)"))
 _add("missing_eos", _reward(lambda: w.missing_eos(C.l_quantity, F.col("l_linenumber") > 3, 1.5)), _sql("case when l_linenumber > 3 then l_quantity else l_quantity - 1.5::double end"))
 _add("ema_rate", _reward(lambda: w.ema_rate(C.l_quantity, 10, 2.0, 0.5, 0.15)), _sql("greatest(pow(10 + 2 * l_quantity, -0.5::double), 0.15::double)"))
@@ -112,7 +112,7 @@ def nodes(s: SparkSession, d: str) -> DataFrame:
 
 _N = "n as (select user_id, event_id, ts, event_type, coalesce(value, 0) as value, (event_type = 'purchase')::int::double as rate, event_id % 6 + 1 as round from events)"
 _add("pass_at_k", lambda s, d: r.pass_at_k(nodes(s, d), "user_id", "event_id", "rate", [1, 5, 10]), f"with {_N}, x as (select *, row_number() over (partition by user_id order by event_id) as i from n) select user_id, max((i <= 1 and rate >= 1)::int) as pass_at_1, max((i <= 5 and rate >= 1)::int) as pass_at_5, max((i <= 10 and rate >= 1)::int) as pass_at_10, max(rate) as best from x group by 1")
-_add("cumulative_eval", lambda s, d: r.cumulative_eval(nodes(s, d).where("round < 5 and event_id % 9 = 0"), "user_id", "round", "rate", 6).select("user_id", "round", "best_within", "solved_within"), f"with {_N}, u as (select distinct user_id from n where round < 5 and event_id % 9 = 0) select u.user_id, g.g as round, coalesce(max(rate), 0) as best_within, (coalesce(max(rate), 0) >= 1)::int as solved_within from u cross join range(1, 7) g(g) left join n on n.user_id = u.user_id and n.round <= g.g and n.round < 5 and n.event_id % 9 = 0 group by all")
+_add("cumulative_eval", lambda s, d: r.cumulative_eval(nodes(s, d), "user_id", "round", "rate", 6).select("user_id", "round", "best_within", "solved_within"), f"with {_N}, u as (select distinct user_id from n) select u.user_id, g.g as round, coalesce(max(rate), 0) as best_within, (coalesce(max(rate), 0) >= 1)::int as solved_within from u cross join range(1, 7) g(g) left join n on n.user_id = u.user_id and n.round <= g.g group by all")
 _add("repeat_eval", lambda s, d: r.repeat_eval(nodes(s, d).withColumn("rep", F.col("event_id") % 4), "rep", ["rate", "value"]).select("metric", F.round("mean", 5).alias("mean"), F.round("std", 5).alias("std")), f"with {_N}, m as (select event_id % 4 as rep, avg(rate) as rate, avg(value) as value from n group by 1) select 'rate' as metric, round(avg(rate), 5) as mean, round(stddev_pop(rate), 5) as std from m union all select 'value', round(avg(value), 5), round(stddev_pop(value), 5) from m")
 _add("rollout_summary", lambda s, d: r.rollout_summary(nodes(s, d), "user_id", "value", "rate").select("user_id", "nodes", "zero_variance", "pair_equal", *[F.round(x, 5).alias(x) for x in ("mean_reward", "min_reward", "max_reward", "mean_pass", "best_pass", "pass_share", "zero_share")]), f"with {_N} select user_id, count(*) as nodes, stddev_pop(value) <= 1e-8 as zero_variance, count(*) = 2 and max(value) - min(value) < 1e-8 as pair_equal, round(avg(value), 5) as mean_reward, round(min(value), 5) as min_reward, round(max(value), 5) as max_reward, round(avg(rate), 5) as mean_pass, round(max(rate), 5) as best_pass, round(avg((rate >= 1)::int), 5) as pass_share, round(avg((abs(value) <= 1e-12)::int), 5) as zero_share from n group by 1")
 _add("reward_window", lambda s, d: r.reward_window(nodes(s, d), "event_id", "value", 250).select("window", F.round("mean", 5).alias("mean"), "n", "upto"), f"with {_N} select ceil(event_id / 250.0::double)::bigint as \"window\", round(avg(value), 5) as mean, count(value) as n, max(event_id) as upto from n group by 1")

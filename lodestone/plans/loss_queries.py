@@ -68,8 +68,10 @@ QUERIES["reward_model_loss"] = _mean(lambda: x.reward_model_loss(C.cs, C.rs, F.l
 ORACLES["reward_model_loss"] = _mean_sql(f"-{ls('cs - rs - 0.3::double')} + 0.01::double * pow(cs + rs, 2)")
 QUERIES["xpo_loss"] = _mean(lambda: x.xpo_loss(C.cs, C.rs, C.c, 0.1, 0.001))
 ORACLES["xpo_loss"] = _mean_sql(f"-{ls('z')} + 0.001::double * c")
-QUERIES["nash_md"] = _mean(lambda: x.nash_md_score(C.c, F.col("rc"), x.sigmoid(C.r), 0.1))
-ORACLES["nash_md"] = _mean_sql(f"({sg('r')} - 0.5::double) * c - 0.1::double * (c - rc)")
+QUERIES["nash_md"] = _mean(lambda: x.nash_md_loss("array(c, r)", "array(rc, rr)", x.sigmoid(C.r), 0.1))
+ORACLES["nash_md"] = _mean_sql(f"0.1::double * ((c - rc) * c + (r - rr) * r) - ({sg('r')} - 0.5::double) * (c + r)")
+QUERIES["xpo_loss_ipo"] = _mean(lambda: x.xpo_loss(C.cs, C.rs, C.c, 0.1, 0.001, "ipo"))
+ORACLES["xpo_loss_ipo"] = _mean_sql("pow(cs - rs - 5, 2) + 0.001::double * c")
 QUERIES["ppo_policy_loss"] = _mean(lambda: x.ppo_policy_loss(C.c, C.r, C.cs, 0.2))
 ORACLES["ppo_policy_loss"] = _mean_sql("greatest(-cs * exp(c - r), -cs * greatest(least(exp(c - r), 1.2::double), 0.8::double))")
 QUERIES["ppo_value_loss"] = _mean(lambda: x.ppo_value_loss(C.c, C.r, C.cs, 0.2))
@@ -129,7 +131,7 @@ def _policy(kind: str, level: str = "token"):
     def run(spark: SparkSession, d: str) -> DataFrame:
         rows = sequences(spark, d)
         rows = rows.withColumn("l", x.policy_token_losses(kind, "lp", "old", "adv", "mask", level=level))
-        return x.reduce_policy(kind, rows, "l", "mask", 64, "label").select("label", (F.round("loss", 6) + 0.0).alias("loss"))
+        return x.reduce_policy(kind, rows, "l", "mask", 64, "label", level).select("label", (F.round("loss", 6) + 0.0).alias("loss"))
 
     return run
 

@@ -30,12 +30,12 @@ def _value(column, name: str = "x", places: int = 6):
     return lambda s, d: vectors(s, d).select("vec_id", (F.round(column(), places) + 0.0).alias(name))
 
 
+_sum = lambda c: F.aggregate(c, F.lit(0.0), lambda x, y: x + y)
 _add("log_softmax_gather", _value(lambda: t.log_softmax_at("a", "label")), f"with {_V} select vec_id, round(max(case when i = label then a end) - ln(sum(exp(a))), 6) + 0.0 as x from v group by vec_id")
 _add("entropy", _value(lambda: t.entropy("a")), f"with {_V} select vec_id, round(ln(sum(exp(a))) - sum(a * exp(a)) / sum(exp(a)), 6) + 0.0 as x from v group by vec_id")
 _add("masked_mean", _value(lambda: t.masked_mean("a", "m")), f"with {_V} select vec_id, round(sum(a * m) / sum(m), 6) + 0.0 as x from v group by vec_id")
 _add("masked_var", _value(lambda: t.masked_var("a", "m")), f"with {_V} select vec_id, round(var_samp(a) filter (where m = 1), 6) + 0.0 as x from v group by vec_id")
-_add("masked_whiten", lambda s, d: vectors(s, d).withColumns({"mu": t.masked_mean("a", "m"), "var": t.masked_var("a", "m")}).select("vec_id", F.expr("round(aggregate(transform(transform(a, x -> (x - mu) / sqrt(var + 1e-8D)), (x, i) -> x * (i + 1)), 0D, (s, x) -> s + x), 4) + 0.0").alias("x")), f"with {_V}, w as (select vec_id, avg(a) filter (where m = 1) as mu, var_samp(a) filter (where m = 1) as va from v group by vec_id) select vec_id, round(sum((a - mu) / sqrt(va + 1e-8) * (i + 1)), 4) + 0.0 as x from v join w using (vec_id) group by vec_id")
-_sum = lambda c: F.aggregate(c, F.lit(0.0), lambda x, y: x + y)
+_add("masked_whiten", lambda s, d: vectors(s, d).withColumns({"mu": t.masked_mean("a", "m"), "var": t.masked_var("a", "m")}).select("vec_id", (F.round(_sum(F.transform(t.whitened("a", "m", "mu", "var"), lambda x, i: x * (i + 1))), 4) + 0.0).alias("x")), f"with {_V}, w as (select vec_id, avg(a) filter (where m = 1) as mu, var_samp(a) filter (where m = 1) as va from v group by vec_id) select vec_id, round(sum((a - mu) / sqrt(va + 1e-8) * (i + 1)), 4) + 0.0 as x from v join w using (vec_id) group by vec_id")
 _add("k3_kl", _value(lambda: _sum(t.k3_kl("a", "b"))), f"with {_V} select vec_id, round(sum(exp(a - b) - (a - b) - 1), 6) + 0.0 as x from v group by vec_id")
 _add("is_ratio_token", _value(lambda: _sum(t.importance_ratio("a", "b", "m", "token", 1.2))), f"with {_V} select vec_id, round(sum(least(exp((a - b) * m), 1.2::double)), 6) + 0.0 as x from v group by vec_id")
 _add("is_ratio_sequence", _value(lambda: t.importance_ratio("a", "b", "m", "sequence", 2.0, "mask")), f"with {_V}, r as (select vec_id, exp(sum((a - b) * m)) as r from v group by vec_id) select vec_id, round(case when r > 2 then 0 else r end, 6) + 0.0 as x from r")
@@ -54,7 +54,7 @@ def user_series(s: SparkSession, d: str) -> DataFrame:
 
 _E = "e as (select user_id, coalesce(value, 0) / 100 as r, row_number() over (partition by user_id order by ts, event_id) as i, count(*) over (partition by user_id) as n from events)"
 _add("gae", lambda s, d: user_series(s, d).select("user_id", t.gae("r", "v", 0.9, 0.95).alias("g")).select("user_id", F.posexplode("g").alias("i", "x")).select("user_id", "i", (F.round(F.col("x") * 1.4142135623730951, 6) + 0.0).alias("x")), f"with recursive {_E}, g as (select user_id, i, n, r + 0.9::double * coalesce(lead(r * 0.5) over (partition by user_id order by i), 0) - r * 0.5 as delta from e), f as (select user_id, i, delta as x from g where i = n union all select g.user_id, g.i, g.delta + 0.855::double * f.x from f join g on g.user_id = f.user_id and g.i = f.i - 1) select user_id, i - 1 as i, round(x * 1.4142135623730951::double, 6) + 0.0 as x from f")
-_add("discounted_suffix", lambda s, d: user_series(s, d).select("user_id", F.posexplode(t.discounted_suffix("r", 0.9)).alias("i", "x")).select("user_id", "i", (F.round("x", 6) + 0.0).alias("x")), f"with recursive {_E}, f as (select user_id, i, r::double as x from e where i = n union all select e.user_id, e.i, e.r + 0.9::double * f.x from f join e on e.user_id = f.user_id and e.i = f.i - 1) select user_id, i - 1 as i, round(x, 6) + 0.0 as x from f")
+_add("discounted_suffix", lambda s, d: user_series(s, d).select("user_id", F.posexplode(t.discounted_suffix("r", 0.9)).alias("i", "x")).select("user_id", "i", (F.round("x", 6) + 0.0).alias("x")), f"with {_E} select user_id, i - 1 as i, round(sum(r * pow(0.9::double, i - 1)) over (partition by user_id order by i desc), 6) + 0.0 as x from e")
 
 # ------------------------------------------------------------------ ids
 
@@ -72,7 +72,7 @@ _add("pack_wrapped", lambda s, d: packing.pack_wrapped(ids(s, d), "ids", "batch"
 _add("pack_bfd", lambda s, d: packing.pack_bfd(ids(s, d), ["ids"], "batch", "doc_id", 1024).select("batch", "row", F.size("ids").alias("n"), "seq_lengths"), None)
 _add("pad_left", lambda s, d: ids(s, d).withColumn("cut", t.truncated("ids", 30)).select("doc_id", F.array_join(t.padded("cut", "30", "0", "left", 8), ",").alias("ids")), f"with {_I}, c as (select doc_id, ids[1:30] as c from w) select doc_id, array_to_string(list_concat(list_transform(range(32 - len(c)), lambda x: 0), c), ',') as ids from c")
 _add("label_mask", lambda s, d: ids(s, d).withColumn("mask", F.transform("ids", lambda x: (x % 2).cast("int"))).select("doc_id", F.md5(F.array_join(t.labels("ids", "mask"), ",")).alias("labels")), f"with {_I} select doc_id, md5(array_to_string(list_transform(ids, lambda x: case when x % 2 = 1 then x else -100 end), ',')) as labels from w")
-_add("position_ids", lambda s, d: ids(s, d).select("doc_id", F.array_join(t.position_ids("slice(ids, 1, 12)"), ",").alias("p")), f"with {_I} select doc_id, array_to_string(flatten(list_transform(ids[1:12], lambda n: range(n))), ',') as p from w")
+_add("position_ids", lambda s, d: ids(s, d).select("doc_id", F.array_join(t.position_ids("ids"), ",").alias("p")), f"with {_I} select doc_id, array_to_string(flatten(list_transform(ids, lambda n: range(n))), ',') as p from w")
 _add("flush_left", lambda s, d: ids(s, d).withColumn("mask", F.transform("ids", lambda x: (x > 4).cast("int"))).select("doc_id", F.md5(F.array_join(t.flushed("mask", "ids"), ",")).alias("ids")), f"with {_I}, f as (select doc_id, ids, coalesce(list_position(list_transform(ids, lambda x: x > 4), true), len(ids) + 1) as p from w) select doc_id, md5(array_to_string(list_concat(ids[p:], list_transform(range(p - 1), lambda x: 0)), ',')) as ids from f")
 _add("first_true", lambda s, d: ids(s, d).select("doc_id", t.first_true("transform(ids, x -> x > 9)").alias("i")), f"with {_I} select doc_id, coalesce(list_position(list_transform(ids, lambda x: x > 9), true) - 1, len(ids)) as i from w")
 _add("high_entropy_mask", lambda s, d: high_entropy(s, d), f"with {_V}, q as (select quantile_cont(abs(a), 0.8) as q from v where m = 1) select vec_id, count(*) filter (where m = 1 and abs(a) >= q) as n from v, q group by vec_id")

@@ -143,3 +143,48 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {r.k: (r.ema, r.seen, r.streak) for r in spark.table("priors").collect()}
     batch = {r.k: (r.ema, r.seen) for r in rollout.ema_prior(df, "k", ["step"], "v", 0.8).collect()}
     assert {k: v[:2] for k, v in got.items()} == batch and got["a"][2] == 2
+
+
+def test_numbered_on_many_parts(spark):
+    """Every row once, in order, with an unused wide column and parts whose sort could fall differently."""
+    df = spark.range(0, 200_000, 1, 16).select((F.col("id") * 7919 % 200_003).alias("k"), F.sha2(F.col("id").cast("string"), 512).alias("wide"))
+    got = groups.numbered(df, "k", name="n").agg(F.count("*").alias("c"), F.countDistinct("n").alias("d"), F.min("n").alias("lo"), F.max("n").alias("hi")).first()
+    assert tuple(got) == (200_000, 200_000, 0, 199_999)
+    ordered = groups.numbered(df.select("k"), "k", name="n").orderBy("n").limit(1000).collect()
+    assert [r.n for r in ordered] == list(range(1000)) and [r.k for r in ordered] == sorted(r.k for r in ordered)
+    parts = {r.split: r["count"] for r in curate.ratio_split(df, "k", ("train", "validation", "test"), (0.7, 0.15, 0.15)).groupBy("split").count().collect()}
+    assert parts == {"train": 140_000, "validation": 30_000, "test": 30_000}
+
+
+def test_priors_by_literals(spark):
+    weight = lambda c, r, n: value(spark, rewards.prior_weight(F.lit(c), F.lit(r), F.lit(n)))
+    assert [weight(0.9, 0.8, 1), weight(0.1, 0.2, 3), weight(0.1, 0.2, 2), weight(0.2, 0.5, 9), weight(0.6, 0.3, 9), weight(0.5, 0.4, 1)] == [0.4, 0.2, 0.8, 1.0, 0.7, 0.8]
+    keep = lambda p, s, a, **k: round(value(spark, rewards.keep_probability(F.lit(p), F.lit(s).cast("int"), F.lit(a), **k)), 9)
+    assert keep(0.8, None, 5) == 0.8 and keep(0.8, 2, 5) == 0.8 and keep(0.8, 3, -1) == 0.4 and keep(0.8, 9, 0) == 0.1
+    assert keep(0.8, 4, 10, per_step=0.02, most=0.1) == 0.3 and keep(0.01, 0, 0) == 0.05
+    assert value(spark, rewards.composite(F.lit(0.0), F.lit(True), F.lit(1.0), F.lit(0.0), F.lit(True), 7.0, -1.0, 0.0)) == 1.0
+
+
+def test_losses_by_literals(spark):
+    df = spark.createDataFrame([([1.0, 2.0], [1, 1]), ([3.0, 0.0, 6.0], [1, 0, 1])], "l array<double>, m array<int>")
+    # sequence level: mean of (3/2 * 2, 9/3 * 2); token level: (3 * 2 + 9 * 2) / (2 * 3)
+    assert losses.reduce_policy("luspo", df, "l", "m", level="sequence").first().loss == pytest.approx(4.5)
+    assert losses.reduce_policy("luspo", df, "l", "m").first().loss == pytest.approx(4.0)
+    assert value(spark, losses.nash_md_loss("array(-1D, -2D)", "array(-1.5D, -1D)", F.lit(0.75), 0.1)) == pytest.approx(0.1 * (0.5 * -1 + -1 * -2) - 0.25 * -3)
+    assert value(spark, losses.xpo_loss(F.lit(1.0), F.lit(3.0), F.lit(-4.0), 0.1, 0.5, "ipo")) == pytest.approx(49 - 2)
+    assert value(spark, losses.divergence_scores("alpha_divergence", F.lit(0.7), 1.0)) == 0.7
+    assert value(spark, tokens.discounted_suffix("array(1D, 2D, 4D)", 0.5)) == [3.0, 2.0, 1.0]
+    assert value(spark, tokens.discounted_suffix("array(1D, 2D, 4D)", 0.5, "array(1, 1, 0)", True)) == pytest.approx([2 / 1.500025, 1 / 0.500025, 0.0])
+    assert value(spark, tokens.discounted_suffix("array(1D, 2D)", 0.0)) == [1.0, 2.0]
+
+
+def test_code_blocks(spark):
+    cases = [
+        ("```python\nx = 1\n```", "x = 1", True), ("a ```x``` b", "x", False), ("```\na\n```\n```py\nb\n```", "py\nb", False), ("```python\nopen", "open", False),
+        ("text ```python\nopen", "text ```python\nopen", False), ("<CODE> y </CODE>", "y", True), ("<code>y</code><code>z</code>", "z", False), ("﻿ plain ", "plain", False),
+    ]
+    got = [tuple(r) for r in spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, t string").orderBy("i").select(text.code_of(F.col("t")), text.format_ok(F.col("t"))).collect()]
+    assert got == [c[1:] for c in cases]
+    assert value(spark, text.signature(F.lit("One\rTwo\r\n<b>3!"))) == "one two 3"
+    assert value(spark, rewards.reasoning_accuracy(F.lit("no end 4"), F.lit("4"), ["</think>"])) == 0.0
+    assert value(spark, curate.mentions(F.lit("Use File Output here"), curate.FILE_IO)) and value(spark, curate.imports_packages(F.lit("x\nfrom requests import get")))
