@@ -117,11 +117,15 @@ def diagnostics(cases: str, m: int) -> Column:
     return F.expr(f"transform(slice(array_sort(transform({cases}, (c__, i__) -> named_struct('l', length(c__.input) + length(c__.output), 'i', i__))), 1, {m}), x__ -> {cases}[x__.i])")
 
 
-def prepared_cases(df: DataFrame, column: str, most: int, letters: int, diagnostic: int) -> DataFrame:
-    """Distinct cases within the length, the representative ones, the diagnostics, and the counts of each step."""
-    df = df.withColumn("_d", F.array_distinct(column)).withColumn("_f", F.expr(f"filter(_d, c__ -> length(c__.input) + length(c__.output) <= {letters})"))
+def prepared_cases(df: DataFrame, column: str, most: int, letters: int, diagnostic: int, letters_out: int | None = None) -> DataFrame:
+    """Distinct cases whose input and output are within their lengths, the representative ones, the diagnostics, and the counts of each step.
+
+    ``source_test_count`` counts distinct cases. ``letters_out``: the limit of outputs, if not that of inputs.
+    """
+    limit = letters if letters_out is None else letters_out
+    df = df.withColumn("_d", F.array_distinct(column)).withColumn("_f", F.expr(f"filter(_d, c__ -> length(c__.input) <= {letters} and length(c__.output) <= {limit})"))
     df = df.withColumn("_r", representative("_f", most))
-    return df.withColumns({"source_test_count": F.size(column), "oversized_test_count": F.size("_d") - F.size("_f"), "selected_test_count": F.size("_r"), "diagnostics": diagnostics("_r", diagnostic), column: F.col("_r")}).drop("_d", "_f", "_r")
+    return df.withColumns({"source_test_count": F.size("_d"), "oversized_test_count": F.size("_d") - F.size("_f"), "selected_test_count": F.size("_r"), "diagnostics": diagnostics("_r", diagnostic), column: F.col("_r")}).drop("_d", "_f", "_r")
 
 
 def pending(pool: DataFrame, done: DataFrame, key: str) -> DataFrame:

@@ -61,7 +61,7 @@ def cases(s: SparkSession, d: str) -> DataFrame:
 
 
 _CASES = "c as (select doc_id, list_transform(string_split(text, chr(10)), lambda x: struct_pack(i := x, o := reverse(x))) as cs from documents), x as (select doc_id, unnest(cs) as c, unnest(range(len(cs))) as i from c), y as (select doc_id, c, min(i) as i from x group by all), z as (select *, count(*) over (partition by doc_id) as n, row_number() over (partition by doc_id order by length(c.i) + length(c.o), i) - 1 as rk from y where length(c.i) + length(c.o) <= 600)"
-_add("representative_cases", lambda s, d: c.prepared_cases(cases(s, d), "cases", 3, 600, 2).select("doc_id", F.array_join(F.transform("cases", lambda x: F.concat(x["input"], F.lit("|"), x["output"])), "~").alias("cases"), "selected_test_count").where("selected_test_count > 0"), f"with {_CASES} select doc_id, string_agg(c.i || '|' || c.o, '~' order by i) as cases, count(*) as selected_test_count from z where n <= 3 or rk in (0, round_even((n - 1) / 2.0::double, 0)::int, n - 1) group by doc_id")
+_add("representative_cases", lambda s, d: c.prepared_cases(cases(s, d), "cases", 3, 300, 2).select("doc_id", F.array_join(F.transform("cases", lambda x: F.concat(x["input"], F.lit("|"), x["output"])), "~").alias("cases"), "selected_test_count").where("selected_test_count > 0"), f"with {_CASES} select doc_id, string_agg(c.i || '|' || c.o, '~' order by i) as cases, count(*) as selected_test_count from z where n <= 3 or rk in (0, round_even((n - 1) / 2.0::double, 0)::int, n - 1) group by doc_id")
 
 # ------------------------------------------------------------------ rewards
 

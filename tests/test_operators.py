@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.functions import losses, rewards, text, tokens
-from lodestone.operators import convert, curate, execute, groups, packing, rollout
+from lodestone.functions import losses, prepare, rewards, text, tokens
+from lodestone.operators import convert, curate, execute, groups, metrics, packing, problems, rollout
 from lodestone.sources import records
 from lodestone.streaming import state
 
@@ -188,3 +188,31 @@ def test_code_blocks(spark):
     assert value(spark, text.signature(F.lit("One\rTwo\r\n<b>3!"))) == "one two 3"
     assert value(spark, rewards.reasoning_accuracy(F.lit("no end 4"), F.lit("4"), ["</think>"])) == 0.0
     assert value(spark, curate.mentions(F.lit("Use File Output here"), curate.FILE_IO)) and value(spark, curate.imports_packages(F.lit("x\nfrom requests import get")))
+
+
+def test_token_preparation(spark):
+    one = lambda *columns: tuple(spark.range(1).select(*columns).first())
+    assert one(prepare.completion_mask("array(7, 8)", "array(7, 8, 9)"), prepare.is_prefix("array(7, 9)", "array(7, 8, 9)")) == ([0, 0, 1], False)
+    assert one(prepare.with_bos("array(1, 2)", 1), prepare.with_bos("cast(array() as array<int>)", 1), prepare.with_eos("array(1)", 2), prepare.with_bos("array(5)", None)) == ([1, 2], [1], [1, 2], [5])
+    assert one(prepare.after_stop("array(4, 9, 9, 5)", 9, 0), prepare.after_stop_mask("array(4, 5)", 9)) == ([4, 9, 0, 0], [1, 1])
+    assert one(*prepare.collated("array(1, 2, 3)", "array(4, 5)", 3)) == ([3, 4, 5], [-100, 4, 5])
+    assert one(*prepare.matches("array(1, 2, 3)", "array(1, -100, 4)")) == (1, 2)
+    assert one(prepare.sequence_logp("array(-1D, -3D)", "array(-100, 5)", True), prepare.sequence_logp("array(-1D)", "array(-100)", True)) == (-3.0, None)
+    assert one(prepare.shared_prefix("array(1, 2, 3)", "array(1, 2)"), prepare.shared_prefix("array(1)", "array(2)")) == (2, 0)
+    pairs = spark.createDataFrame([(0, 1.0, 0.0), (0, 0.0, 1.0), (0, 2.0, 2.0)], "g int, c double, r double")
+    assert metrics.pair_accuracy(pairs, ["g"], "c", "r").first().accuracy == 0.5
+    lengths = spark.createDataFrame([(0, 3, False), (0, 5, False)], "g int, n int, done boolean")
+    assert tuple(metrics.completion_lengths(lengths, ["g"], F.col("n"), F.col("done")).first()) == (0, 4.0, 3, 5, 1.0, 0.0, 0, 0)
+
+
+def test_code_problems(spark):
+    raw = [
+        ("add two numbers", ["1 2\n", "7 8\n", "10 5\n", "1 2\n"], ["3\n", "15\n", "15\n", "3\n"], ["print(sum(map(int, input().split())))"], ["Python3"], None),
+        ("x", ["1"], ["1"], ["print(1)"], ["python"], "solve"), ("x", [], [], ["print(1)"], ["py"], None), (" ", ["1"], ["1"], ["print(1)"], ["py"], None), ("x", ["1"], ["1", "2"], ["int main() {}"], ["3"], None),
+    ]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(raw)], "i int, prompt string, a array<string>, b array<string>, s array<string>, l array<string>, fn string")
+    rows = df.withColumns({"cases": problems.paired_cases("a", "b"), "solutions": problems.python_solutions("s", "l")})
+    got = problems.normalised(rows, "prompt", "cases", "solutions", "fn").orderBy("i").collect()
+    assert [r.reject_reason for r in got] == [None, "non_stdio_task", "missing_tests", "missing_prompt", "missing_python_reference_solution"]
+    assert (got[0].source_test_count, got[0].selected_test_count, got[0].oversized_test_count) == (3, 3, 0)
+    assert [c.input for c in got[0].diagnostics] == ["1 2\n", "7 8\n", "10 5\n"]
