@@ -44,8 +44,9 @@ x as (select doc_id, len(s) as n, hash(unnest(s)) as x from s),
 p as (select a.doc_id as a, b.doc_id as b, a.n + b.n as n, count(*) as i from x a join x b on a.x = b.x and a.doc_id < b.doc_id and 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) group by all),
 h as (select a, b from p where 100 * i >= 85 * (n - i)),
 l as (select a, b from h union all select b, a from h),
+k as (select a as doc_id, count(*) as n_links from l group by 1),
 c as (select doc_id, doc_id as other from n union select c.doc_id, l.b from c join l on l.a = c.other)
-select n.doc_id, n.n as n_shingles, min(c.other) as component_id from n join c using (doc_id) group by all
+select n.doc_id, n.n as n_shingles, min(c.other) as component_id, coalesce(max(k.n_links), 0) as n_links from n join c using (doc_id) left join k using (doc_id) group by all
 """
 
 OP6 = f"""
