@@ -59,10 +59,19 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/lodestone/{label}-{uuid.uuid4().hex}"
 
 
+#: Spark's own setting for deleting the shuffle files of a query when it has ended.
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
+    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors, frees the write's shuffle files."""
     path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
+    before = df.sparkSession.conf.get(_FREE_SHUFFLES, "false")
+    df.sparkSession.conf.set(_FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        df.sparkSession.conf.set(_FREE_SHUFFLES, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._lodestone_path = path
     return out

@@ -22,7 +22,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import remove, scratch, trimmed
+from lodestone.llm.common import discard, materialise, remove, scratch, trimmed
 
 SHARD_ROWS = 1 << 20
 HELD_BYTES = 64 << 20
@@ -89,8 +89,10 @@ class HashArrays:
         The driver sees one number a shard of about a million rows.
         """
         sizes = np.zeros(1 << self.bits, np.uint64)
-        for r in written.select("shard", "n").toLocalIterator():
+        noted = materialise(written.select("shard", "n"), "sizes")
+        for r in noted.toLocalIterator():
             sizes[r.shard] = r.n
+        discard(noted)
         self.rows = int(sizes.sum())
         save(self.uri, "sizes", sizes)
         return self

@@ -1,26 +1,33 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark and scored from memory-mapped sorted hash arrays.
+"""Interpolated modified Kneser-Ney n-gram model (order 3, or 2), counted in Spark and scored from memory-mapped sorted hash arrays.
 
 Counting. The words of the training texts are counted (pre-aggregated in each task, summed in Spark) and stored as sorted
-hash arrays; a word's shard and place there are its number. Pairs of neighbouring words, as two numbers in one 64-bit
-key, are counted in each task and sent as blocks to parts by the hash of the pair, so a frequent word's pairs spread over
-all parts. Each part merges its blocks, stores its pairs as a sorted hash array and reports, for its words, how many
-different pairs begin (seen once, twice, more) and end with them; these reports are summed by shard of the vocabulary and
-stored beside it. Shards and parts grow in number, not in size, with the corpus.
-
-Scoring. p(w|v) = max(c(vw) - D, 0) / c(v) + g(v) p(w), and p(w) likewise from the number of different words before w,
-interpolated with the uniform distribution over the vocabulary and one unknown word; D depends on whether the count is
-1, 2 or more and comes from the counts of counts (Chen and Goodman). Workers map the arrays and look up the distinct
-words and pairs of a slice of texts at a time.
-
-``BITS``: word numbers have 32 bits (24 for the place within a shard), so a vocabulary may have 268 million words or so;
-beyond it ``train`` raises. Results for odd input: a null or empty text is the end token alone; repeated rows count as
+hash arrays; a word's shard and place there are its number. Every text is read as if ``START`` stood twice before it.
+The pair before each word, its context, is one 64-bit hash of two numbers; (context, word) is counted in each task and sent
+in blocks to the part of the context's hash, ``ROUNDS`` ranges of parts one after the other, so that a round's shuffle is
+gone before the next. A part stores its contexts: those seen once with the word that followed (``once``; their three words
+are not stored again), the others with their counts (``pairs``) and the counts of what followed (``triples``). A second
+scan finds the different words before each pair of ``pairs`` (before a pair of ``once`` there is one); each part then
+reports, for its words, how many different words stand before and after them, and these reports are summed by shard of the
+vocabulary.
+
+Scoring. p(w|uv) = (max(c(uvw) - D, 0) + g(uv) p(w|v)) / c(uv); p(w|v) likewise from the number of different words before
+vw, p(w) from the number of different words before w, interpolated with the uniform distribution over the vocabulary and
+one unknown word; D depends on whether the count is 1, 2 or more and comes from the counts of counts of its order (Chen and
+Goodman). A context never seen leaves the lower order as it is. With ``order`` 2 the pair counts are those of the texts and
+the model ends there. Workers map the arrays and look up the distinct words, pairs and triples of a slice of texts at a time.
+
+Hot pairs: a pair's block has a row for each different neighbour of it in a task's flush, so it grows with the vocabulary
+and the number of flushes, not with how often the pair stands in the corpus.
+
+``PLACE_BITS``: word numbers have 32 bits (24 for the place within a shard), so a vocabulary may have 268 million words or
+so; beyond it ``train`` raises. Results for odd input: a null or empty text is the end token alone; repeated rows count as
 often as they stand there; without training texts every probability is that of the uniform distribution over the one
 unknown word (scores 0); columns of the input are kept, those added are named ``_l_*``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,18 +35,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import by_part, joined, materialise, scratch, table, trimmed, without_prefix
+from lodestone.llm.common import by_part, discard, joined, materialise, scratch, table, trimmed, without_prefix
 from lodestone.llm.hasharrays import SHARD_ROWS, HashArrays, save, told
-from lodestone.llm.textscan import Slice, mix, slices
+from lodestone.llm.textscan import Slice, mix, slices, unmix
 
 PLACE_BITS = 24
-PART_PAIRS = 2_000_000
-FLUSH_PAIRS = 2_000_000
+PART_TOKENS = 2_000_000
+FLUSH_ROWS = 1_000_000
+ROUNDS, LEFT_ROUNDS = 3, 2
 _U = np.uint64
 END = _U(0x0E4D0E4D0E4D0E4D)
-START_ID = _U(0xFFFFFFFF)
-SIZES = -3
-_STATS = {"n1": "u4", "n2": "u4", "n3": "u4", "before": "u4"}
+START_ID, UNKNOWN_ID, NONE_ID = _U(0xFFFFFFFF), _U(0xFFFFFFFE), _U(0xFFFFFFFD)
+_LOW = _U(0xFFFFFFFF)
+_STATS = {"n1": "u4", "n2": "u4", "n3": "u4", "before": "u4", "total": "i8"}
+_BLOCKS = "part long, h binary, id binary, c binary"
 
 
 def tokens(s: Slice) -> tuple[np.ndarray, np.ndarray]:
@@ -58,17 +67,39 @@ def _grouped(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return keys[edge], np.add.reduceat(counts, edge) if len(keys) else counts
 
 
+def _pair(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A bijection of two word numbers."""
+    return mix((left << _U(32)) | right)
+
+
+def _before(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The number before each one of a text, the start before a text's first."""
+    out = np.empty_like(ids)
+    out[1:] = ids[:-1]
+    out[bounds[:-1][np.diff(bounds) > 0]] = START_ID
+    return out
+
+
+def _triple(h: np.ndarray, word: np.ndarray, bits: int) -> np.ndarray:
+    """A hash of a pair's hash and a word that stays in the shard of the pair."""
+    t = mix(h + (word + _U(1)) * _U(0x9E3779B97F4A7C15))
+    return t if not bits else (h >> _U(64 - bits) << _U(64 - bits)) | (t >> _U(bits))
+
+
 @dataclass
 class Model:
     """Where the arrays are and the few numbers besides."""
 
+    order: int
     words: HashArrays
+    once: HashArrays
     pairs: HashArrays
+    triples: HashArrays
     total: int
     distinct: int
-    texts: int
-    start: tuple[int, int, int]
-    discounts: tuple[float, float, float]
+    start: tuple[int, int, int, int]
+    top: tuple[float, float, float]
+    middle: tuple[float, float, float]
     lower: tuple[float, float, float]
     lower_total: int
     lower_counts: tuple[int, int, int]
@@ -77,8 +108,6 @@ class Model:
         """Sums by text of log10 probabilities: the model's and the base's, and the number of known tokens."""
         names, where = np.unique(h, return_inverse=True)
         known, got = self.words.find(names)
-        first = np.zeros(len(h), bool)
-        first[bounds[:-1][np.diff(bounds) > 0]] = True
         c, before = got["c"].astype(float), got["before"].astype(float)
         uniform = 1.0 / (self.distinct + 1)
         if self.lower_total:
@@ -86,25 +115,33 @@ class Model:
             unigram = np.maximum(before - self._discount(before, self.lower), 0) / self.lower_total + rest * uniform
         else:
             unigram = np.full(len(names), uniform)
-        lower = unigram[where]
+        ids = np.where(known, got["id"].astype(np.uint64), UNKNOWN_ID)[where]
+        left = _before(ids, bounds)
+        first = left == START_ID
         previous = np.concatenate((where[:1], where[:-1])) if len(where) else where
-        context = np.where(first, self.texts, c[previous])
-        stats = [np.where(first, self.start[k], got[n].astype(float)[previous]) for k, n in enumerate(("n1", "n2", "n3"))]
-        ids = got["id"].astype(np.uint64)
-        key = (np.where(first, START_ID, ids[previous]) << _U(32)) | ids[where]
-        possible = known[where] & (context > 0)
-        count = np.zeros(len(h))
-        if possible.any():
-            keys, back = np.unique(mix(key[possible]), return_inverse=True)
-            count[possible] = self.pairs.find(keys)[1]["c"][back]
-        spared = sum(d * n for d, n in zip(self.discounts, stats, strict=True))
-        safe = np.maximum(context, 1)
-        p = np.where(context > 0, np.maximum(count - self._discount(count, self.discounts), 0) / safe + spared / safe * lower, lower)
+        stats = [np.where(first, self.start[k], got[n].astype(float)[previous]) for k, n in enumerate(("n1", "n2", "n3", "total"))]
+        hashes, place = np.unique(np.concatenate((_pair(left, ids), _pair(_before(left, bounds), left))), return_inverse=True)
+        single, follows = self.once.find(hashes)
+        several, counted = self.pairs.find(hashes)
+        pair, context = place[: len(ids)], place[len(ids) :]
+        p = self._interpolated(np.where(single, 1.0, counted["left"])[pair], stats[:3], stats[3], self.middle, unigram[where])
+        if self.order == 3:
+            count = (single[context] & (follows["next"][context] == ids)).astype(float)
+            at = np.flatnonzero(several[context])
+            keys, back = np.unique(_triple(hashes[context[at]], ids[at], self.pairs.bits), return_inverse=True)
+            count[at] = self.triples.find(keys)[1]["c"][back]
+            alone = single[context].astype(float)
+            stats = [(counted[n].astype(float)[context] + (alone if n in ("n1", "c") else 0)) for n in ("n1", "n2", "n3", "c")]
+            p = self._interpolated(count, stats[:3], stats[3], self.top, p)
         row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
         base = np.log10((c + 0.5) / (self.total + 0.5 * (self.distinct + 1)))[where]
         sums = lambda x: np.bincount(row, x, minlength=len(bounds) - 1)
         return {"score": sums(np.log10(p)), "base": sums(base), "known": sums(known[where]).astype(np.int64)}
 
+    def _interpolated(self, count: np.ndarray, seen: list[np.ndarray], context: np.ndarray, d: tuple[float, float, float], lower: np.ndarray) -> np.ndarray:
+        spared = sum(x * n for x, n in zip(d, seen, strict=True))
+        return np.where(context > 0, (np.maximum(count - self._discount(count, d), 0) + spared * lower) / np.maximum(context, 1), lower)
+
     @staticmethod
     def _discount(count: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
         return np.choose(np.clip(count, 0, 3).astype(np.int64), (0.0, *d))
@@ -129,10 +166,10 @@ def _word_counts(docs: DataFrame, text: str) -> DataFrame:
             for s in slices(batch.column(0), lower=True):
                 held.append(np.unique(tokens(s)[0], return_counts=True))
                 size += len(held[-1][0])
-                if size > FLUSH_PAIRS:
+                if size > 2 * FLUSH_ROWS:
                     held = [_grouped(*map(np.concatenate, zip(*held, strict=True)))]
                     size = len(held[0][0])
-                    if size > FLUSH_PAIRS // 2:
+                    if size > FLUSH_ROWS:
                         yield pa.RecordBatch.from_arrays([pa.array(held[0][0].view(np.int64)), pa.array(held[0][1])], names=["h", "c"])
                         held, size = [], 0
         if held:
@@ -171,107 +208,191 @@ def _blocks(part: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=["part", *columns])
 
 
-def _pair_blocks(docs: DataFrame, text: str, words: HashArrays, parts: int) -> DataFrame:
-    """(part, keys, counts): the pairs of the texts, counted by task."""
+def _gathered(docs: DataFrame, text: str, words: HashArrays, bits: int, chosen: tuple[int, int], rows_of: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(part, h, id, c): what ``rows_of`` gives for a slice's word numbers, a pair's hash and a word, counted by task; of the parts from chosen[0] up to chosen[1]."""
     numbers = words.only("id")
 
-    def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        keys, counts = _grouped(*map(np.concatenate, zip(*held, strict=True)))
-        part = ((mix(keys) >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        return _blocks(part[order], {"keys": keys[order], "counts": counts[order].astype(np.uint32)})
+    def flush(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        t, h, word, c = map(np.concatenate, zip(*held, strict=True))
+        order = np.argsort(t)
+        edge = np.flatnonzero(np.concatenate(([True], t[order][1:] != t[order][:-1])))
+        c = np.add.reduceat(c[order], edge)
+        h, word = h[order][edge], word[order][edge]
+        order = np.argsort(h)
+        h = h[order]
+        return _blocks((h >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64), {"h": h, "id": word[order].astype(np.uint32), "c": c[order].astype(np.uint32)})
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         size = 0
         for batch in batches:
             for s in slices(batch.column(0), lower=True):
-                h, bounds = tokens(s)
-                names, where = np.unique(h, return_inverse=True)
-                ids = numbers.find(names)[1]["id"].astype(np.uint64)[where]
-                before = np.empty_like(ids)
-                before[1:] = ids[:-1]
-                before[bounds[:-1]] = START_ID
-                held.append(np.unique((before << _U(32)) | ids, return_counts=True))
-                size += len(held[-1][0])
-                if size > FLUSH_PAIRS:
+                tokens_, bounds = tokens(s)
+                names, where = np.unique(tokens_, return_inverse=True)
+                h, word = rows_of(numbers.find(names)[1]["id"].astype(np.uint64)[where], bounds)
+                if bits:
+                    part = h >> _U(64 - bits)
+                    good = (part >= _U(chosen[0])) & (part < _U(chosen[1]))
+                    h, word = h[good], word[good]
+                t, place, c = np.unique(_triple(h, word, 0), return_index=True, return_counts=True)
+                if len(t):
+                    held.append((t, h[place], word[place], c))
+                    size += len(t)
+                if size > FLUSH_ROWS:
                     yield flush(held)
                     held, size = [], 0
         if held:
             yield flush(held)
 
-    return docs.select(F.col(f"`{text}`").cast("string")).mapInArrow(trimmed(each), "part long, keys binary, counts binary")
+    return docs.select(F.col(f"`{text}`").cast("string")).mapInArrow(trimmed(each), _BLOCKS)
 
 
-def _store_pairs(blocks: DataFrame, pairs: HashArrays, parts: int) -> DataFrame:
-    """Writes each part's pairs; gives (part, ids, n1, n2, n3, before) by shard of the vocabulary: part -1 has counts of counts, -2 the start, -3 the parts' sizes."""
+def _ranges(bits: int, rounds: int) -> list[tuple[int, int]]:
+    """The parts in as many ranges, fewer where there are fewer parts."""
+    edges = sorted({(k << bits) // rounds for k in range(rounds + 1)})
+    return list(zip(edges[:-1], edges[1:], strict=True))
+
+
+def _followed(ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each word with the pair before it, and after each text its last pair with no word, so that every pair is a context."""
+    left = _before(ids, bounds)
+    last = bounds[1:][np.diff(bounds) > 0] - 1
+    h = np.concatenate((_pair(_before(left, bounds), left), _pair(left[last], ids[last])))
+    return h, np.concatenate((ids, np.full(len(last), NONE_ID)))
+
+
+def _store_contexts(blocks: DataFrame, once: HashArrays, pairs: HashArrays, triples: HashArrays, order: int) -> DataFrame:
+    """Writes each part's contexts and what follows them; gives a part's sizes and how many triples were seen 1 to 4 times."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, (key_blocks, count_blocks) in by_part(batches):
-            keys, counts = _grouped(joined(key_blocks, "u8"), joined(count_blocks, "u4").astype(np.int64))
-            h = mix(keys)
-            order = np.argsort(h)
-            save(pairs.uri, f"{k}.c", counts[order].astype(np.uint32))
-            save(pairs.uri, f"{k}.hash", h[order])
-            size = {"ids": np.array([k], np.uint32), **{n: np.array([len(keys)], np.uint32) for n in _STATS}}
-            yield _blocks(np.array([SIZES]), size)
-            seen = [int((counts == n).sum()) for n in (1, 2, 3, 4)]
-            yield _blocks(np.array([-1]), {"ids": np.zeros(1, np.uint32), **{n: np.array([x], np.uint32) for n, x in zip(_STATS, seen, strict=True)}})
-            left, right = keys >> _U(32), keys & _U(0xFFFFFFFF)
-            ids, place = np.unique(np.concatenate((left, right)), return_inverse=True)
-            told = {n: np.bincount(place[: len(keys)][good], minlength=len(ids)).astype(np.uint32) for n, good in (("n1", counts == 1), ("n2", counts == 2), ("n3", counts >= 3))}
-            told["before"] = np.bincount(place[len(keys) :], minlength=len(ids)).astype(np.uint32)
+        for k, (hash_blocks, word_blocks, count_blocks) in by_part(batches):
+            h, rank = np.unique(joined(hash_blocks, "u8"), return_inverse=True)
+            keys, counts = _grouped((rank.astype(np.uint64) << _U(32)) | joined(word_blocks, "u4"), joined(count_blocks, "u4").astype(np.int64))
+            rank, word = (keys >> _U(32)).astype(np.int64), keys & _LOW
+            real = word != NONE_ID
+            c = np.bincount(rank, counts, minlength=len(h)).astype(np.int64)
+            single = c == 1
+            save(once.uri, f"{k}.next", word[single[rank]].astype(np.uint32))
+            save(once.uri, f"{k}.hash", h[single])
+            save(pairs.uri, f"{k}.c", c[~single].astype(np.uint32))
+            for n, good in (("n1", counts == 1), ("n2", counts == 2), ("n3", counts >= 3)):
+                save(pairs.uri, f"{k}.{n}", np.bincount(rank[good & real], minlength=len(h))[~single].astype(np.uint32))
+            save(pairs.uri, f"{k}.hash", h[~single])
+            several = real & ~single[rank] & (order > 2)
+            t = _triple(h[rank[several]], word[several], pairs.bits)
+            by_hash = np.argsort(t)
+            save(triples.uri, f"{k}.c", counts[several][by_hash].astype(np.uint32))
+            save(triples.uri, f"{k}.hash", t[by_hash])
+            told = [k, int(single.sum()), int((~single).sum()), len(t), *[int((real & (counts == n)).sum()) for n in (1, 2, 3, 4)]]
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in told], names=["part", "once", "pairs", "triples", *"abcd"])
+
+    schema = "part long, once long, pairs long, triples long, a long, b long, c long, d long"
+    return _by_hash(blocks, pairs.bits).mapInArrow(trimmed(each), schema)
+
+
+def _by_hash(blocks: DataFrame, bits: int) -> DataFrame:
+    return blocks.repartition(1 << bits, "part").sortWithinPartitions("part")
+
+
+def _store_left(blocks: DataFrame, once: HashArrays, pairs: HashArrays, order: int, chosen: tuple[int, int]) -> DataFrame:
+    """Writes how many different words stand before each pair; gives (part, ids, n1, n2, n3, before, total) by shard of the vocabulary: part -1 has counts of counts, -2 the start."""
+    parts = blocks.sparkSession.range(*chosen).select(F.col("id").alias("part"), *[F.expr("X''").alias(c) for c in ("h", "id", "c")])
+
+    def report(part: np.ndarray, ids: np.ndarray, values: list[np.ndarray]) -> pa.RecordBatch:
+        return _blocks(part, {"ids": ids.astype(np.uint32), **{n: np.asarray(v).astype(np.uint32) for n, v in zip(_STATS, values, strict=True)}})
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, (hash_blocks, word_blocks, _) in by_part(batches):
+            h, counted = pairs.shard(k)
+            if order > 2:
+                at = np.searchsorted(h, joined(hash_blocks, "u8")).astype(np.uint64)
+                left = np.bincount((np.unique((at << _U(32)) | joined(word_blocks, "u4")) >> _U(32)).astype(np.int64), minlength=len(h))
+            else:
+                left = np.asarray(counted["c"]).astype(np.int64)
+            save(pairs.uri, f"{k}.left", left.astype(np.uint32))
+            single = once.shard(k)[0]
+            keys, counts = unmix(np.concatenate((h, single))), np.concatenate((left, np.ones(len(single), np.int64)))
+            inside = (keys & _LOW) != START_ID
+            keys, counts = keys[inside], counts[inside]
+            yield report(np.array([-1]), np.zeros(1), [*[np.array([(counts == n).sum()]) for n in (1, 2, 3, 4)], np.zeros(1)])
+            if not len(keys):
+                continue
+            ids, place = np.unique(np.concatenate((keys >> _U(32), keys & _LOW)), return_inverse=True)
+            v, w = place[: len(keys)], place[len(keys) :]
+            values = [np.bincount(v[good], minlength=len(ids)) for good in (counts == 1, counts == 2, counts >= 3)]
+            values += [np.bincount(w, minlength=len(ids)), np.bincount(v, counts, minlength=len(ids))]
             shard = np.where(ids == START_ID, -2, (ids >> _U(PLACE_BITS)).astype(np.int64))
-            order = np.argsort(shard, kind="stable")
-            yield _blocks(shard[order], {"ids": ids[order].astype(np.uint32), **{n: v[order] for n, v in told.items()}})
+            by_shard = np.argsort(shard, kind="stable")
+            yield report(shard[by_shard], ids[by_shard], [x[by_shard] for x in values])
 
-    return blocks.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(trimmed(each), "part long, ids binary, n1 binary, n2 binary, n3 binary, before binary")
+    schema = "part long, ids binary, " + ", ".join(f"{n} binary" for n in _STATS)
+    return _by_hash(blocks.unionByName(parts), pairs.bits).mapInArrow(trimmed(each), schema)
 
 
-def _store_stats(reports: DataFrame, words: HashArrays, pairs: HashArrays) -> DataFrame:
-    """Sums the reports by shard and stores them; gives rows (part, a, b, c, d): numbers for the model."""
+def _store_stats(reports: DataFrame, words: HashArrays) -> DataFrame:
+    """Sums the reports by shard and stores them; gives rows (part, a, b, c, d, e, f): numbers for the model."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, columns in by_part(batches):
             ids = joined(columns[0], "u4")
             values = [joined(c, "u4").astype(np.int64) for c in columns[1:]]
-            if k == SIZES:
-                sizes = np.zeros(1 << pairs.bits, np.uint64)
-                sizes[ids] = values[0]
-                save(pairs.uri, "sizes", sizes)
-                continue
             if k < 0:
-                sums = [int(v.sum()) for v in values]
+                sums = [*[int(v.sum()) for v in values], 0]
             else:
-                size = words.size(k)
                 place = ids & ((1 << PLACE_BITS) - 1)
-                summed = [np.bincount(place, v, minlength=size).astype(np.int64) for v in values]
-                for n, v in zip(_STATS, summed, strict=True):
-                    save(words.uri, f"{k}.{n}", v.astype(np.uint32))
-                sums = [*[int((summed[3] == n).sum()) for n in (1, 2, 3, 4)], int(summed[3].sum()), int((summed[3] >= 3).sum())]
-            sums += [0] * (6 - len(sums))
-            yield pa.RecordBatch.from_arrays([pa.array([k]), *[pa.array([x]) for x in sums]], names=["part", "a", "b", "c", "d", "e", "f"])
+                summed = [np.bincount(place, v, minlength=words.size(k)).astype(np.int64) for v in values]
+                for (n, t), v in zip(_STATS.items(), summed, strict=True):
+                    save(words.uri, f"{k}.{n}", v.astype(t))
+                before = summed[3]
+                sums = [*[int((before == n).sum()) for n in (1, 2, 3, 4)], int(before.sum()), int((before >= 3).sum())]
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (k, *sums)], names=["part", *"abcdef"])
 
-    shards = (1 << words.bits) + 3
-    return reports.repartition(shards, "part").sortWithinPartitions("part").mapInArrow(trimmed(each), "part long, a long, b long, c long, d long, e long, f long")
+    return reports.repartition((1 << words.bits) + 2, "part").sortWithinPartitions("part").mapInArrow(trimmed(each), "part long, a long, b long, c long, d long, e long, f long")
 
 
-def train(docs: DataFrame, text: str = "text") -> Model:
-    """Count the whole texts of ``docs`` and store the model in the shared folder."""
+def train(docs: DataFrame, text: str = "text", order: int = 3) -> Model:
+    """Count the whole texts of ``docs`` and store the model in the shared folder. ``order``: 2 or 3 words."""
+    if order not in (2, 3):
+        raise ValueError("the order is 2 or 3")
     spark = docs.sparkSession
     vocabulary = materialise(_word_counts(docs, text), "vocabulary")
-    seen_words = vocabulary.agg(F.count(F.lit(1)).alias("v"), F.sum("c").alias("n"), F.sum(F.expr(f"if(h = {int(np.int64(END.view(np.int64)))}, c, 0)")).alias("texts")).first()
+    seen_words = vocabulary.agg(F.count(F.lit(1)).alias("v"), F.sum("c").alias("n")).first()
     total = seen_words.n or 0
     words = _store_words(vocabulary, seen_words.v)
-    bits = int(np.ceil(np.log2(max(1, total) / PART_PAIRS))) if total > PART_PAIRS else 0
-    pairs = HashArrays(scratch(spark, "pairs"), bits, {"c": "u4"}, total)
-    reports = _store_pairs(_pair_blocks(docs, text, words, 1 << bits), pairs, 1 << bits)
-    numbers = _store_stats(reports, words, pairs).groupBy(F.expr("least(part, 0)").alias("part")).agg(*[F.sum(c).alias(c) for c in "abcdef"]).collect()
-    by = {r.part: r for r in numbers}
-    seen = [getattr(by[-1], c) for c in "abcd"] if -1 in by else [0] * 4
-    start = tuple(getattr(by[-2], c) for c in "abc") if -2 in by else (0, 0, 0)
-    low = [getattr(by[0], c) for c in "abcdef"] if 0 in by else [0] * 6
-    return Model(words, pairs, total, seen_words.v, seen_words.texts or 0, start, discounts(seen), discounts(low[:4]), low[4], (low[0], low[1], low[5]))
+    discard(vocabulary)
+    bits = int(np.ceil(np.log2(total / PART_TOKENS))) if total > PART_TOKENS else 0
+    once, pairs, triples = (HashArrays(scratch(spark, n), bits, p, 0) for n, p in (("once", {"next": "u4"}), ("pairs", dict.fromkeys(("c", "n1", "n2", "n3", "left"), "u4")), ("triples", {"c": "u4"})))
+    sizes = {n: np.zeros(1 << bits, np.uint64) for n in ("once", "pairs", "triples")}
+    top = [0] * 4
+    for chosen in _ranges(bits, ROUNDS):
+        stored = materialise(_store_contexts(_gathered(docs, text, words, bits, chosen, _followed), once, pairs, triples, order), "contexts")
+        for r in stored.toLocalIterator():  # one row a part of two million words or so
+            for n, size in sizes.items():
+                size[r.part] = r[n]
+            top = [x + r[n] for x, n in zip(top, "abcd", strict=True)]
+        discard(stored)
+    for arrays, size in zip((once, pairs, triples), sizes.values(), strict=True):
+        arrays.rows = int(size.sum())
+        save(arrays.uri, "sizes", size)
+    several = pairs.only()
+
+    def before_pairs(ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        left = _before(ids, bounds)
+        hashes, place = np.unique(_pair(left, ids), return_inverse=True)
+        good = several.find(hashes)[0][place]
+        return hashes[place[good]], _before(left, bounds)[good]
+
+    found = docs if order > 2 else docs.limit(0)
+    reports = [materialise(_store_left(_gathered(found, text, words, bits, chosen, before_pairs), once, pairs.only("c"), order, chosen), "left") for chosen in _ranges(bits, LEFT_ROUNDS)]
+    every = reports[0]
+    for r in reports[1:]:
+        every = every.unionByName(r)
+    stats = materialise(_store_stats(every, words), "stats")
+    by = {r.part: r for r in stats.groupBy(F.expr("least(part, 0)").alias("part")).agg(*[F.sum(c).alias(c) for c in "abcdef"]).collect()}
+    for df in (*reports, stats):
+        discard(df)
+    numbers = lambda k, columns: tuple(by[k][c] for c in columns) if k in by else (0,) * len(columns)
+    return Model(order, words, once, pairs, triples, total, seen_words.v, numbers(-2, "abce"), discounts(top), discounts(numbers(-1, "abcd")), discounts(numbers(0, "abcd")), *numbers(0, "e"), numbers(0, "abf"))
 
 
 def with_scores(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:

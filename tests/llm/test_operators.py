@@ -1,4 +1,7 @@
+import collections
+import math
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -328,6 +331,66 @@ def test_conditional_probabilities_add_up(spark):
         assert total == pytest.approx(1.0, abs=1e-9), context
 
 
+def plain_kneser_ney(train, texts, order):
+    """Scores and bases by the definitions, over strings."""
+    split = lambda t: [w for w in re.split("[\x20\x09-\x0D]+", langmodel_lower(t or "")) if w] + ["</s>"]
+    padded = [["<s>", "<s>", *split(t)] for t in train]
+    single = collections.Counter(w for t in padded for w in t[2:])
+    triples = collections.Counter(tuple(t[i - 2 : i + 1]) for t in padded for i in range(2, len(t)))
+    pairs = collections.Counter((v, w) for _, v, w in triples) if order == 3 else collections.Counter(tuple(t[i - 1 : i + 1]) for t in padded for i in range(2, len(t)))
+    words = collections.Counter(w for _, w in pairs)
+    total, v = sum(single.values()), len(single)
+
+    def level(counts):
+        d = (0.0, *langmodel.discounts([sum(1 for c in counts.values() if c == n) for n in (1, 2, 3, 4)]))
+        contexts = collections.defaultdict(list)
+        for key, c in counts.items():
+            contexts[key[:-1]].append(c)
+
+        def p(key, lower):
+            seen = contexts.get(key[:-1], [])
+            if not seen:
+                return lower
+            return (max(counts.get(key, 0) - d[min(counts.get(key, 0), 3)], 0) + sum(d[min(c, 3)] for c in seen) * lower) / sum(seen)
+
+        return p
+
+    levels = [level({(w,): c for w, c in words.items()}), level(pairs), *([level(triples)] if order == 3 else [])]
+    out = []
+    for t in texts:
+        t = ["<s>", "<s>", *split(t)]
+        score = 0.0
+        for i in range(2, len(t)):
+            p = 1 / (v + 1)
+            for n, f in enumerate(levels):
+                p = f(tuple(t[i - n : i + 1]), p)
+            score += math.log10(p)
+        out.append((score, sum(math.log10((single[w] + 0.5) / (total + 0.5 * (v + 1))) for w in t[2:]), len(t) - 2, sum(w in single for w in t[2:])))
+    return out
+
+
+def langmodel_lower(t):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in t)
+
+
+@pytest.mark.parametrize("order, tokens", [(2, None), (3, None), (3, 500)])
+def test_scores_against_plain_kneser_ney(spark, monkeypatch, order, tokens):
+    """Also over many parts and rounds; texts of known and unknown words, seen and unseen contexts, repeated and empty ones."""
+    r = random.Random(11)
+    word = lambda: f"W{int(r.paretovariate(0.7)) % 60}"
+    train = [" ".join(word() for _ in range(r.randrange(30))) for _ in range(200)] + ["the same line"] * 40 + [None, ""]
+    texts = train[:40] + [" ".join(word() for _ in range(12)) + " never seen w1 w2" for _ in range(20)] + [None, "", "the same line", "same the line"]
+    if tokens:
+        monkeypatch.setattr(langmodel, "PART_TOKENS", tokens)
+        monkeypatch.setattr(langmodel, "FLUSH_ROWS", 300)
+    model = langmodel.train(spark.createDataFrame([(t,) for t in train], "text string").repartition(3), order=order)
+    assert model.pairs.bits > 2 or not tokens
+    rows = langmodel.with_scores(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model, keep=["doc_id"]).orderBy("doc_id").collect()
+    for x, (score, base, n, known) in zip(rows, plain_kneser_ney(train, texts, order), strict=True):
+        assert (x["_l_n_tokens"], x["_l_n_known"]) == (n, known)
+        assert x["_l_score"] == pytest.approx(score, abs=1e-9) and x["_l_base"] == pytest.approx(base, abs=1e-9)
+
+
 def test_maximal_segments():
     r = random.Random(7)
 
