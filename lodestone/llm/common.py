@@ -63,11 +63,11 @@ def scratch(spark: SparkSession, label: str) -> str:
 _FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors, frees the write's shuffle files."""
+def materialise(df: DataFrame, label: str, free: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors. ``free``: delete the write's shuffle files at its end."""
     path = scratch(df.sparkSession, label)
     before = df.sparkSession.conf.get(_FREE_SHUFFLES, "false")
-    df.sparkSession.conf.set(_FREE_SHUFFLES, "true")
+    df.sparkSession.conf.set(_FREE_SHUFFLES, "true" if free else before)
     try:
         df.write.parquet(path)
     finally:

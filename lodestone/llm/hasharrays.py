@@ -89,7 +89,7 @@ class HashArrays:
         The driver sees one number a shard of about a million rows.
         """
         sizes = np.zeros(1 << self.bits, np.uint64)
-        noted = materialise(written.select("shard", "n"), "sizes")
+        noted = materialise(written.select("shard", "n"), "sizes", free=True)
         for r in noted.toLocalIterator():
             sizes[r.shard] = r.n
         discard(noted)

@@ -120,10 +120,15 @@ class Model:
         first = left == START_ID
         previous = np.concatenate((where[:1], where[:-1])) if len(where) else where
         stats = [np.where(first, self.start[k], got[n].astype(float)[previous]) for k, n in enumerate(("n1", "n2", "n3", "total"))]
-        hashes, place = np.unique(np.concatenate((_pair(left, ids), _pair(_before(left, bounds), left))), return_inverse=True)
+        hashes, place = np.unique(np.append(_pair(left, ids), _pair(*np.full((2, 1), START_ID))), return_inverse=True)
         single, follows = self.once.find(hashes)
-        several, counted = self.pairs.find(hashes)
-        pair, context = place[: len(ids)], place[len(ids) :]
+        several, counted = np.zeros(len(hashes), bool), {n: np.zeros(len(hashes), t) for n, t in self.pairs.payload.items()}
+        others = np.flatnonzero(~single)
+        several[others], found = self.pairs.find(hashes[others])
+        for n, values in found.items():
+            counted[n][others] = values
+        pair = place[:-1]
+        context = np.where(first, place[-1], np.concatenate((pair[:1], pair[:-1])))
         p = self._interpolated(np.where(single, 1.0, counted["left"])[pair], stats[:3], stats[3], self.middle, unigram[where])
         if self.order == 3:
             count = (single[context] & (follows["next"][context] == ids)).astype(float)
@@ -355,7 +360,7 @@ def train(docs: DataFrame, text: str = "text", order: int = 3) -> Model:
     if order not in (2, 3):
         raise ValueError("the order is 2 or 3")
     spark = docs.sparkSession
-    vocabulary = materialise(_word_counts(docs, text), "vocabulary")
+    vocabulary = materialise(_word_counts(docs, text), "vocabulary", free=True)
     seen_words = vocabulary.agg(F.count(F.lit(1)).alias("v"), F.sum("c").alias("n")).first()
     total = seen_words.n or 0
     words = _store_words(vocabulary, seen_words.v)
@@ -365,7 +370,7 @@ def train(docs: DataFrame, text: str = "text", order: int = 3) -> Model:
     sizes = {n: np.zeros(1 << bits, np.uint64) for n in ("once", "pairs", "triples")}
     top = [0] * 4
     for chosen in _ranges(bits, ROUNDS):
-        stored = materialise(_store_contexts(_gathered(docs, text, words, bits, chosen, _followed), once, pairs, triples, order), "contexts")
+        stored = materialise(_store_contexts(_gathered(docs, text, words, bits, chosen, _followed), once, pairs, triples, order), "contexts", free=True)
         for r in stored.toLocalIterator():  # one row a part of two million words or so
             for n, size in sizes.items():
                 size[r.part] = r[n]
@@ -383,11 +388,11 @@ def train(docs: DataFrame, text: str = "text", order: int = 3) -> Model:
         return hashes[place[good]], _before(left, bounds)[good]
 
     found = docs if order > 2 else docs.limit(0)
-    reports = [materialise(_store_left(_gathered(found, text, words, bits, chosen, before_pairs), once, pairs.only("c"), order, chosen), "left") for chosen in _ranges(bits, LEFT_ROUNDS)]
+    reports = [materialise(_store_left(_gathered(found, text, words, bits, chosen, before_pairs), once, pairs.only("c"), order, chosen), "left", free=True) for chosen in _ranges(bits, LEFT_ROUNDS)]
     every = reports[0]
     for r in reports[1:]:
         every = every.unionByName(r)
-    stats = materialise(_store_stats(every, words), "stats")
+    stats = materialise(_store_stats(every, words), "stats", free=True)
     by = {r.part: r for r in stats.groupBy(F.expr("least(part, 0)").alias("part")).agg(*[F.sum(c).alias(c) for c in "abcdef"]).collect()}
     for df in (*reports, stats):
         discard(df)
