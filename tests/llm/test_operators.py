@@ -158,8 +158,11 @@ def test_sets_without_enough_segments(spark, t, monkeypatch):
     shipped = setjoin.cells_of
 
     def each(*args):  # runs on workers, which do not see the patch
-        setjoin.bands = few
-        yield from shipped(*args)
+        own, setjoin.bands = setjoin.bands, few
+        try:
+            yield from shipped(*args)
+        finally:  # workers live on between tests
+            setjoin.bands = own
 
     monkeypatch.setattr(setjoin, "cells_of", each)
     out = setjoin.with_components(docs(spark, rows), width=4, t=t)
