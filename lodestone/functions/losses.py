@@ -217,3 +217,79 @@ def kl_estimate(kind: str, logp: Column, ref: Column) -> Column:
     """k1: policy less reference log-probability; k3: exp(d) - 1 - d of the reverse difference."""
     d = ref - logp
     return -d if kind == "k1" else F.exp(d) - 1 - d
+
+
+# ------------------------------------------------------------------ further losses of arrays and weights
+
+
+def _dot(a: str, b: str) -> str:
+    return f"aggregate(zip_with({a}, {b}, (x__, y__) -> x__ * y__), 0D, (s__, x__) -> s__ + x__)"
+
+
+def _total(a: str) -> str:
+    return f"aggregate({a}, 0D, (s__, x__) -> s__ + x__)"
+
+
+def code_loss(df: DataFrame, logps: str, old: str, advantage: str, code_mask: str, sft_mask: str, sft_weight: str, low: float = 0.2, high: float = 0.2, beta_sft: float = 0.0, by_token: bool = False, by: str | None = None, ref: str | None = None, beta: float = 0.0, mask: str | None = None) -> DataFrame:
+    """The code loss of a batch (or of each value of ``by``): a clipped policy term and beta_sft times a weighted supervised term.
+
+    By sequence: means over a sequence's masked tokens, then over sequences. ``by_token``: sums over all masked tokens
+    (weighted for the supervised term). Divisors are 1 at least. With ``ref`` and beta also beta times the mean over
+    sequences of the k3 divergence over ``mask``.
+    """
+    ratio = f"zip_with({logps}, {old}, (p__, q__) -> exp(p__ - q__))"
+    token = f"transform({ratio}, c__ -> -least(c__ * {advantage}, greatest(least(c__, {1 + high}D), {1 - low}D) * {advantage}))"
+    code, n_code = F.expr(_dot(token, code_mask)), F.expr(f"double({_total(code_mask)})")
+    sft, n_sft = -F.expr(_dot(logps, sft_mask)), F.expr(f"double({_total(sft_mask)})")
+    keep = [F.col(by)] if by else []
+    kl = F.lit(0.0)
+    if ref is not None and beta:
+        apart = f"zip_with({ref}, {logps}, (r__, p__) -> exp(r__ - p__) - (r__ - p__) - 1)"
+        kl = F.expr(f"{_dot(apart, mask)} / greatest({_total(mask)}, 1D)")
+    rows = df.select(*keep, code.alias("_c"), n_code.alias("_nc"), sft.alias("_s"), n_sft.alias("_ns"), F.col(sft_weight).alias("_w"), kl.alias("_k"))
+    one = F.lit(1.0)
+    if by_token:
+        code_, sft_ = F.sum("_c") / F.greatest(F.sum("_nc"), one), F.sum(F.col("_s") * F.col("_w")) / F.greatest(F.sum(F.col("_ns") * F.col("_w")), one)
+    else:
+        code_, sft_ = F.avg(F.col("_c") / F.greatest("_nc", one)), F.avg(F.col("_s") / F.greatest("_ns", one) * F.col("_w"))
+    return (rows.groupBy(by) if by else rows.groupBy()).agg((code_ + beta_sft * sft_ + beta * F.avg("_k")).alias("loss"))
+
+
+def pair_weight(logps: str, logits: str, mask: str) -> Column:
+    """Weight of a sequence: exp of the mean of its log-probabilities, each less the log of the sum of squared probabilities. A pair's weight is the product of its two. ``logits``: an array of each place's logits."""
+    lse = lambda k: f"(array_max(v__) * {k} + ln(aggregate(v__, 0D, (s__, x__) -> s__ + exp({k} * (x__ - array_max(v__))))))"
+    norm = f"transform({logits}, v__ -> {lse(2)} - 2 * {lse(1)})"
+    return F.expr(f"exp({_dot(f'zip_with({logps}, {norm}, (p__, n__) -> p__ - n__)', mask)} / greatest({_total(mask)}, 1D))")
+
+
+def perception_terms(logps: str, blind: str, most: float = 0.2) -> Column:
+    """Token array of the k3 divergence between log-probabilities without and with the image, between 0 and ``most``."""
+    return F.expr(f"zip_with({blind}, {logps}, (b__, p__) -> greatest(least(exp(b__ - p__) - (b__ - p__) - 1, {most}D), 0D))")
+
+
+def perception_loss(loss: Column, perception: Column, entropy: Column, blind_entropy: Column, weight: float, entropy_weight: float, blind_weight: float) -> Column:
+    """The policy loss less the weighted perception term plus both weighted entropies."""
+    return loss - weight * perception + entropy_weight * entropy + blind_weight * blind_entropy
+
+
+def reverse_kl_terms(student: str, teacher: str) -> Column:
+    """Per place exp(teacher) (teacher - student) over log-probabilities: what a step's divergence adds up."""
+    return F.expr(f"zip_with({student}, {teacher}, (s__, t__) -> exp(t__) * (t__ - s__))")
+
+
+def online_statistics(df: DataFrame, by: str, model_model: str, model_ref: str, ref_ref: str, ref_model: str, model_wins: str, beta: float, has_end: str) -> DataFrame:
+    """Statistics of online preferences from sums of log-probabilities (``model_ref``: the model's of the reference's completion).
+
+    The chosen side is the model's completion where it wins, else the reference's. logps_* add the model's and the
+    reference's means, as such logs have it; kl is half the sum of both completions' log-ratios; entropy half the sum of
+    both negated log-probabilities; accuracy the share of pairs with a margin above 0.
+    """
+    win = F.col(model_wins)
+    cm, cr = F.when(win, F.col(model_model)).otherwise(F.col(model_ref)), F.when(win, F.col(ref_model)).otherwise(F.col(ref_ref))
+    rm, rr = F.when(win, F.col(model_ref)).otherwise(F.col(model_model)), F.when(win, F.col(ref_ref)).otherwise(F.col(ref_model))
+    margin = beta * ((cm - cr) - (rm - rr))
+    kl = (F.col(model_model) - F.col(ref_model)) + (F.col(model_ref) - F.col(ref_ref))
+    return df.groupBy(by).agg(
+        (F.avg(cm) + F.avg(cr)).alias("logps_chosen"), (F.avg(rm) + F.avg(rr)).alias("logps_rejected"), F.avg(beta * (cm - cr)).alias("rewards_chosen"), F.avg(beta * (rm - rr)).alias("rewards_rejected"),
+        F.avg(margin).alias("margin"), F.avg((margin > 0).cast("double")).alias("accuracy"), (F.avg(kl) / 2).alias("kl"), (F.avg(-F.col(model_model) - F.col(model_ref)) / 2).alias("entropy"), F.avg(F.col(has_end).cast("double")).alias("has_end"),
+    )

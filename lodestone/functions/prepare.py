@@ -81,3 +81,31 @@ def shared_prefix(a: str, b: str) -> Column:
     """How many ids two sequences share at their start."""
     n = f"least(size({a}), size({b}))"
     return F.expr(f"coalesce(nullif(int(array_position(zip_with(slice({a}, 1, {n}), slice({b}, 1, {n}), (x__, y__) -> x__ <> y__), true)), 0) - 1, {n})")
+
+
+def unpaired(prompt: str, answer: str, most: int, bos: int | None, eos: int) -> dict[str, Column]:
+    """Prompt, ids and labels of an unpaired row. Places for marks that are missing are reserved in ``most``; only the
+    answer is cut. A prompt beyond the cap makes the cut count from the answer's end, as a negative bound does."""
+    no_bos, no_eos = f"not try_element_at({prompt}, 1) <=> {'null' if bos is None else bos}", f"not try_element_at({answer}, -1) <=> {eos}"
+    room = f"({most} - if(size({prompt}) > 0 and {no_bos}, 1, 0) - if(size({answer}) > 0 and {no_eos}, 1, 0) - size({prompt}))"
+    kept = f"if(size({answer}) <= {room}, {answer}, slice({answer}, 1, if({room} >= 0, {room}, greatest(size({answer}) + {room}, 0))))"
+    opened = prompt if bos is None else f"if({no_bos}, concat(array({bos}), {prompt}), {prompt})"
+    closed = f"if(try_element_at({kept}, -1) <=> {eos}, {kept}, concat({kept}, array({eos})))"
+    labels = f"concat(transform({opened}, x__ -> -100), {closed})"
+    return {"prompt_ids": F.expr(opened), "ids": F.expr(f"concat({opened}, {closed})"), "labels": F.expr(labels)}
+
+
+def pair_answers(prompt_sizes: tuple[str, str], answers: tuple[str, str], most: int) -> tuple[Column, Column]:
+    """Both answers of a pair. Where a prompt and the longer answer are beyond ``most``, that answer is cut to ``most``
+    less the longer answer's length (from its end where that is negative), not to the room beside the prompt."""
+    longer = f"greatest(size({answers[0]}), size({answers[1]}))"
+    cut = lambda p, a: f"if({p} + {longer} > {most}, slice({a}, 1, if({most} >= {longer}, {most} - {longer}, greatest(size({a}) + {most} - {longer}, 0))), {a})"
+    return tuple(F.expr(cut(p, a)) for p, a in zip(prompt_sizes, answers, strict=True))
+
+
+def shared_prompt(prompt: str, chosen: str, rejected: str) -> Column:
+    """The prompt's ids as far as both sides' prompts go. Sides that differ in more than one token or one place are an error."""
+    n = f"least(size({chosen}), size({rejected}))"
+    apart = f"size(filter(zip_with(slice({chosen}, 1, {n}), slice({rejected}, 1, {n}), (x__, y__) -> x__ <> y__), d__ -> d__))"
+    good = f"{apart} <= 1 and abs(size({chosen}) - size({rejected})) <= 1"
+    return F.when(F.expr(good), F.expr(f"slice({prompt}, 1, {n})")).otherwise(F.raise_error(F.lit("the prompts of a pair differ")))
