@@ -70,8 +70,8 @@ def lines(s: SparkSession, d: str) -> DataFrame:
     return read(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_returnflag")
 
 
-def _reward(column, name: str = "reward"):
-    return lambda s, d: lines(s, d).groupBy("l_orderkey").agg(F.round(F.sum(column()), 5).alias(name))
+def _reward(column, name: str = "reward", places: int = 5):
+    return lambda s, d: lines(s, d).groupBy("l_orderkey").agg(F.round(F.sum(column()), places).alias(name))
 
 
 class _Columns:
@@ -82,7 +82,7 @@ class _Columns:
 
 
 C = _Columns()
-_sql = lambda e: f"select l_orderkey, round(sum({e}), 5) as reward from lineitem group by l_orderkey"
+_sql = lambda e, places=5: f"select l_orderkey, round(sum({e}), {places}) as reward from lineitem group by l_orderkey"
 _add("overlong_penalty", _reward(lambda: w.overlong_penalty(C.l_quantity, 40, 20)), _sql("case when l_quantity <= 20 then 0 when l_quantity <= 40 then (20 - l_quantity) / 20.0::double else -1 end"))
 _add("soft_unit", _reward(lambda: w.soft_unit(C.l_discount, 0.02, 0.08)), _sql("(greatest(least(l_discount, 0.08::double), 0.02::double) - 0.02::double) / (0.08::double - 0.02::double)"))
 _add("beta_cap", _reward(lambda: w.bounded_beta(2.0, F.floor(C.l_quantity))), _sql("case when floor(l_quantity) <= 0 then 0 else least(2.0::double / floor(l_quantity), (1 - 1e-6::double) / floor(l_quantity)) end"))
@@ -90,7 +90,7 @@ _add("composite_reward", _reward(lambda: w.composite(C.l_discount * 10, F.col("l
 _add("iterative_priority", _reward(lambda: w.iterative_priority(C.l_discount * 5, C.l_tax - 0.03, F.lit(1.5))), _sql("greatest(greatest(1e-6::double, 4 * l_discount * 5 * (1 - l_discount * 5) + 0.1::double * greatest(0, l_tax - 0.03::double)) * 1.5::double, 1e-6::double)"))
 _PRIOR_SQL = "case when l_quantity / 50 >= 0.7::double and l_discount * 10 >= 0.7::double then 0.4::double when l_quantity / 50 <= 0.3::double and l_discount * 10 <= 0.3::double and l_linenumber >= 3 then 0.2::double when l_discount * 10 - l_quantity / 50 >= 0.2::double then 1.0::double when l_quantity / 50 - l_discount * 10 >= 0.2::double then 0.7::double else 0.8::double end"
 _add("prior_weight", _reward(lambda: w.prior_weight(C.l_quantity / 50, C.l_discount * 10, F.col("l_linenumber"))), _sql(_PRIOR_SQL))
-_add("keep_probability", _reward(lambda: w.keep_probability(C.l_discount * 10, F.col("l_linenumber"), C.l_quantity - 5, per_step=0.01, most=0.3)), _sql("case when l_linenumber <= 2 then greatest(0.05::double, least(1, l_discount * 10 + case when l_quantity >= 5 then least(0.3::double, (l_quantity - 5) * 0.01::double) else 0 end)) else greatest(0.1::double, least(1, pow(0.5::double, l_linenumber - 2) * l_discount * 10 + case when l_quantity >= 5 then least(0.3::double, (l_quantity - 5) * 0.01::double) else 0 end)) end"))
+_add("keep_probability", _reward(lambda: w.keep_probability(C.l_discount * 10, F.col("l_linenumber"), C.l_quantity - 5, per_step=0.01, most=0.3), places=7), _sql("case when l_linenumber <= 2 then greatest(0.05::double, least(1, l_discount * 10 + case when l_quantity >= 5 then least(0.3::double, (l_quantity - 5) * 0.01::double) else 0 end)) else greatest(0.1::double, least(1, pow(0.5::double, l_linenumber - 2) * l_discount * 10 + case when l_quantity >= 5 then least(0.3::double, (l_quantity - 5) * 0.01::double) else 0 end)) end", 7))
 _add("density_weight", _reward(lambda: w.density_weight(C.l_discount * 9)), _sql("greatest(least(l_discount * 9 / (1 - l_discount * 9 + 1e-8::double), 10), 0.1::double)"))
 _add("missing_eos", _reward(lambda: w.missing_eos(C.l_quantity, F.col("l_linenumber") > 3, 1.5)), _sql("case when l_linenumber > 3 then l_quantity else l_quantity - 1.5::double end"))
 _add("ema_rate", _reward(lambda: w.ema_rate(C.l_quantity, 10, 2.0, 0.5, 0.15)), _sql("greatest(pow(10 + 2 * l_quantity, -0.5::double), 0.15::double)"))
