@@ -128,15 +128,27 @@ def joined(blocks: np.ndarray, dtype: str) -> np.ndarray:
     return np.frombuffer(b"".join(blocks), dtype)
 
 
+#: After so many batches a worker gives free memory back.
+_TRIM_EVERY = 8
+
+
+def _trim() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def trimmed(each: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``each`` for mapInArrow, giving free memory back to the system at its end: workers live on between tasks."""
+    """``each`` for mapInArrow, giving free memory back to the system now and then and at its end: workers live on between tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from each(batches)
+        for k, batch in enumerate(each(batches), 1):
+            yield batch
+            if k % _TRIM_EVERY == 0:
+                del batch
+                _trim()
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim is not None:
-            trim(0)
+        _trim()
 
     return run
