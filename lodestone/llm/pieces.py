@@ -39,7 +39,7 @@ from lodestone.llm.common import table, trimmed, without_prefix
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 SHORT = 40
 BLOCK = 100_000
 BLOCK_BYTES = 1 << 20
@@ -255,55 +255,54 @@ class Merges:
         return out, out_bounds, codes, code_bounds
 
     def _run(self, flat: np.ndarray, bounds: np.ndarray, which: np.ndarray, width: int, own: np.ndarray | None, bound: int) -> tuple[np.ndarray, np.ndarray]:
-        columns = np.arange(width)
+        # a piece stays in the column of its first letter: merges only change what its neighbours are, nothing is moved
+        columns = np.arange(width + 1)
         at = bounds[which][:, None] + columns
         piece = np.where(at < bounds[which + 1][:, None], flat[np.minimum(at, len(flat) - 1)], -1)
-        out = piece.copy()
+        out = piece[:, :width].copy()
         codes = np.zeros((len(which), max(0, width - 1)), np.uint64)
         if width < 2:
             return out, codes
-        start = np.broadcast_to(columns.astype(np.int8), piece.shape).copy()
-        rank = self.ranks[self.look(piece[:, :-1].ravel(), piece[:, 1:].ravel())].reshape(len(which), -1)
+        after = np.broadcast_to((columns + 1).astype(np.int8), piece.shape).copy()
+        before = np.broadcast_to((columns - 1).astype(np.int8), piece.shape).copy()
+        rank = np.full((len(which), width), NONE, np.int32)
+        rank[:, :-1] = self.ranks[self.look(piece[:, : width - 1].ravel(), piece[:, 1:width].ravel())].reshape(len(which), -1)
         live, step = np.arange(len(which)), 0
         while True:
-            i = rank.argmin(1)
-            best = rank[np.arange(len(live)), i]
-            over = best == NONE
-            if over.any():
-                out[live[over]] = piece[over]
-                stay = ~over
-                live, piece, start, rank, i, best = live[stay], piece[stay], start[stay], rank[stay], i[stay], best[stay]
-            if not len(live):
-                return out, codes
+            k = rank.argmin(1)
             every = np.arange(len(live))
-            code = best.astype(np.uint64) << np.uint64(33) | start[every, i].astype(np.uint64) << np.uint64(1) | np.uint64(1)
+            best = rank[every, k]
+            going = best != NONE
+            n = np.count_nonzero(going)
+            if 4 * n < 3 * len(live):
+                out[live[~going]] = piece[~going, :width]
+                if not n:
+                    return out, codes
+                live, piece, after, before, rank, k, best = (x[going] for x in (live, piece, after, before, rank, k, best))
+                every = np.arange(n)
+            elif n < len(live):
+                every = np.flatnonzero(going)
+                k, best = k[every], best[every]
+            code = best.astype(np.uint64) << np.uint64(33) | k.astype(np.uint64) << np.uint64(1) | np.uint64(1)
             if own is None:
-                codes[live, step] = code
+                codes[live[every], step] = code
             else:
-                skipped = own[live] * code < np.uint64(bound)
-                rank[every[skipped], i[skipped]] = NONE
-                every = every[~skipped]
-                if not len(every):
-                    continue
-            k = i[every]
-            union = self.unions[self.look(piece[every, k], piece[every, k + 1])]
-            after = columns[None, :] > k[:, None]
-            p = piece[every]
-            p[:, :-1] = np.where(after[:, :-1], p[:, 1:], p[:, :-1])
-            p[:, -1] = -1
-            p[np.arange(len(k)), k] = union
-            s = start[every]
-            s[:, :-1] = np.where(after[:, :-1], s[:, 1:], s[:, :-1])
-            r = rank[every]
-            r[:, :-1] = np.where(after[:, :-2], r[:, 1:], r[:, :-1])
-            # the last rank moves on or is made anew below
-            last = np.flatnonzero(k < width - 2)
-            r[last, -1] = NONE
-            right = np.flatnonzero(k < width - 1)
-            r[right, k[right]] = self.ranks[self.look(p[right, k[right]], p[right, k[right] + 1])]
-            left = np.flatnonzero(k > 0)
-            r[left, k[left] - 1] = self.ranks[self.look(p[left, k[left] - 1], p[left, k[left]])]
-            piece[every], start[every], rank[every] = p, s, r
+                skipped = own[live[every]] * code < np.uint64(bound)
+                if skipped.any():
+                    rank[every[skipped], k[skipped]] = NONE
+                    every, k = every[~skipped], k[~skipped]
+                    if not len(every):
+                        continue
+            right = after[every, k].astype(np.int64)
+            union = self.unions[self.look(piece[every, k], piece[every, right])]
+            beyond = after[every, right].astype(np.int64)
+            piece[every, k], piece[every, right], rank[every, right] = union, -1, NONE
+            after[every, k], before[every, beyond] = beyond, k
+            rank[every, k] = self.ranks[self.look(union, piece[every, beyond])]
+            left = before[every, k]
+            some = np.flatnonzero(left >= 0)
+            row, left = every[some], left[some].astype(np.int64)
+            rank[row, left] = self.ranks[self.look(piece[row, left], union[some])]
             step += 1
 
     def spelled(self, pieces: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -393,7 +392,7 @@ class Memory:
             first, *rest = line.split(" ")
             if first:
                 out.append(plain[first])
-            out += [spaced[w] for w in rest]
+            out.extend(map(spaced.__getitem__, rest))
             out.append(plain["\n"])
         out.pop()
         return out
@@ -456,17 +455,23 @@ def _shipped(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(source.read())
 
 
-def with_ids(docs: DataFrame, text: str = "text", key: str = "doc_id", name: str = "ids", seed: int = 1, rate: float = 0.1, model: str = MODEL, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (all by default) and the ids of each whole text. ``rate`` 0: the plain segmentation."""
+def with_ids(docs: DataFrame, text: str = "text", key: str = "doc_id", name: str = "ids", seed: int = 1, rate: float = 0.1, model: str = MODEL, keep: list[str] | None = None, decoded: str | None = None) -> DataFrame:
+    """The columns ``keep`` (all by default) and the ids of each whole text. ``rate`` 0: the plain segmentation.
+
+    ``decoded``: also the text that these ids decode to, under this name, in the same pass (one Python worker a task).
+    """
     docs = without_prefix(docs, "_v_")
-    names = [c for c in (docs.columns if keep is None else keep) if c != name]
+    names = [c for c in (docs.columns if keep is None else keep) if c not in (name, decoded)]
     source = docs.select(*[F.col(f"`{c}`") for c in names], F.xxhash64(F.lit(seed), F.col(f"`{key}`")).alias("_v_key"), F.col(f"`{text}`").cast("string").alias("_v_text"))
     schema = source.drop("_v_key", "_v_text").schema.add(name, T.ArrayType(T.IntegerType()))
+    if decoded:
+        schema = schema.add(decoded, "string")
 
     shared = _shipped(docs.sparkSession, model)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = Memory(_parsed(shared.value), rate)  # of this task only: a worker serves other stages too
+        v = _parsed(shared.value)
+        memory = Memory(v, rate)  # of this task only: a worker serves other stages too
         for batch in batches:
             keys = batch.column(batch.num_columns - 2).to_numpy(zero_copy_only=False)
             texts = batch.column(batch.num_columns - 1)
@@ -479,7 +484,8 @@ def with_ids(docs: DataFrame, text: str = "text", key: str = "doc_id", name: str
                 ids = memory.encode([t or "" for t in some.to_pylist()], keys[part].tolist())
                 bounds = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate(ids), pa.int32()), mask=some.is_null())
-                yield pa.RecordBatch.from_arrays([*[c[part] for c in batch.columns[:-2]], lists], names=schema.fieldNames())
+                back = [pa.array([None if null else v.decode(x.tolist()) for x, null in zip(ids, some.is_null().to_pylist(), strict=True)], pa.string())] if decoded else []
+                yield pa.RecordBatch.from_arrays([*[c[part] for c in batch.columns[:-2]], lists, *back], names=schema.fieldNames())
                 done = end
 
     return source.mapInArrow(trimmed(each), schema)
@@ -508,9 +514,7 @@ def with_text(encoded: DataFrame, ids: str = "ids", name: str = "decoded", model
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    encoded = with_ids(docs, keep=["doc_id", "text"])
-    decoded = with_text(encoded, keep=["doc_id", "text", "ids"])
-    return decoded.select(
+    return with_ids(docs, keep=["doc_id", "text"], decoded="decoded").select(
         "doc_id", F.greatest(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
         F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"),
     )
