@@ -35,3 +35,10 @@ def test_dropout_memory_changes_nothing():
         parts = [v.encode_word(" " + w, 0.3, k) for w, k in zip(chosen, own, strict=True)]
         text = " ".join(chosen) if v.dummy_prefix else " " + " ".join(chosen)
         assert np.frombuffer(v.encode(text, memory, key), np.int32).tolist() == [k for p in parts for k in p]
+
+
+def test_decoded_in_the_same_pass(spark):
+    rows = [(1, "some words  and \n lines"), (2, None), (3, ""), (4, "É漢 x" * 50)]
+    got = pieces.with_ids(docs(spark, rows), keep=["doc_id"], decoded="back").collect()
+    assert {r.doc_id: r.back for r in got} == dict(rows)
+    assert all((r.ids is None) == (r.back is None) for r in got)
