@@ -72,3 +72,36 @@ m as (select distinct doc_id, unnest(gone) as pos from g),
 y as (select x.doc_id, string_agg(x.x, ' ' order by x.pos) as kept, count(*) as n from x left join m on m.doc_id = x.doc_id and m.pos = x.pos where m.pos is null group by 1)
 select d.doc_id, len(w) as n_words, len(w) - coalesce(y.n, 0) as n_removed, sha256(coalesce(y.kept, '')) as kept_sha256 from d left join y using (doc_id)
 """
+
+#: CRC-32 of a text's bytes: a table made by its rule, one step a byte.
+_CRC_TABLE = "crc as (select list_transform(range(0, 256), lambda x: list_reduce([x] || range(0, 8), lambda c, k: xor(c >> 1, case when c % 2 = 1 then 3988292384 else 0 end))) as steps)"
+_CRC = "xor(4294967295, list_reduce([4294967295::bigint] || list_transform(range(0, octet_length(encode({0}))), lambda k: ('0x' || hex(encode({0}))[2 * k + 1:2 * k + 2])::bigint), lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])))"
+
+
+def _framed(*columns: str) -> str:
+    return "sha256(concat(" + ", ".join(f"coalesce(octet_length(encode({c}::varchar))::varchar || ':' || {c}::varchar, '-')" for c in columns) + "))"
+
+
+_ALTERED = _LOWER.format("text")
+
+#: A tree of digests level by level: ``{0}`` has the leaves as (g, i, digest).
+_TREE = "select g, 0 as level, i, digest from {0} union all select g, level + 1, i // 16, sha256(string_agg(digest, '' order by i)) from (select *, count(*) over (partition by g) as n from {1}) where n > 1 group by g, level, i // 16"
+
+OP13 = f"""
+with recursive {_CRC_TABLE},
+l as (select row_number() over () as id, doc_id, source, {_framed('doc_id', 'source', 'lang', 'n_chars', 'text')} as leaf, case when {_CRC.format('doc_id::varchar')} % 5 = 0 then {_framed('doc_id', 'source', 'lang', 'n_chars', _ALTERED)} end as altered from documents, crc),
+o as (select *, coalesce('=' || source, '') as g, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as i, leaf as digest from l),
+t as ({_TREE.format('o', 't')}),
+r as (select g, digest as subroot, level as depth from (select *, row_number() over (partition by g order by level desc) as k from t) where k = 1),
+q as (select g as name, subroot, depth, '' as g, row_number() over (order by encode(g)) - 1 as i, subroot as digest from r),
+u as ({_TREE.format('q', 'u')}),
+n as (select t.g, level, i, digest from t join r on r.g = t.g and level < depth union all select r.g, depth + level, u.i, digest from u, r where u.level < (select max(level) from u)),
+e as (select max(level) as height, arg_max(digest, level) as root from u),
+w as (select o.id, o.g, o.i, q.i as top, q.depth, q.depth + height as steps, q.subroot, e.root, doc_id, leaf, coalesce(altered, leaf) as start from o join q on q.name = o.g, e),
+v as (select id, g, level, case when level < depth then i // (16 ** level)::bigint else top // (16 ** (level - depth))::bigint end as own, steps from (select *, unnest(range(0, steps)) as level from w)),
+b as (select v.id, v.level, string_agg(case when n.i <> own then digest end, '' order by n.i) as siblings, coalesce(string_agg(case when n.i < own then digest end, '' order by n.i), '') as before, coalesce(string_agg(case when n.i > own then digest end, '' order by n.i), '') as after from v join n on n.g = v.g and n.level = v.level and n.i // 16 = own // 16 group by all),
+f as (select id, 0 as level, start as held from w union all select f.id, f.level + 1, sha256(before || held || after) from f join b on b.id = f.id and b.level = f.level),
+p as (select id, sha256(coalesce(string_agg(siblings, '' order by level), '')) as proof from b group by id)
+select doc_id, leaf, subroot, root, coalesce(proof, sha256('')) as proof_sha256, held as folded_root, held = root as verified
+from w join f on f.id = w.id and f.level = w.steps left join p on p.id = w.id
+"""

@@ -101,3 +101,40 @@ def pii(text):
 
 def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
+
+
+def framed(row):
+    return sha("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in row))
+
+
+def tree(digests, fanout):
+    """Levels of digests from the leaves up."""
+    levels = [digests]
+    while len(levels[-1]) > 1:
+        levels.append([sha("".join(levels[-1][i : i + fanout])) for i in range(0, len(levels[-1]), fanout)])
+    return levels
+
+
+def siblings(levels, i, fanout):
+    out = []
+    for level in levels[:-1]:
+        run = i // fanout * fanout
+        out.append(("".join(level[run:i]), "".join(level[i + 1 : run + fanout])))
+        i //= fanout
+    return out
+
+
+def manifest(rows, fanout):
+    """(row, leaf, root of its group, root, path) of rows whose first columns are key and group."""
+    groups = {}
+    for row in rows:
+        groups.setdefault(row[1], []).append(row)
+    names = sorted(groups, key=lambda x: (x is not None, (x or "").encode()))
+    trees = {}
+    for name in names:
+        groups[name].sort(key=lambda r: (r[0] is not None, r[0] or 0, framed(r)))
+        trees[name] = tree([framed(r) for r in groups[name]], fanout)
+    top = tree([trees[name][-1][0] for name in names], fanout)
+    for j, name in enumerate(names):
+        for i, row in enumerate(groups[name]):
+            yield row, trees[name][0][i], trees[name][-1][0], top[-1][0], siblings(trees[name], i, fanout) + siblings(top, j, fanout)
