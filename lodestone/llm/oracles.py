@@ -105,3 +105,19 @@ p as (select id, sha256(coalesce(string_agg(siblings, '' order by level), '')) a
 select doc_id, leaf, subroot, root, coalesce(proof, sha256('')) as proof_sha256, held as folded_root, held = root as verified
 from w join f on f.id = w.id and f.level = w.steps left join p on p.id = w.id
 """
+
+OP11 = f"""
+with {_CRC_TABLE},
+d as (select row_number() over () as id, doc_id, {_BENCH_WORDS.format(_LOWER.format("coalesce(text, '')"))} as w from documents),
+x as (select id, unnest(w) as x from d),
+y as (select unnest({_BENCH_WORDS.format(_LOWER.format("coalesce(text, '')"))}) as x from benchmark),
+v as (select x, {_CRC.format('x')} % 10000 as bucket from (select x from x union select x from y) z, crc),
+s as (select bucket, count(*)::double as n from x join v using (x) group by 1),
+t as (select bucket, count(*)::double as n from y join v using (x) group by 1),
+g as (select bucket, floor(1000 * ln((coalesce(t.n, 0) + 1) * ((select coalesce(sum(n), 0) from s) + 10000) / ((coalesce(s.n, 0) + 1) * ((select coalesce(sum(n), 0) from t) + 10000)))) as gain from s full join t using (bucket)),
+p as (select id, count(*) as n, floor(sum(gain) / count(*))::bigint as weight from x join v using (x) join g using (bucket) group by 1),
+h as (select d.id, doc_id, coalesce(n, 0) as n, coalesce(weight, 0) as weight, ('0x' || sha256('2024:' || coalesce(doc_id::varchar, ''))[1:8])::bigint::double as h from d left join p on p.id = d.id),
+c as (select *, weight + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296::double)))::bigint as score from h),
+k as (select *, case when n >= 20 then row_number() over (partition by n >= 20 order by score desc, doc_id nulls last) end as place, (select count(*) from c where n >= 20) as fit from c)
+select doc_id, n as n_features, weight, score, case when place <= 10 * fit // 100 then place end as rank from k
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import discard, materialise
+from lodestone.llm.common import discard, materialise, without_prefix
 
 #: Spark's row ids hold the partition above this bit.
 _PART_BIT = 33
@@ -17,8 +17,10 @@ def indexed(df: DataFrame, group: str, order: list[str], label: str) -> DataFram
     Rows are dealt by ranges of (group, order), so a group of any size covers as many partitions as it fills; of each
     partition only the rows of each group are counted, and a window over these counts tells where it begins. ``df`` is
     read twice (its ranges are sampled first), so it should be stored; ``group`` must not be null. Rows that are equal
-    in ``order`` follow each other in any order. The result is stored, a file's rows in order of (group, place).
+    in ``order`` follow each other in any order. The result is stored, a file's rows in order
+    of (group, place); columns of ``df`` that begin with ``_o_`` are replaced.
     """
+    df = without_prefix(df, "_o_")
     sort = [F.col(group), *[F.col(c) if isinstance(c, str) else c for c in order]]
     dealt = materialise(df.repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("_o_row", F.monotonically_increasing_id()), label)
     part = F.shiftright("_o_row", _PART_BIT).alias("_o_part")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontaminate, langmodel, merkle, oracles, pieces, pii, quality, secrets, setjoin, substrings, toxicity, urls
+from lodestone.llm import bytebpe, decontaminate, langmodel, merkle, oracles, pieces, pii, quality, resample, secrets, setjoin, substrings, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": urls.op1_url_filters,
@@ -19,6 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": pieces.op8_sentencepiece,
     "op9_substring_dedup": substrings.op9_substring_dedup,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op11_importance_resampling": resample.op11_importance_resampling,
+    "op12_byte_bpe": bytebpe.op12_byte_bpe,
     "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 
@@ -27,5 +29,6 @@ ORACLES: dict[str, str] = {
     "op2_ngram_jaccard_join": oracles.OP2,
     "op6_benchmark_decontamination": oracles.OP6,
     "op9_substring_dedup": oracles.OP9,
+    "op11_importance_resampling": oracles.OP11,
     "op13_merkle_manifest": oracles.OP13,
 }
