@@ -27,6 +27,12 @@ def normalized(c: Column) -> Column:
     return strip(F.regexp_replace(c, f"{SPACE}+", " "))
 
 
+def cleaned(c: Column) -> Column:
+    """A problem's text without tags: blanks collapsed within lines, at most one empty line in a row, none at the ends."""
+    bare = F.regexp_replace(F.regexp_replace(c, "<[^>]+>", " "), "\r\n?", "\n")
+    return strip(F.regexp_replace(F.regexp_replace(bare, "[ \t]+", " "), "\n{3,}", "\n\n"))
+
+
 def signature(c: Column) -> Column:
     """Tags dropped, white space collapsed, lower case, other than a-z, 0-9 as spaces, collapsed again."""
     bare = F.lower(normalized(F.regexp_replace(F.regexp_replace(c, "<[^>]+>", " "), "\r\n?", "\n")))

@@ -111,6 +111,30 @@ def execute(df: DataFrame, code: str, inputs: str, allowed: bool = False, stdio:
     return source.mapInArrow(each, schema)
 
 
+def execute_programs(df: DataFrame, programs: str, inputs: str, name: str = "results", allowed: bool = False, stdio: bool = True, seconds: float = 2.0) -> DataFrame:
+    """Adds, for each program of the array ``programs`` (SQL), the array of (kind, value, error) of running it on the array ``inputs`` (SQL).
+
+    A row without programs starts no process. A null program is run as an empty one; null programs or inputs are none.
+    """
+    if not allowed:
+        raise PermissionError("running programs is off; pass allowed=True where the workers may run them")
+    kind = "array<array<struct<kind:string,value:string,error:string>>>"
+    df = df.drop(name)
+    schema = df.withColumn(name, F.expr(f"cast(null as {kind})")).schema
+    source = df.withColumns({"_programs": F.expr(programs), "_inputs": F.expr(inputs)})
+    told = pa.list_(pa.list_(pa.struct([("kind", pa.string()), ("value", pa.string()), ("error", pa.string())])))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for codes, given in zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                runs = [run_cases(code or "", list(given or []), stdio, seconds) for code in codes or []]
+                found.append([[dict(zip(("kind", "value", "error"), x, strict=True)) for x in run] for run in runs])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(found, told)], names=[f.name for f in schema.fields])
+
+    return source.mapInArrow(each, schema)
+
+
 def literal(text):
     """A Python literal, or the text itself."""
     if not isinstance(text, str):

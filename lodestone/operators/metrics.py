@@ -60,19 +60,37 @@ def averaged_logs(df: DataFrame, step: str, every: int, key: str, value: str, ev
     return df.groupBy(F.ceil(F.col(step) / every).alias("flush"), name.alias("key")).agg(F.avg(value).alias("mean"))
 
 
-def prior_summary(df: DataFrame, code: str, reason: str, weight: str, high: float = 0.9, low: float = 0.3) -> DataFrame:
-    """Over seen questions: means of both moving values and the weight, and how many weights are high or low."""
-    count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
-    return df.agg(
+#: From where on a moving value is high, and up to where low.
+HIGH, LOW = 0.7, 0.3
+
+
+def prior_summary(df: DataFrame, code: str, reason: str, weight: str, seen: str, high: float = HIGH, low: float = LOW) -> DataFrame:
+    """Over seen questions (``seen`` above 0): means of both moving values and the weight; questions of high value (reason high, code low) and of low value (both low).
+
+    Without a seen question there is no row.
+    """
+    reasoned, failing = F.col(reason), F.col(code) <= low
+    count = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
+    return df.where(F.col(seen) > 0).agg(
         F.avg(code).alias("code"), F.avg(reason).alias("reason"), F.avg(weight).alias("weight"),
-        count(F.col(weight) >= high).alias("high_value"), count(F.col(weight) <= low).alias("low_value"), F.count(F.lit(1)).alias("seen"),
-    )
+        count((reasoned >= high) & failing).alias("high_value"), count((reasoned <= low) & failing).alias("low_value"), F.count(F.lit(1)).alias("seen"),
+    ).where("seen > 0")
 
 
-def batch_metrics(df: DataFrame, by: Sequence[str], reward: str, rate: str, advantage: str, main: Column) -> DataFrame:
-    """Means and extremes of reward and pass rate, share of advantages of 0, and auxiliary samples for each main one."""
+def batch_metrics(df: DataFrame, by: Sequence[str], rollout: str, reward: str, rate: str, advantage: str, main: Column, resamples: str) -> DataFrame:
+    """Of the samples of a batch: means over its rollouts of each rollout's mean reward, mean pass rate and population spread of rewards; sums of nodes and resamples;
+    extremes over samples; the share of advantages of 0; auxiliary samples for each main one (null without main ones).
+
+    ``resamples`` is told by every sample of a rollout, the same. A hot rollout is combined before the shuffle.
+    """
     mains = F.sum(main.cast("long"))
-    return df.groupBy(*by).agg(
-        F.avg(reward).alias("mean_reward"), F.min(reward).alias("min_reward"), F.max(reward).alias("max_reward"), F.avg(rate).alias("mean_rate"), F.min(rate).alias("min_rate"), F.max(rate).alias("max_rate"),
-        F.avg((F.abs(advantage) < 1e-8).cast("int")).alias("zero_advantage"), (F.sum((~main).cast("long")) / F.greatest(mains, F.lit(1))).alias("aux_per_main"),
-    )
+    each = df.groupBy(*by, rollout).agg(
+        F.avg(reward).alias("_mean"), F.avg(rate).alias("_rate"), F.stddev_pop(reward).alias("_std"), F.count(F.lit(1)).alias("_n"), F.max(resamples).alias("_again"),
+        F.min(reward).alias("_lo"), F.max(reward).alias("_hi"), F.min(rate).alias("_rlo"), F.max(rate).alias("_rhi"),
+        F.sum((F.abs(advantage) < 1e-8).cast("long")).alias("_zero"), F.count(advantage).alias("_told"), mains.alias("_main"), F.sum((~main).cast("long")).alias("_aux"),
+    )
+    return each.groupBy(*by).agg(
+        F.avg("_mean").alias("mean_reward"), F.avg("_rate").alias("mean_rate"), F.avg("_std").alias("std_reward"), F.sum("_n").alias("nodes"), F.sum("_again").alias("resamples"),
+        F.min("_lo").alias("min_reward"), F.max("_hi").alias("max_reward"), F.min("_rlo").alias("min_rate"), F.max("_rhi").alias("max_rate"),
+        (F.sum("_zero") / F.nullif(F.sum("_told"), F.lit(0))).alias("zero_advantage"), (F.sum("_aux") / F.nullif(F.sum("_main"), F.lit(0))).alias("aux_per_main"),
+    )

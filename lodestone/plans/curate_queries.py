@@ -30,8 +30,8 @@ def docs(s: SparkSession, d: str) -> DataFrame:
 # ------------------------------------------------------------------ curation
 
 def _reason():
-    return c.first_reason([("too_long", t.token_count(F.col("text")) > 400), ("interactive", c.mentions(F.col("text"), ("the the", "password"))), ("too_few", F.length("text") < 200), ("low_quality", F.coalesce(F.col("quality") == 0, F.lit(False)))])
-_REASON = r"case when len(regexp_extract_all(text, '[^\s\x0b]+')) > 400 then 'too_long' when contains(lower(text), 'the the') or contains(lower(text), 'password') then 'interactive' when length(text) < 200 then 'too_few' when quality = 0 then 'low_quality' end"
+    return c.first_reason([("prompt_too_long", t.token_count(F.col("text")) > 400), ("interactive_task", c.mentions(F.col("text"), ("the the", "password"))), ("too_few_tests", F.length("text") < 200), ("low_quality", F.coalesce(F.col("quality") == 0, F.lit(False)))])
+_REASON = r"case when len(regexp_extract_all(text, '[^\s\x0b]+')) > 400 then 'prompt_too_long' when contains(lower(text), 'the the') or contains(lower(text), 'password') then 'interactive_task' when length(text) < 200 then 'too_few_tests' when quality = 0 then 'low_quality' end"
 
 
 def rejected(s: SparkSession, d: str) -> DataFrame:

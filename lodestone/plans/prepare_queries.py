@@ -119,12 +119,25 @@ _add(
     "select ceil(event_id / 500.0::double)::bigint as flush, 'eval_' || event_type as key, round(avg(value), 6) + 0.0 as mean from events group by 1, 2",
 )
 _add(
-    "prior_summary", lambda s, d: _rounded(metrics.prior_summary(lines(s, d), "l_discount", "l_tax", "l_discount", 0.08, 0.02)),
-    "select round(avg(l_discount), 6) as code, round(avg(l_tax), 6) as reason, round(avg(l_discount), 6) as weight, count(*) filter (where l_discount >= 0.08::double) as high_value, count(*) filter (where l_discount <= 0.02::double) as low_value, count(*) as seen from lineitem",
+    "prior_summary", lambda s, d: _rounded(metrics.prior_summary(lines(s, d).withColumns({"c": F.col("l_discount") * 10, "r": F.col("l_tax") * 12, "k": F.col("l_linenumber") - 1}), "c", "r", "l_quantity", "k")),
+    """select round(avg(l_discount * 10), 6) as code, round(avg(l_tax * 12), 6) as reason, round(avg(l_quantity), 6) as weight,
+    count(*) filter (where l_tax * 12 >= 0.7::double and l_discount * 10 <= 0.3::double) as high_value, count(*) filter (where l_tax * 12 <= 0.3::double and l_discount * 10 <= 0.3::double) as low_value,
+    count(*) as seen from lineitem where l_linenumber > 1""",
 )
+
+
+def batches(s: SparkSession, d: str) -> DataFrame:
+    """Lines as samples: an order is a rollout, a supplier's a batch; resamples are told by the order."""
+    return lines(s, d).withColumns({"adv": F.col("l_linenumber") - 2, "again": F.col("l_orderkey") % 4})
+
+
 _add(
-    "batch_metrics", lambda s, d: _rounded(metrics.batch_metrics(lines(s, d).withColumn("adv", F.col("l_linenumber") - 2), ["l_suppkey"], "l_tax", "l_discount", "adv", F.col("done")), "l_suppkey"),
-    "select l_suppkey, round(avg(l_tax), 6) as mean_reward, min(l_tax) as min_reward, max(l_tax) as max_reward, round(avg(l_discount), 6) as mean_rate, min(l_discount) as min_rate, max(l_discount) as max_rate, round(avg((l_linenumber = 2)::int), 6) as zero_advantage, round(count(*) filter (where l_returnflag <> 'N') / greatest(count(*) filter (where l_returnflag = 'N'), 1), 6) as aux_per_main from lineitem group by 1",
+    "batch_metrics", lambda s, d: _rounded(metrics.batch_metrics(batches(s, d), ["l_suppkey"], "l_orderkey", "l_tax", "l_discount", "adv", F.col("done"), "again"), "l_suppkey"),
+    """with r as (select l_suppkey, l_orderkey, avg(l_tax) as m, avg(l_discount) as p, stddev_pop(l_tax) as s, count(*) as n from lineitem group by 1, 2),
+    a as (select l_suppkey, avg(m) as m, avg(p) as p, avg(s) as s, sum(n) as n, sum(l_orderkey % 4) as again from r group by 1)
+    select l_suppkey, round(any_value(m), 6) as mean_reward, round(any_value(p), 6) as mean_rate, round(any_value(s), 6) as std_reward, any_value(n)::bigint as nodes, any_value(again)::bigint as resamples,
+    min(l_tax) as min_reward, max(l_tax) as max_reward, min(l_discount) as min_rate, max(l_discount) as max_rate, round(avg((l_linenumber = 2)::int), 6) as zero_advantage,
+    round(count(*) filter (where l_returnflag <> 'N') / nullif(count(*) filter (where l_returnflag = 'N'), 0), 6) as aux_per_main from lineitem join a using (l_suppkey) group by 1""",
 )
 
 # ------------------------------------------------------------------ code problems
@@ -150,7 +163,7 @@ _add(
 )
 _add(
     "corpus_reasons", lambda s, d: raw_problems(s, d).select("doc_id", problems.corpus_reason(F.col("prompt"), F.col("prompt"), F.size("i"), F.length("prompt"), 3000, 2).alias("reason")),
-    "select doc_id, case when length(text) > 3000 then 'prompt_too_long' when contains(lower(text), 'interactive') or contains(lower(text), 'flush') or contains(lower(text), 'hacked interaction') then 'interactive' when contains(lower(text), 'input.txt') or contains(lower(text), 'output.txt') or contains(lower(text), 'read from file') or contains(lower(text), 'write to file') or contains(lower(text), 'file input') or contains(lower(text), 'file output') then 'file_io' when len(string_split(text, chr(10))) < 2 then 'too_few_tests' when regexp_matches(text, '(^|\\n)\\s*(import|from)\\s+(numpy|pandas|scipy|torch|tensorflow|sklearn|requests)\\b') then 'disallowed_import' end as reason from documents",
+    "select doc_id, case when length(text) > 3000 then 'prompt_too_long' when contains(lower(text), 'interactive') or contains(lower(text), 'flush') or contains(lower(text), 'hacked interaction') then 'interactive_task' when contains(lower(text), 'input.txt') or contains(lower(text), 'output.txt') or contains(lower(text), 'read from file') or contains(lower(text), 'write to file') or contains(lower(text), 'file input') or contains(lower(text), 'file output') then 'file_io_task' when len(string_split(text, chr(10))) < 2 then 'too_few_tests' when regexp_matches(text, '(^|\\n)\\s*(import|from)\\s+(numpy|pandas|scipy|torch|tensorflow|sklearn|requests)\\b') then 'disallowed_imports' end as reason from documents",
 )
 _add(
     "expected_output", lambda s, d: raw_problems(s, d).withColumn("c", problems.paired_cases("i", "o")).select("doc_id", F.md5(problems.expected_output("c", "i[0]")).alias("h")),
