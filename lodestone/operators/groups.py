@@ -150,6 +150,12 @@ def _checkpoint_dir(df: DataFrame) -> None:
         sc.setCheckpointDir(named)
 
 
+def shared_folder(df: DataFrame) -> str:
+    """A folder that the whole cluster shares, below the checkpoint folder of the session."""
+    _checkpoint_dir(df)
+    return df.sparkSession.sparkContext.getCheckpointDir()
+
+
 def repeat_sampler(df: DataFrame, ordinal: str, mini_repeat: int, batch: int, repeats: int) -> DataFrame:
     """Rows in batches of ``batch`` by ordinal (0-based, dense), the last partial one dropped; each batch ``repeats`` times, each row ``mini_repeat`` times.
 
