@@ -18,6 +18,21 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(there)
 
 
+def listed(spark: SparkSession, path: str, suffixes: tuple[str, ...]) -> list[str]:
+    """A file, or the files below a folder, that end with one of the suffixes, by path. A folder that itself bears a suffix is a table."""
+    files, there = _at(spark, path)
+    if not files.exists(there):
+        return []
+    if files.getFileStatus(there).isFile() or path.rstrip("/").endswith(suffixes):
+        return [path] if path.rstrip("/").endswith(suffixes) else []
+    out, found = [], files.listFiles(there, True)
+    while found.hasNext():
+        name = found.next().getPath().toString()
+        if name.endswith(suffixes) and not name.rpartition("/")[2].startswith(("_", ".")):
+            out.append(name)
+    return sorted(out)
+
+
 def committed(spark: SparkSession, path: str) -> bool:
     """Whether Spark has written a table there to its end."""
     return exists(spark, f"{path}/_SUCCESS")
