@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import tokens as t
-from lodestone.operators import packing
+from lodestone.operators import packing, quantiles
 from lodestone.sources.tables import read
 
 QUERIES, ORACLES = {}, {}
@@ -78,8 +78,19 @@ _add("first_true", lambda s, d: ids(s, d).select("doc_id", t.first_true("transfo
 _add("high_entropy_mask", lambda s, d: high_entropy(s, d), f"with {_V}, q as (select quantile_cont(abs(a), 0.8) as q from v where m = 1) select vec_id, count(*) filter (where m = 1 and abs(a) >= q) as n from v, q group by vec_id")
 
 
+def tokens(s: SparkSession, d: str) -> DataFrame:
+    """The entropy and the mask of each place of a vector."""
+    return vectors(s, d).select("vec_id", F.explode(F.arrays_zip("a", "m")).alias("t")).select("vec_id", F.abs("t.a").alias("h"), F.col("t.m").alias("m"))
+
+
 def high_entropy(s: SparkSession, d: str) -> DataFrame:
     """How many tokens of each row are at or above the exact 0.8 quantile of all unmasked entropies."""
-    tokens = vectors(s, d).select("vec_id", F.explode(F.arrays_zip("a", "m")).alias("t")).select("vec_id", F.abs("t.a").alias("h"), F.col("t.m").alias("m"))
-    cut = tokens.where("m = 1").agg(F.expr("percentile(h, 0.8)").alias("q"))
-    return tokens.crossJoin(F.broadcast(cut)).groupBy("vec_id").agg(F.sum(((F.col("m") == 1) & (F.col("h") >= F.col("q"))).cast("long")).alias("n"))
+    (cut,) = quantiles.quantiles(tokens(s, d).where("m = 1"), F.col("h"), [0.8])
+    return tokens(s, d).groupBy("vec_id").agg(F.sum(((F.col("m") == 1) & (F.col("h") >= F.lit(cut))).cast("long")).alias("n"))
+
+
+QUANTILES = [0.05, 0.5, 0.95]
+_add(
+    "entropy_quantiles", lambda s, d: quantiles.group_quantiles(tokens(s, d), ["m"], F.col("h"), QUANTILES).select("m", *[F.round(f"q{i}", 7).alias(f"q{i}") for i in range(3)]),
+    f"with {_V} select m, " + ", ".join(f"round(quantile_cont(abs(a), {q}), 7) as q{i}" for i, q in enumerate(QUANTILES)) + " from v group by m",
+)
