@@ -359,15 +359,21 @@ def bucket_rows(docs: DataFrame, text: str, width: int, t: int, counts: HashArra
     return _scan(docs, text, [], "key long, entity long, n int, indexed boolean, probing boolean, lone boolean", each)
 
 
-def lone_partners(docs: DataFrame, text: str, width: int, wanted: HashArrays) -> DataFrame:
-    """Rows as ``bucket_rows`` gives them of every set that has a shingle in ``wanted``."""
+def lone_partners(docs: DataFrame, text: str, width: int, t: int, wanted: HashArrays) -> DataFrame:
+    """Rows as ``bucket_rows`` gives them of every set that has a shingle in ``wanted`` and is small enough to link with the largest set that probes it.
+
+    Sets whose segments cannot cover what they need are small, so a text of any other size never comes to these buckets,
+    however common a shingle is.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, shingles, bounds in _distinct_sets(batch, width):
                 keys = mix(shingles ^ _LONE)
-                good = wanted.find(keys)[0]
-                at = np.repeat(np.arange(len(ids)), np.diff(bounds))[good]
+                known, found = wanted.find(keys)
+                owner = np.repeat(np.arange(len(ids)), np.diff(bounds))
+                good = known & (t * np.diff(bounds)[owner] <= 100 * found["most"].astype(np.int64))
+                at = owner[good]
                 if len(at):
                     yes, no = np.ones(len(at), bool), np.zeros(len(at), bool)
                     yield pa.RecordBatch.from_arrays([_signed(keys[good]), _signed(ids[at]), pa.array(np.diff(bounds)[at].astype(np.int32)), *map(pa.array, (yes, no, no))], names=["key", "entity", "n", "indexed", "probing", "lone"])
@@ -382,10 +388,10 @@ def buckets(docs: DataFrame, text: str, width: int, t: int, expected: int) -> Da
     flags = [F.max(c).alias(c) for c in ("indexed", "probing", "lone")]
     rows = materialise(bucket_rows(docs, text, width, t, counts).groupBy(*once).agg(*flags), "keys")
     counts.discard()
-    alone = rows.where("lone").select(F.col("key").alias("h")).distinct()
+    alone = rows.where("lone").groupBy(F.col("key").alias("h")).agg(F.max("n").alias("most"))
     if not alone.isEmpty():
-        wanted = build(alone, alone.count(), "lone")
-        more = materialise(rows.unionByName(lone_partners(docs, text, width, wanted)).groupBy(*once).agg(*flags), "keys")
+        wanted = build(alone, alone.count(), "lone", {"most": "u4"})
+        more = materialise(rows.unionByName(lone_partners(docs, text, width, t, wanted)).groupBy(*once).agg(*flags), "keys")
         wanted.discard()
         discard(rows)
         rows = more

@@ -114,6 +114,24 @@ def test_set_join_large_group(spark):
     assert sorted(((x.doc_id, x["_j_n"], x["_j_component"]) for x in out.collect()), key=str) == brute.components(made, 4, 85)
 
 
+def test_common_shingle_of_short_and_long_sets(spark):
+    """A line in thousands of long texts and a few short ones: only short sets come to the buckets of lone shingles."""
+    line = "see the licence for terms of use today"
+    made = [(k, line + " " + " ".join(f"w{k}x{j}" for j in range(30))) for k in range(3000)]
+    made += [(5000 + k, f"{line} {' '.join(f's{j}' for j in range(k % 4))}".strip()) for k in range(40)]
+    df = docs(spark, made)
+    keys = set()
+    for _, shingles, _ in setjoin._distinct_sets(pa.RecordBatch.from_arrays([pa.array([line])], names=["t"]), 4):
+        keys |= set(setjoin.mix(shingles ^ setjoin._LONE).view(np.int64).tolist())
+    wanted = setjoin.build(spark.createDataFrame([(h, 8) for h in keys], "h long, most int"), len(keys), "lone", {"most": "u4"})
+    rows = setjoin.lone_partners(df, "text", 4, 85, wanted)
+    assert 0 < rows.agg(F.max("n")).first()[0] <= 9 and rows.select("entity").distinct().count() <= 4
+    out = setjoin.with_components(df, width=4, t=85, keep=["doc_id"])
+    got = {x.doc_id: (x["_j_n"], x["_j_component"]) for x in out.collect()}
+    want = {i: (n, c) for i, n, c in brute.components(made[-40:], 4, 85)}
+    assert {i: got[i] for i in want} == want and all(got[k] == (35, k) for k in range(3000))
+
+
 @pytest.mark.parametrize("t", [80, 85])
 def test_pigeonhole_has_no_gap(t):
     """Pairs at the very bound always share a key that one indexes and the other probes, whatever the keys cost."""
