@@ -167,8 +167,8 @@ def repeat_sampler(df: DataFrame, ordinal: str, mini_repeat: int, batch: int, re
     return out.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(mini_repeat - 1))))
 
 
-def candidate_picks(df: DataFrame, group: str, ordinal: str, passed: str, final: str, raw: str, normal: str, n: int) -> DataFrame:
-    """Picks by group: the best by (passed, final), the best other by (raw, normal, final), then others by final, n in all.
+def candidate_picks(df: DataFrame, group: str, ordinal: str, passed: str, final: str, raw: str, normal: str, n: int, novelty: str | None = None) -> DataFrame:
+    """Picks by group: the best by (passed, final), the best other by (raw, normal, final), with ``novelty`` the best other by (novelty, raw), then others by final, n in all.
 
     Groups are the few candidates of one rollout.
     """
@@ -177,7 +177,10 @@ def candidate_picks(df: DataFrame, group: str, ordinal: str, passed: str, final:
     df = df.withColumn("_first", F.row_number().over(first) == 1)
     second = w.orderBy("_first", F.col(raw).desc(), F.col(normal).desc(), F.col(final).desc(), F.col(ordinal))
     df = df.withColumn("_second", ~F.col("_first") & (F.row_number().over(second) == 1))
-    place = F.when(F.col("_first"), 0).when(F.col("_second"), 1).otherwise(2)
+    taken = F.col("_first") | F.col("_second")
+    third = w.orderBy(taken, F.col(novelty).desc(), F.col(raw).desc(), F.col(ordinal)) if novelty else None
+    df = df.withColumn("_third", ~taken & (F.row_number().over(third) == 1) if novelty else F.lit(False))
+    place = F.when(F.col("_first"), 0).when(F.col("_second"), 1).when(F.col("_third"), 2).otherwise(3)
     rest = w.orderBy(place, F.col(final).desc(), F.col(ordinal))
     out = df.withColumn("pick", F.row_number().over(rest)).where(F.col("pick") <= n)
-    return out.withColumn("reason", F.when(F.col("_first"), "best_pass").when(F.col("_second"), "best_soft").otherwise("fallback")).drop("_first", "_second")
+    return out.withColumn("reason", F.when(F.col("_first"), "best_pass").when(F.col("_second"), "best_soft").when(F.col("_third"), "novel").otherwise("fallback")).drop("_first", "_second", "_third")
