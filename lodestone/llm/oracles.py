@@ -19,22 +19,34 @@ def _fits(host: str, path: str) -> str:
 
 
 _RULE = f"case when {_fits('example.net', '/en/')} then 'example.net/en/' when {_fits('example.com', '/de/')} then 'example.com/de/' when {_fits('org', '/fr/')} then 'org/fr/' when {_fits('net', '/')} then 'net/' end"
-_LINK = r"""coalesce(nullif(regexp_extract(html, '(?i)<link\s[^>]*rel\s*=\s*["'']?canonical[^>]*href\s*=\s*["'']?([^"''\s>]+)', 1), ''), nullif(regexp_extract(html, '(?i)<link\s[^>]*href\s*=\s*["'']?([^"''\s>]+)[^>]*rel\s*=\s*["'']?canonical', 1), ''))"""
-
-#: Aliases here: absolute canonical links, followed to all that is reachable.
-OP1 = f"""
-with recursive u as (select page_id, url, {_LINK} as link from pages),
-n as (select url from u union select link from u where link like '%://%'),
-k as (select url, regexp_replace(regexp_replace(url, '#.*', ''), '^.*?://', '') as node, {_host('url')} as host, {_path('url')} as path from n),
-d as (select *, {_RULE} as rule from k),
-e as (select a.node as x, b.node as y from u join d a on a.url = u.url join d b on b.url = u.link where u.link like '%://%'),
+_LINKS = r'''list_concat(regexp_extract_all(html, '(?i)<link\s[^>]*rel\s*=\s*["'']?canonical[^>]*?href\s*=\s*["'']?([^"''\s>]+)', 1), list_concat(regexp_extract_all(html, '(?i)<link\s[^>]*href\s*=\s*["'']?([^"''\s>]+)[^>]*rel\s*=\s*["'']?canonical', 1),
+  list_concat(regexp_extract_all(html, '(?i)<meta\s[^>]*http-equiv\s*=\s*["'']?refresh[^>]*?content\s*=\s*["'']?\s*[0-9.]*\s*[;,]\s*url\s*=\s*["'']?([^"''\s>]+)', 1), regexp_extract_all(html, '(?i)<meta\s[^>]*content\s*=\s*["'']?\s*[0-9.]*\s*[;,]\s*url\s*=\s*["'']?([^"''\s>]+)[^>]*http-equiv\s*=\s*["'']?refresh', 1))))'''
+_NAMED = "replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', ''''), '&amp;', '&')"
+_PLAIN_PATH = "case when starts_with({0}, '/') and contains({0}, '/.') then list_reduce([''] || string_split({0}, '/')[2:], lambda a, x: case when x = '.' then a when x = '..' then regexp_replace(a, '/[^/]*$', '') else a || '/' || x end) || case when string_split({0}, '/')[-1] in ('.', '..') then '/' else '' end else {0} end"
+
+
+def _query(url: str) -> str:
+    return f"coalesce(regexp_extract({url}, '://[^/?#]*[^?#]*([^#]*)', 1), '')"
+
+
+#: Aliases here: canonical links and refreshes, resolved and followed to all that is reachable (numbered character references aside).
+OP1 = f'''
+with recursive q as (select url, regexp_extract(url, '^(.*?)://', 1) as scheme, {_host('url')} as base_host, {_path('url')} as base_path, {_NAMED.format('link')} as link from (select url, unnest({_LINKS}) as link from pages where contains(url, '://'))),
+t as (select url, case when regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') then link when starts_with(link, '//') then scheme || ':' || link when starts_with(link, '/') then scheme || '://' || base_host || link when starts_with(link, '?') then scheme || '://' || base_host || base_path || link
+  when starts_with(link, '#') or regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') then null else scheme || '://' || base_host || coalesce(nullif(regexp_replace(base_path, '[^/]*$', ''), ''), '/') || link end as link from q where link <> ''),
+u as (select url, link, {_path('link')} as p from t where link is not null),
+l as (select url, regexp_extract(link, '^(.*?://[^/?#]*)', 1) || {_PLAIN_PATH.format('p')} || {_query('link')} as link from u),
+n as (select url from pages where contains(url, '://') union select link from l),
+h as (select url, {_host('url')} as host, {_path('url')} as path from n),
+d as (select *, host || coalesce(nullif({_PLAIN_PATH.format('path')}, ''), '/') || {_query('url')} as node, {_RULE} as rule from h),
+e as (select a.node as x, b.node as y from l join d a on a.url = l.url join d b on b.url = l.link),
 s as (select x, y from e union select y, x from e),
 c as (select x as node, x as other from s union select c.node, s.y from c join s on s.x = c.other),
 v as (select c.node, min(case when rule in ('net/', 'example.com/de/') then 'block' when rule is not null then 'allow' end) as decision from c join d on d.node = c.other group by c.node)
 select p.page_id, coalesce(d.host, '') as host, coalesce(d.path, '') as path, d.rule,
   case when d.rule in ('net/', 'example.com/de/') then 'block' when d.rule is not null then 'allow' else coalesce(v.decision, 'allow') end as verdict
 from pages p left join d on d.url = p.url left join v on v.node = d.node
-"""
+'''
 
 OP2 = f"""
 with recursive w as (select doc_id, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} as w from documents),

@@ -1,7 +1,8 @@
 """URL filters with redirect equivalence.
 
 Rules decide what they fit. Pages and the addresses they point to by a canonical link or an immediate refresh are nodes
-of a graph whose connected components are sets of aliases: an address without a rule of its own takes the decision of
+of a graph whose connected components are sets of aliases (every such link of a page counts, relative ones and character
+references are resolved): an address without a rule of its own takes the decision of
 its aliases, an explicit allow of any alias going before every block. All of it is DataFrame operations.
 
 Results for odd input: a null url, or one without ``://``, has an empty host and path, fits no rule and has no alias;
@@ -43,14 +44,48 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RULE
     return rule, verdict
 
 
+def without_dots(path: Column) -> Column:
+    """A path without its ``.`` and ``..`` segments; one that ends with such a segment ends with a slash."""
+    segments = F.split(path, "/")
+    kept = F.aggregate(
+        F.slice(segments, 2, F.greatest(F.size(segments) - 1, F.lit(0))), F.lit(""),
+        lambda held, x: F.when(x == ".", held).when(x == "..", F.regexp_replace(held, "/[^/]*$", "")).otherwise(F.concat(held, F.lit("/"), x)),
+    )
+    ended = F.concat(kept, F.when(F.element_at(segments, -1).isin(".", ".."), "/").otherwise(""))
+    return F.when(path.startswith("/") & path.contains("/."), ended).otherwise(path)
+
+
+def query_of(url: Column) -> Column:
+    """From the question mark of an address, that included, up to its fragment; empty where there is none."""
+    return F.coalesce(F.regexp_extract(url, r"://[^/?#]*[^?#]*([^#]*)", 1), F.lit(""))
+
+
 def node_of(url: Column) -> Column:
-    """An address without scheme and fragment, its host lower-cased: the name of a graph node. Null where there is none."""
-    rest = F.regexp_extract(url, r"://[^/?#]*([^#]*)", 1)
-    return F.when(url.contains("://"), F.concat(host_of(url), F.when(rest == "", "/").otherwise(rest)))
+    """An address without scheme, fragment and dot segments, its host lower-cased: the name of a graph node. Null where there is none."""
+    path = without_dots(path_of(url))
+    return F.when(url.contains("://"), F.concat(host_of(url), F.when(path == "", "/").otherwise(path), query_of(url)))
+
 
+def unescaped(link: Column) -> Column:
+    """An attribute's value with its character references as letters: numbers, and the names that markup itself needs."""
 
-def resolved(link: Column, base: Column) -> Column:
-    """A link of a page as an address: absolute, from the scheme, from the host, a query, or relative to the page's folder."""
+    def letter(part: Column) -> Column:
+        hexed, number = F.regexp_extract(part, "^[xX]([0-9A-Fa-f]{1,6});?", 1), F.regexp_extract(part, "^([0-9]{1,7});?", 1)
+        code = F.when(hexed != "", F.conv(hexed, 16, 10).cast("int")).when(number != "", number.cast("int"))
+        good = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        made = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.when(good, F.concat(made, F.regexp_replace(part, "^([xX][0-9A-Fa-f]{1,6}|[0-9]{1,7});?", ""))).otherwise(F.concat(F.lit("&#"), part))
+
+    parts = F.split(link, "&#")
+    numbered = F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), letter), ""))
+    out = F.when(link.contains("&#"), numbered).otherwise(link)
+    for name, text in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):  # the ampersand last: each is read once
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(text))
+    return out
+
+
+def joined(link: Column, base: Column) -> Column:
+    """A link of a page as an address: absolute, from the scheme, from the host, a query, or relative to the page's folder; null for others."""
     scheme = F.regexp_extract(base, "^(.*?)://", 1)
     root = F.concat(scheme, F.lit("://"), host_of(base))
     folder = F.regexp_replace(path_of(base), "[^/]*$", "")
@@ -64,13 +99,19 @@ def resolved(link: Column, base: Column) -> Column:
     )
 
 
+def plain(url: Column) -> Column:
+    """An address without dot segments and fragment."""
+    return F.concat(F.regexp_extract(url, "^(.*?://[^/?#]*)", 1), without_dots(path_of(url)), query_of(url))
+
+
 def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """One row (from_url, to_url) for each canonical link or refresh of a page to another address."""
+    """One row (from_url, to_url) for each canonical link and each refresh of a page to another address."""
     page, body = F.col(f"`{url}`"), F.col(f"`{html}`")
-    links = F.array(F.regexp_extract(body, _CANONICAL, 1), F.regexp_extract(body, _REFRESH, 1))
+    links = F.concat(F.regexp_extract_all(body, F.lit(_CANONICAL), 1), F.regexp_extract_all(body, F.lit(_REFRESH), 1))
     wanted = pages.where(page.contains("://") & (F.contains(F.lower(body), F.lit("canonical")) | F.contains(F.lower(body), F.lit("refresh"))))
     found = wanted.select(page.alias("from_url"), F.explode(links).alias("link")).where("link <> ''")
-    return found.select("from_url", resolved(F.col("link"), F.col("from_url")).alias("to_url")).where(F.col("to_url").isNotNull())
+    whole = found.withColumn("link", unescaped(F.col("link"))).withColumn("to_url", joined(F.col("link"), F.col("from_url")))
+    return whole.select("from_url", plain(F.col("to_url")).alias("to_url")).where(F.col("to_url").isNotNull())
 
 
 def alias_decisions(edges: DataFrame, rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:

@@ -92,6 +92,20 @@ def test_urls(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_urls_of_aliases(spark):
+    """Dot segments, character references, queries and every link of a page."""
+    rows = [("../q", "http://a.com/x/q"), ("./././q/..", "http://a.com/x/y/"), ("../../../../q", "http://a.com/q"), ("/a/./b/../c?x=/../1", "http://a.com/a/c?x=/../1"), ("?a=1&amp;b=2", "http://a.com/x/y/z?a=1&b=2"), ("q&#x41;&#66;&#38;&lt;&#xD800;&#;", "http://a.com/x/y/qAB&<&"), ("//B.com/%7Ea#f", "http://B.com/%7Ea"), ("#top", None), ("mailto:a@b", None), ("..", "http://a.com/x/"), ("&#233;&amp;amp;", "http://a.com/x/y/é&amp;")]
+    df = spark.createDataFrame([(k, link) for k, (link, _) in enumerate(rows)], "k int, link string")
+    got = [r.u for r in df.orderBy("k").select(urls.plain(urls.joined(urls.unescaped(F.col("link")), F.lit("http://A.com/x/y/z"))).alias("u")).collect()]
+    assert got[5].startswith("http://a.com/x/y/qAB&<&") and got[:5] + got[6:] == [w for _, w in rows[:5] + rows[6:]]
+    names = spark.createDataFrame([("http://A.com/x/../q?b/../c#f",), ("https://a.com/q?b/../c",), ("http://a.com?b",), ("http://a.com/?b",), ("http://a.com/.hidden",), ("http://a.com/a//../b",)], "u string")
+    assert [r.n for r in names.select(urls.node_of(F.col("u")).alias("n")).collect()] == ["a.com/q?b/../c", "a.com/q?b/../c", "a.com/?b", "a.com/?b", "a.com/.hidden", "a.com/a/b"]
+    html = '<link rel="canonical" href="/one"><LINK href="../two?a=1&amp;b=2" rel=canonical><meta content="0; url=three" http-equiv="refresh"><meta http-equiv=refresh content="5;URL=http://bad.net/1">'
+    pages = [(1, "http://m.com/f/p", html), (2, "http://m.com/one", ""), (3, "http://m.com/two?a=1&b=2", None), (4, "https://M.com/f/./three", ""), (5, "http://m.com/four", "")]
+    out = urls.judge(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    assert sorted((r.page_id, r["_u_verdict"]) for r in out.collect()) == [(1, "block"), (2, "block"), (3, "block"), (4, "block"), (5, "allow")]
+
+
 @pytest.mark.parametrize(("width", "t"), [(4, 85), (5, 80)])
 def test_set_join(spark, rows, width, t):
     out = setjoin.with_components(docs(spark, rows), width=width, t=t)
