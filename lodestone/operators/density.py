@@ -52,7 +52,7 @@ def fit(desirable: DataFrame, undesirable: DataFrame, key: str, embedding: str,
     counts = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
     total = sum(counts.values())
     balance = F.when(F.col("label") == 1, total / (2 * counts[1.0])).otherwise(total / (2 * counts[0.0]))
-    model = LogisticRegression(featuresCol="_v", labelCol="label", weightCol="_w", regParam=1.0 / total, elasticNetParam=0.0, standardization=False, maxIter=500, tol=1e-10)
+    model = LogisticRegression(featuresCol="_v", labelCol="label", weightCol="_w", regParam=1.0 / total, elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-8)
     fitted = model.fit(rows.select("label", array_to_vector("_e").alias("_v"), balance.alias("_w")))
     return Classifier(tuple(float(x) for x in fitted.coefficients), float(fitted.intercept))
 

@@ -32,8 +32,8 @@ def refill(s: SparkSession, d: str) -> DataFrame:
     orders = read(s, d, "orders").select("o_custkey", "o_orderkey", F.col("o_totalprice").cast("double").alias("price"), (F.col("o_orderkey") % 7 + 1).cast("int").alias("n"))
     rows = orders.select("o_custkey", "o_orderkey", F.expr("array_repeat(1, n)").alias("prompt"), F.expr("array_repeat(2, n % 3 + 1)").alias("completion"), "price")
     spread = rows.groupBy("o_custkey").agg(F.coalesce(F.stddev_samp("price"), F.lit(0.0)).alias("std"))
-    batch = rows.where("o_custkey % 10 = 0").join(spread.select("o_custkey", (F.col("std") == 0).alias("flat")), "o_custkey").drop("price")
-    buffer = rows.where("o_custkey % 10 = 1").join(spread.withColumnRenamed("std", "score"), "o_custkey").select("o_custkey", "o_orderkey", "prompt", "completion", "score")
+    batch = rows.join(spread.select("o_custkey", (F.col("std") == 0).alias("flat")), "o_custkey").drop("price")
+    buffer = rows.join(spread.withColumnRenamed("std", "score"), "o_custkey").select("o_custkey", "o_orderkey", "prompt", "completion", "score")
     out = replay.refilled(batch, buffer, "o_custkey", "flat", "score", "prompt", "completion", seed=3)
     return out.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.max("drawn_from").isNotNull().alias("drawn"), F.min(F.size("prompt")).alias("width"))
 
