@@ -461,8 +461,20 @@ def _all_pairs(bounds: np.ndarray, most: int = 400_000) -> Iterator[tuple[np.nda
         a = b
 
 
-def crossing(rest: DataFrame, t: int, block: int = 512) -> DataFrame:
-    """(src, dst): the pairs of sets of different components in a bucket, one probing and the other indexed, whose sizes and bitmaps admit a link."""
+def _nearest(i: np.ndarray, j: np.ndarray, component: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Which of the pairs are, for one of their two components, the pair least apart."""
+    both = np.concatenate((component[i], component[j]))
+    order = np.lexsort((np.concatenate((apart, apart)), both))
+    first = np.ones(len(order), bool)
+    first[1:] = both[order][1:] != both[order][:-1]
+    return np.unique(order[first] % len(i))
+
+
+def crossing(rest: DataFrame, t: int, nearest: bool = False, block: int = 512) -> DataFrame:
+    """(src, dst): the pairs of sets of different components in a bucket, one probing and the other indexed, whose sizes and bitmaps admit a link.
+
+    ``nearest``: of these only each component's nearest pair of a piece of a meeting, so that there are no more pairs than rows.
+    """
     sizes = rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).alias("_blocks"))
     dealt = in_blocks(rest.join(sizes, "key"), "key", F.col("_blocks")).select("_g", "_side", "entity", "n", "indexed", "probing", "component", "bits")
 
@@ -478,8 +490,10 @@ def crossing(rest: DataFrame, t: int, block: int = 512) -> DataFrame:
                 apart = np.zeros(len(i), np.int64)
                 for k in range(BITMAP_LONGS):
                     apart += np.bitwise_count(bits[i, k] ^ bits[j, k])
-                good = apart * (100 + t) <= total * (100 - t)
-                if good.any():
+                good = np.flatnonzero(apart * (100 + t) <= total * (100 - t))
+                if nearest and len(good):
+                    good = good[_nearest(i[good], j[good], component, apart[good] / total[good])]
+                if len(good):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(entity[i[good]], entity[j[good]])), pa.array(np.maximum(entity[i[good]], entity[j[good]]))], names=["src", "dst"])
 
     return dealt.repartition("_g").sortWithinPartitions("_g").mapInArrow(trimmed(each), "src long, dst long").distinct()
@@ -594,12 +608,15 @@ def links(docs: DataFrame, text: str, width: int, t: int, expected: int) -> tupl
             discard(more)
             break
         parts = _merged(parts, more)
-    rest = materialise(_open_rows(shared, parts).join(sets.select("entity", "bits"), "entity"), "open")
-    more = materialise(_verified(crossing(rest, t), sets, t), "links")
-    if parts is None or not more.isEmpty():
-        parts = _merged(parts, more)
-    for used in (shared, rest, more):
-        discard(used)
+    # nearest pairs first: what they join needs none of its other pairs, so a group of near copies does not bring them all
+    for nearest in (True, False):
+        rest = materialise(_open_rows(shared, parts).join(sets.select("entity", "bits"), "entity"), "open")
+        more = materialise(_verified(crossing(rest, t, nearest), sets, t), "links")
+        if parts is None or not more.isEmpty():
+            parts = _merged(parts, more)
+        for used in (rest, more):
+            discard(used)
+    discard(shared)
     return parts, sets
 
 
