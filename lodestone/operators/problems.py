@@ -274,3 +274,26 @@ def execution_reasons(df: DataFrame, solution: str = "reference_solution", cases
 def baseline_tally(df: DataFrame, hits: str = "baseline_hits") -> DataFrame:
     """How many problems each baseline passed at least one case of."""
     return df.select(F.explode(hits).alias("baseline")).groupBy("baseline").agg(F.count(F.lit(1)).alias("problems"))
+
+
+def candidate_score(prompt: str = "prompt", cases: str = "test_cases", source: str = "source") -> Column:
+    """What makes one of several equal problems the better one: more cases, then a shorter prompt, then the contest source."""
+    return F.struct(F.size(cases).alias("cases"), (-t.token_count(F.col(prompt))).alias("shorter"), F.coalesce(F.col(source) == CONTESTS, F.lit(False)).alias("contest"))
+
+
+def exact_key(prompt: str = "prompt", cases: str = "test_cases", mode: str = "io_mode") -> Column:
+    """The signature of the prompt, all cases and the mode of input."""
+    return F.md5(F.concat_ws("\x1f", t.signature(F.col(prompt)), F.to_json(cases), F.coalesce(F.col(mode), F.lit("stdio"))))
+
+
+def near_key(prompt: str = "prompt", cases: str = "test_cases", words: int = 80, pairs: int = 3) -> Column:
+    """The first words of the prompt's signature and the first cases without white space at their ends."""
+    bare = F.transform(F.slice(cases, 1, pairs), lambda c: F.struct(t.strip(c["input"]).alias("input"), t.strip(c["output"]).alias("output")))
+    return F.md5(F.concat_ws("\x1f", t.first_words(t.signature(F.col(prompt)), words), F.to_json(bare)))
+
+
+def deduplicated(df: DataFrame, order: str, prompt: str = "prompt", cases: str = "test_cases", source: str = "source", mode: str = "io_mode") -> DataFrame:
+    """Of equal problems, then of near ones, the best stays and takes the earliest place, ``position``; of equally good ones the first by ``order``."""
+    scored = df.withColumns({"_score": candidate_score(prompt, cases, source), "_exact": exact_key(prompt, cases, mode), "_near": near_key(prompt, cases)})
+    first = curate.dedupe(scored, ["_exact"], "_score", order).withColumnRenamed("position", "_place")
+    return curate.dedupe(first, ["_near"], "_score", "_place").drop("_score", "_exact", "_near", "_place")

@@ -34,8 +34,8 @@ def selected_traces(scores: DataFrame, by: str, most: int = 0, wanted: Sequence
 
 
 def trace_due(step: Column, every: int, written: Column, most: int) -> Column:
-    """Whether a trace is written: every so many steps, as long as fewer than ``most`` were (0: no bound)."""
-    return (F.pmod(step, F.lit(max(every, 1))) == 0) & (written < most if most > 0 else F.lit(True))
+    """Whether a trace is written: every so many steps (a negative interval counts as its size), as long as fewer than ``most`` were (0: no bound)."""
+    return (F.pmod(step, F.lit(max(abs(every), 1))) == 0) & (written < most if most > 0 else F.lit(True))
 
 
 def public_metrics(metrics: Column, names: Sequence[str], prefixes: Sequence[str] = (), deviations: bool = True) -> Column:

@@ -66,3 +66,20 @@ _add(
     f"with {_WORDS} select item_id, case when n < 20 then 'too_few_tests' when rate < 1 then 'reference_solution_failed' when len(hits) > 0 then 'trivial_baseline_passed' end as reject_reason, round(rate, 6) as reference_pass_rate, array_to_string(hits, ',') as hits from e",
 )
 _add("baseline_tally", lambda s, d: problems.baseline_tally(executed(s, d)), f"with {_WORDS} select baseline, count(*) as problems from (select unnest(hits) as baseline from e) group by 1")
+
+
+def line_problems(s: SparkSession, d: str) -> DataFrame:
+    """Documents as problems: every line is a case; a document of the third source counts as a contest's."""
+    docs = read(s, d, "documents").select("doc_id", F.col("text").alias("prompt"), F.when(F.col("source") == "src3", problems.CONTESTS).otherwise(F.col("source")).alias("source"), F.lit("stdio").alias("io_mode"))
+    return docs.withColumn("test_cases", F.transform(F.split("prompt", "\n"), lambda x: F.struct(x.alias("input"), F.lit("").alias("output"))))
+
+
+_SIGNATURE = r"trim(regexp_replace(regexp_replace(lower(trim(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+_add(
+    "deduplicated_problems", lambda s, d: problems.deduplicated(line_problems(s, d), "doc_id").select("doc_id", "position"),
+    rf"""with t as (select doc_id, text, source, string_split(text, chr(10)) as l, {_SIGNATURE} as sig, len(regexp_extract_all(text, '[^\s\x0b]+')) as tokens from documents),
+    k as (select doc_id, len(l) as n, tokens, source = 'src3' as contest, sig || chr(31) || array_to_string(l, chr(30)) as k1, array_to_string(string_split(sig, ' ')[1:80], ' ') || chr(31) || array_to_string(list_transform(l[1:3], lambda x: regexp_replace(x, '^[\s\x0b]+|[\s\x0b]+$', '', 'g')), chr(30)) as k2 from t),
+    e as (select *, row_number() over (partition by k1 order by n desc, tokens, contest desc, doc_id) as r, min(doc_id) over (partition by k1) as p from k),
+    f as (select *, row_number() over (partition by k2 order by n desc, tokens, contest desc, p) as q, min(p) over (partition by k2) as position from e where r = 1)
+    select doc_id, position from f where q = 1""",
+)

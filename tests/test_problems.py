@@ -89,3 +89,15 @@ def test_execution_filters(spark, programs):
     assert rates["echo"] == {"print_0": 0.0, "print_1": 0.5, "empty_output": 0.0, "echo_input": 1.0, "placeholder": 0.0} and rates["wrong"] is None
     out.unpersist()
     assert problems.execution_reasons(df.limit(0), allowed=True).count() == 0
+
+
+def test_equal_and_near_problems(spark):
+    case = lambda *x: [{"input": i, "output": "o"} for i in x]
+    long = " ".join(f"w{k}" for k in range(90))
+    rows = [
+        (0, "Add <b>two</b> numbers!", case("1", "2", "3"), "apps"), (1, "add two numbers", case("1", "2", "3"), "codecontests"), (2, "Add two numbers", case(" 1", "2\n", "3", "4"), "taco"), (3, "Add two numbers", case("9"), "taco"),
+        (4, long, case("1"), "apps"), (5, long + " more", case("1"), "apps"), (6, long, case("1"), "apps"), (7, "", [], None),
+    ]
+    df = spark.createDataFrame([(i, p, c, s, None) for i, p, c, s in rows], "i int, prompt string, test_cases array<struct<input:string,output:string>>, source string, io_mode string").repartition(3)
+    got = problems.deduplicated(df, "i").collect()
+    assert sorted((r.i, r.position) for r in got) == [(2, 0), (3, 3), (4, 4), (7, 7)] and set(got[0].asDict()) == {*df.columns, "position"}
