@@ -28,10 +28,13 @@ def draws(buffer: DataFrame, score: str, key: str, n: int, seed: int = 0) -> Dat
     made = buffer.sparkSession.range(n).select(F.col("id").alias("draw"), hash_uniform(F.lit(str(seed)), F.col("id").cast("string")).alias("_u"))
     here = (F.col("_u") * F.col("_total") >= F.col("_before")) & (F.col("_u") * F.col("_total") < F.col("_before") + F.col("_sum"))
     dealt = made.join(F.broadcast(parts), here).select("_part", (F.col("_u") * F.col("_total") - F.col("_before")).alias("_at"), F.lit(1).alias("_kind"), "draw", F.lit(None).cast(rows.schema["_key"].dataType).alias("_key"))
-    upto = F.sum("_w").over(Window.partitionBy("_part").orderBy("_key").rowsBetween(Window.unboundedPreceding, 0))
-    laid = placed.select("_part", upto.alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast("long").alias("draw"), "_key")
-    line = Window.partitionBy("_part").orderBy("_at", "_kind")
-    nearest = F.coalesce(F.first("_key", ignorenulls=True).over(line.rowsBetween(0, Window.unboundedFollowing)), F.last("_key", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    along = Window.partitionBy("_part").orderBy("_key")
+    upto = F.sum("_w").over(along.rowsBetween(Window.unboundedPreceding, 0))
+    ends = F.when(F.lead("_key").over(along).isNull(), F.lit(float("inf"))).otherwise(upto)  # no rounding leaves a draw without a row
+    laid = placed.select("_part", ends.alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast("long").alias("draw"), "_key")
+    # from the far end on: a frame that only grows is read once, one that shrinks is read anew for each row
+    line = Window.partitionBy("_part").orderBy(F.desc("_at"), F.desc("_kind"), F.desc("_key")).rowsBetween(Window.unboundedPreceding, 0)
+    nearest = F.last("_key", ignorenulls=True).over(line)
     return laid.unionByName(dealt).withColumn("_next", nearest).where("_kind = 1").select("draw", F.col("_next").alias(key))
 
 
