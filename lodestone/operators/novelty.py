@@ -2,10 +2,11 @@
 
 Similarity is that of matching blocks (``difflib``), which depends on the order of the two. Groups are cut into blocks of
 ``BLOCK`` programs by hash; each pair of blocks is compared in a task of its own, so a large group is spread, and sums
-are added up afterwards.
+are added up afterwards. Equal programs of a group are compared once and count as often as they occur; the work still grows with
+the square of a group's different programs.
 
 Results for odd input: a lone program is new (1); a null program is empty, and two empty ones are the same; equal programs of
-different rows are compared like others; rows are told apart by ``key``, which should be distinct in a group; an empty
+different rows are compared like others; rows of one ``key`` are rows of their own; an empty
 table gives an empty result; columns that begin with ``_w_`` are replaced.
 """
 
@@ -20,31 +21,42 @@ from pyspark.sql import functions as F
 BLOCK = 32
 
 
-def similarities(codes: list[str], sides: list[int]) -> list[tuple[float, int]]:
-    """For each program of a meeting of two blocks (side 0 and 1, or 2 for a block with itself) its summed similarity with those it meets there, and their number."""
-    out = []
-    for i, a in enumerate(codes):
-        others = [b for j, b in enumerate(codes) if i != j and (sides[i] == 2 or sides[i] != sides[j])]
-        out.append((sum(SequenceMatcher(None, a, b).ratio() for b in others), len(others)))
-    return out
+def similarities(codes: list[str], sides: list[int], counts: list[int] | None = None) -> list[tuple[float, int]]:
+    """For each program of a meeting of two blocks (side 0 and 1, or 2 for a block with itself) its summed similarity with those it meets there, and their number.
+
+    ``counts``: how often each occurs; a program meets its own further occurrences where its block meets itself.
+    """
+    counts = [1] * len(codes) if counts is None else counts
+    sums = [float(n - 1) if side == 2 else 0.0 for n, side in zip(counts, sides, strict=True)]
+    met = [n - 1 if side == 2 else 0 for n, side in zip(counts, sides, strict=True)]
+    matcher = SequenceMatcher(None)
+    for j, b in enumerate(codes):
+        matcher.set_seq2(b)  # what is learned of b serves all others
+        for i, a in enumerate(codes):
+            if i != j and (sides[i] == 2 or sides[i] != sides[j]):
+                matcher.set_seq1(a)
+                sums[i] += counts[j] * matcher.ratio()
+                met[i] += counts[j]
+    return list(zip(sums, met, strict=True))
 
 
 def with_novelty(df: DataFrame, group: str, key: str, code: str, name: str = "novelty", block: int = BLOCK) -> DataFrame:
     """Adds ``name`` to every row."""
     df = df.drop(name, *[c for c in df.columns if c.startswith("_w_")])
-    rows = df.select(F.col(group).alias("_w_group"), F.col(key).alias("_w_key"), F.coalesce(F.col(code), F.lit("")).alias("_w_code"))
+    rows = df.select(F.col(group).alias("_w_group"), F.coalesce(F.col(code), F.lit("")).alias("_w_code"))
+    rows = rows.withColumn("_w_id", F.md5("_w_code"))
+    own = rows.groupBy("_w_group", "_w_id", "_w_code").agg(F.count(F.lit(1)).alias("_w_count"))
     n = F.count(F.lit(1)).over(Window.partitionBy("_w_group"))
-    own = rows.withColumn("_w_n", F.ceil(n / block).cast("int")).withColumn("_w_b", F.expr("int(pmod(xxhash64(_w_key), _w_n))"))
+    own = own.withColumn("_w_n", F.ceil(n / block).cast("int")).withColumn("_w_b", F.expr("int(pmod(xxhash64(_w_id), _w_n))"))
     met = own.withColumn("_w_o", F.explode(F.sequence(F.lit(0), F.col("_w_n") - 1)))
-    met = met.select("_w_group", "_w_key", "_w_code", F.least("_w_b", "_w_o").alias("_w_lo"), F.greatest("_w_b", "_w_o").alias("_w_hi"), F.expr("case when _w_b = _w_o then 2 when _w_b < _w_o then 0 else 1 end").alias("_w_side"))
-    keys = {f.name: f for f in met.schema.fields}
-    schema = f"_w_group {keys['_w_group'].dataType.simpleString()}, _w_key {keys['_w_key'].dataType.simpleString()}, s double, n long"
+    met = met.select("_w_group", "_w_id", "_w_code", "_w_count", F.least("_w_b", "_w_o").alias("_w_lo"), F.greatest("_w_b", "_w_o").alias("_w_hi"), F.expr("case when _w_b = _w_o then 2 when _w_b < _w_o then 0 else 1 end").alias("_w_side"))
+    schema = f"_w_group {met.schema['_w_group'].dataType.simpleString()}, _w_id string, s double, n long"
 
     def each(table: pa.Table) -> pa.Table:
-        found = similarities(table.column("_w_code").to_pylist(), table.column("_w_side").to_pylist())
-        return table.select(["_w_group", "_w_key"]).append_column("s", pa.array([s for s, _ in found], pa.float64())).append_column("n", pa.array([k for _, k in found], pa.int64()))
+        found = similarities(*(table.column(c).to_pylist() for c in ("_w_code", "_w_side", "_w_count")))
+        return table.select(["_w_group", "_w_id"]).append_column("s", pa.array([s for s, _ in found], pa.float64())).append_column("n", pa.array([k for _, k in found], pa.int64()))
 
-    summed = met.groupBy("_w_group", "_w_lo", "_w_hi").applyInArrow(each, schema).groupBy("_w_group", "_w_key").agg(F.sum("s").alias("_w_s"), F.sum("n").alias("_w_m"))
-    same = F.col(group).eqNullSafe(F.col("_w_group")) & F.col(key).eqNullSafe(F.col("_w_key"))
+    summed = met.groupBy("_w_group", "_w_lo", "_w_hi").applyInArrow(each, schema).groupBy("_w_group", "_w_id").agg(F.sum("s").alias("_w_s"), F.sum("n").alias("_w_m"))
+    same = F.col(group).eqNullSafe(F.col("_w_group")) & (F.md5(F.coalesce(F.col(code), F.lit(""))) == F.col("_w_id"))
     new = F.when(F.col("_w_m") > 0, 1 - F.col("_w_s") / F.col("_w_m")).otherwise(1.0)
     return df.join(summed, same).withColumn(name, new).select(*df.columns, name)
