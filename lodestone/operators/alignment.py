@@ -14,11 +14,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LEAST = 1e-8
+ROWS = 500
 
 
 def ends(left: list[str], right: list[str]) -> list[tuple[int, int]]:
@@ -37,11 +39,53 @@ def ends(left: list[str], right: list[str]) -> list[tuple[int, int]]:
 
 
 def groups(left: list[str], right: list[str]) -> list[dict[str, list[int]]]:
-    out, i, j = [], 0, 0
-    for p, q in ends(left, right):
-        out.append({"left": list(range(i, p)), "right": list(range(j, q))})
-        i, j = p, q
-    return out
+    """Of one row."""
+    return grouped(pa.array([left], pa.list_(pa.string())), pa.array([right], pa.list_(pa.string()))).to_pylist()[0]
+
+
+_KIND = pa.list_(pa.struct([("left", pa.list_(pa.int32())), ("right", pa.list_(pa.int32()))]))
+
+
+def _plain(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Where the rows of a column of arrays of texts start and end, the lengths of its texts one after another, and the rows' whole texts; null texts are empty."""
+    flat = pc.fill_null(column.flatten(), "")
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    whole = pc.binary_join(pa.ListArray.from_arrays(pa.array(at, pa.int32()), flat), "")
+    return at, pc.utf8_length(flat).to_numpy(zero_copy_only=False).astype(np.int64), whole
+
+
+def grouped(left: pa.ListArray, right: pa.ListArray) -> pa.Array:
+    """The groups of all rows of a batch: places are counted and cut by arrays, no place is a Python object."""
+    left, right = left.cast(pa.list_(pa.string())), right.cast(pa.list_(pa.string()))
+    (at, n, x), (bt, m, y) = _plain(left), _plain(right)
+    null = pc.or_(left.is_null(), right.is_null()).to_numpy(zero_copy_only=False)
+    same = pc.equal(x, y).to_numpy(zero_copy_only=False)
+    counts, sides = np.zeros(len(null), np.int64), ([], [])
+    for r in np.flatnonzero(~null):
+        i, p, j, q = at[r], at[r + 1], bt[r], bt[r + 1]
+        if same[r]:
+            a, b = np.cumsum(n[i:p]), np.cumsum(m[j:q])
+            common = np.intersect1d(a, b)
+            common = common[common > 0]
+            u, v = np.searchsorted(a, common) + 1, np.searchsorted(b, common) + 1
+            if (u[-1] if len(u) else 0, v[-1] if len(v) else 0) != (p - i, q - j):
+                u, v = np.append(u, p - i), np.append(v, q - j)
+        else:
+            u, v = np.array(ends(left[r].as_py(), right[r].as_py()), np.int64).T
+        counts[r] = len(u)
+        sides[0].append(np.diff(u, prepend=0))
+        sides[1].append(np.diff(v, prepend=0))
+
+    def places(lengths: list[np.ndarray], starts: np.ndarray) -> pa.ListArray:
+        sizes = np.where(null, 0, np.diff(starts))
+        values = np.arange(sizes.sum(), dtype=np.int64) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        offsets = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *lengths]))])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
+
+    pairs = pa.StructArray.from_arrays([places(sides[0], at), places(sides[1], bt)], names=["left", "right"])
+    offsets = np.concatenate([[0], np.cumsum(counts)])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32(), mask=np.append(null, False)), pairs).cast(_KIND)
 
 
 def aligned(df: DataFrame, left: str, right: str, name: str = "groups") -> DataFrame:
@@ -49,14 +93,13 @@ def aligned(df: DataFrame, left: str, right: str, name: str = "groups") -> DataF
     df = df.drop(name)
     kind = T.ArrayType(T.StructType([T.StructField("left", T.ArrayType(T.IntegerType())), T.StructField("right", T.ArrayType(T.IntegerType()))]))
     schema = T.StructType([*df.schema.fields, T.StructField(name, kind)])
-    told = pa.list_(pa.struct([("left", pa.list_(pa.int32())), ("right", pa.list_(pa.int32()))]))
     source = df.withColumns({"_left": F.col(left), "_right": F.col(right)})
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (batch.column(batch.num_columns - k).to_pylist() for k in (2, 1))
-            found = [None if x is None or y is None else groups(x, y) for x, y in zip(a, b, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(found, told)], names=schema.fieldNames())
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-2], grouped(part.column(part.num_columns - 2), part.column(part.num_columns - 1))], names=schema.fieldNames())
 
     return source.mapInArrow(each, schema)
 
