@@ -24,6 +24,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+ROWS = 1000
+BYTES = 4 << 20
+
+
 class Registry:
     """Functions by name: ``@registry.add`` or ``registry.add("name", function)``."""
 
@@ -73,10 +77,20 @@ def _called(functions: Mapping[str, Callable], told: dict[str, list]) -> dict[st
     return out | (asyncio.run(together(waiting)) if waiting else {})
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``ROWS`` rows and, as rows are on average, ``BYTES``; an empty batch as it is."""
+    for batch in batches:
+        rows = max(1, min(ROWS, BYTES * batch.num_rows // max(1, batch.nbytes)))
+        for at in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(at, rows)
+        pa.default_memory_pool().release_unused()
+
+
 def rewards(df: DataFrame, functions: Mapping[str, Callable | Column], weights: Mapping[str, float] | None = None, prompt: str = "prompt", completion: str = "completion") -> DataFrame:
     """Adds ``reward_<name>`` for each function, ``reward`` (their weighted sum, missing ones left out) and ``unscored``.
 
-    A function without a weight has 1. Batches have at most spark.sql.execution.arrow.maxRecordsPerBatch rows.
+    A function without a weight has 1. Batches have at most ``ROWS`` rows, and about ``BYTES`` of columns where rows are long, so
+    that what a worker holds does not grow with the input.
     """
     if not functions:
         raise ValueError("no reward functions")
@@ -91,7 +105,7 @@ def rewards(df: DataFrame, functions: Mapping[str, Callable | Column], weights:
         names = [{prompt: "prompts", completion: "completions"}.get(c, c) for c in df.columns]
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in _slices(batches):
                 told = {n: c.to_pylist() for n, c in zip(names, batch.columns, strict=True)}
                 found = _called(called, told) if batch.num_rows else {}
                 added = [pa.array(_numbers(n, found.get(n, ()), batch.num_rows), pa.float64()) for n in called]
