@@ -124,7 +124,7 @@ def kept(s: SparkSession, d: str) -> DataFrame:
     folder = _folder(docs, "kept")
     compute = lambda df: df.select("doc_id", t.token_count(F.col("text")).alias("n"))
     jobs.kept_columns(docs, compute, folder, {"columns": "token_count"})
-    return jobs.kept_columns(docs.repartition(3), compute, folder, {"columns": "token_count"})
+    return jobs.kept_columns(docs.hint("rebalance"), compute, folder, {"columns": "token_count"})
 
 
 _add("kept_columns", kept, r"select doc_id, len(regexp_extract_all(text, '[^\s\x0b]+')) as n from documents")
