@@ -6,14 +6,16 @@ with guarded dots, and identifiers of letters and digits that carry a check (``i
 letter). Boosted trees (spark.ml, trained here, one model a kind) score a candidate from its format and the
 words before it.
 
-Their evidence does not come from what the rules match as it stands. Each rule span of the sample is rewritten in a form
-that the rules do not know (spelled out, without prefix, regrouped, guarded, or its digits made an identifier) and put
-where it stood; against these stand random digit groups, dates, versions and identifiers with a wrong check, put at
-places chosen by hash in the texts. A candidate that is just the rewritten span, under its kind, is good; one of another
-kind or part, or of a random group, is bad; what a rule finds is left out. Half of the evidence is held out, and each
-kind's threshold is the least score at which the held-out candidates reach ``precision`` (lower bound of Wilson's
-interval) on this made mixture, which is not that of the texts. The trees become a plain SQL expression, so all documents
-are scored where their candidates are, without a join. A kind without evidence for a threshold gives no further spans.
+Their evidence does not come from what the rules match as it stands. Each rule span of all documents is rewritten in a
+form that the rules do not know (spelled out, without prefix, regrouped, guarded, or its digits made an identifier) and
+put where it stood; against these stand random digit groups, dates, versions and identifiers with a wrong check, three at
+a place of every text, chosen by hash. A candidate that is just the rewritten span, under its kind, is good; one of
+another kind or part, or of a random group, is bad; what a rule finds is left out. Nothing is sampled: candidates with
+equal features are one row with their count, and the trees learn from these rows by weight, with all split points. The
+weights let spans and places count alike, whichever are more. Half of the texts are held out, and each kind's threshold
+is the least score at which the held-out candidates reach ``precision`` (lower bound of Wilson's interval) on this made
+mixture, which is not that of the texts. The trees become a plain SQL expression, so all documents are scored where their
+candidates are, without a join. A kind without evidence for a threshold gives no further spans.
 
 Positions are code points, end exclusive. Results for odd input: null text has no spans; repeated rows give repeated
 results; an empty table gives an empty result; columns of the input are kept, ``_p_base`` and ``_p_extra`` are added.
@@ -32,7 +34,8 @@ from lodestone.llm.common import materialise, table, without_prefix
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "ident")
-SAMPLE = 20_000
+#: Rows of grouped evidence for a task of the fits.
+_FIT_ROWS = 200_000
 
 #: kind: (pattern, cheap test that any text with a match passes, condition on a match m). The look-arounds make each
 #: equal to its plain pattern while no start is tried within a run, and keep repeated groups short.
@@ -123,10 +126,11 @@ def _score_sql(model, names: list[str]) -> str:
     return f"1 / (1 + exp(-2 * ({margin})))"
 
 
-def _wilson_lower(good: int, n: int, z: float = 1.96) -> float:
+def _wilson_lower(good: float, n: float, z: float = 1.96) -> float:
     if not n:
         return 0.0
     p = good / n
+    p = min(p, 1.0)  # weights are no whole numbers
     return (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
@@ -184,14 +188,14 @@ def places(text: str = "t") -> Column:
     return F.expr(f"named_struct('seen', transform(_p_base, x -> named_struct('kind', x.kind, 'm', substring({text}, int(x.s) + 1, int(x.e - x.s)), {around})), 'place', substring({text}, {at} + 1, {2 * _CONTEXT}))")
 
 
-def evidence(stored: DataFrame, sample: int) -> DataFrame:
-    """Candidates (with their features) of rewritten rule spans (y 1 or 0) and of random groups (y 0); k tells one text from another."""
-    spans = stored.select(F.xxhash64("_p_key").alias("k"), F.explode("_p_near.seen").alias("x")).select("k", "x.*").orderBy(F.xxhash64("k", "kind", "m"), "m", "b").limit(sample // 4)
+def evidence(stored: DataFrame) -> DataFrame:
+    """Candidates (with their features) of all rewritten rule spans (y 1 or 0) and of random groups (y 0, made); k tells one text from another."""
+    spans = stored.select(F.xxhash64("_p_key").alias("k"), F.explode("_p_near.seen").alias("x")).select("k", "x.*")
     forms = "case kind " + " ".join(f"when '{kind}' then {_chosen(f, 'h')}" for kind, f in FORMS.items()) + " end"
     hashed = spans.withColumn("h", F.xxhash64(F.lit(1), "k", "kind", "m")).withColumn("d", F.expr(f"left(concat({_DIGITS}, lpad(abs(h) % 1000000007, 10, '7')), 18)"))
     made = hashed.select("k", "b", "c", F.expr(f"array(named_struct('kind', kind, 'v', {forms}), named_struct('kind', 'ident', 'v', {_chosen(IDENTS, 'h')}))").alias("vs"))
     good = made.select("k", "b", "c", F.explode("vs").alias("v")).select("k", "b", "c", "v.*")
-    spots = stored.where("length(_p_near.place) > 0").select(F.xxhash64("_p_key").alias("k"), F.col("_p_near.place").alias("p")).orderBy(F.xxhash64(F.lit(2), "k"), "p").limit(sample // 4)
+    spots = stored.where("length(_p_near.place) > 0").select(F.xxhash64("_p_key").alias("k"), F.col("_p_near.place").alias("p"))
     drawn = spots.select("k", "p", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("i")).withColumn("d", F.expr("left(concat(lpad(abs(xxhash64(k, i)), 19, '4'), reverse(lpad(abs(xxhash64(i, k)), 19, '4')), '17'), 40)"))
     worded = drawn.withColumn("w", F.expr("coalesce(nullif(regexp_extract(p, '[A-Za-z]{2,}', 0), ''), 'page')"))
     half = f"substring(p, 1, {_CONTEXT})", f"substring(p, {_CONTEXT + 1})"
@@ -199,27 +203,44 @@ def evidence(stored: DataFrame, sample: int) -> DataFrame:
     texts = good.unionByName(bad).where("v is not null").select("k", "kind", F.length("b").cast("long").alias("s"), F.expr("bigint(length(b) + length(v))").alias("e"), F.expr("concat(b, v, c)").alias("t"))
     found = texts.select("k", F.col("kind").alias("planted"), F.col("s").alias("from"), F.col("e").alias("to"), rule_spans("t").alias("base"), F.explode(candidates("t")).alias("c"))
     free = found.where("c.s < to and from < c.e and not exists(base, x -> x.s < c.e and c.s < x.e)")
-    return free.select("c.*", "k", F.expr("if(planted = c.kind and c.s = from and c.e = to, 1.0D, 0.0D)").alias("y"))
+    return free.select("c.*", "k", F.expr("if(planted = c.kind and c.s = from and c.e = to, 1.0D, 0.0D)").alias("y"), F.expr("planted = ''").alias("made"))
 
 
-def train(stored: DataFrame, sample: int = SAMPLE, precision: float = 0.9, rounds: int = 8, depth: int = 3) -> dict[str, tuple[str, float]]:
+def gathered(stored: DataFrame) -> DataFrame:
+    """The whole evidence: kind, held (out), y, made, features, and n, the number of candidates that are alike in these."""
+    return evidence(stored).withColumn("held", F.expr("pmod(xxhash64(k), 2) = 1")).groupBy("kind", "held", "y", "made", *NAMES).agg(F.count(F.lit(1)).alias("n_alike"))
+
+
+def train(stored: DataFrame, precision: float = 0.9, rounds: int = 8, depth: int = 3) -> dict[str, tuple[str, float]]:
     """kind: (score SQL over a candidate c, threshold), without kinds whose evidence of either sort is too little."""
-    taken = materialise(evidence(stored, sample).orderBy(F.xxhash64("k", "s", "kind"), "s", "e").limit(sample), "pii-sample")
-    fold = taken.withColumn("held", F.expr("pmod(xxhash64(k), 2) = 1"))
-    counts = {(r.kind, r.held, r.y): r["count"] for r in fold.groupBy("kind", "held", "y").count().collect()}
+    taken = materialise(gathered(stored), "pii-evidence")
+    spans, spots = stored.agg(F.sum(F.size("_p_near.seen")), F.sum(F.expr("int(length(_p_near.place) > 0)"))).first()
+    if not spans or not spots:
+        return {}
+    counts, rows = {}, {}
+    for r in taken.groupBy("kind", "held", "y").agg(F.sum("n_alike").alias("n"), F.count(F.lit(1)).alias("rows")).collect():
+        counts[r.kind, r.held, r.y] = r.n
+        rows[r.kind] = rows.get(r.kind, 0) + r.rows
+    # few rows go to one task, in one order: sums of fractions, and so ties between splits, hang on it
+    fold = taken.coalesce(1 + sum(rows.values()) // _FIT_ROWS).sortWithinPartitions("kind", "held", "y", "made", *NAMES).withColumn("w", F.expr(f"n_alike * if(made, {min(1.0, spans / spots)!r}D, {min(1.0, spots / spans)!r}D)"))
     ready = VectorAssembler(inputCols=NAMES, outputCol="v").transform(fold.where("not held"))
-    learned = {}
+    scores = {}
     for kind in KINDS:
         if any(counts.get((kind, held, y), 0) < 20 for held in (False, True) for y in (0.0, 1.0)):
             continue
-        model = GBTClassifier(featuresCol="v", labelCol="y", maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=7, checkpointInterval=-1, cacheNodeIds=False).fit(ready.where(F.col("kind") == kind).select("v", "y").coalesce(1))
-        score = _score_sql(model, NAMES)
-        held = fold.where("held").where(F.col("kind") == kind).select("y", F.struct(*NAMES).alias("c")).select("y", F.expr(f"round({score}, 3)").alias("p"))
-        good = n = 0
-        for p, g, m in held.groupBy("p").agg(F.sum("y"), F.count(F.lit(1))).orderBy(F.desc("p")).collect():  # at most 1001 scores
-            good, n = good + int(g), n + m
-            if _wilson_lower(good, n) >= precision and p >= 0.5:
-                learned[kind] = (score, p)
+        # with fewer bins than the root of the number of rows, spark.ml would take its split points from a sample of them
+        bins = max(32, math.isqrt(rows[kind]) + 1)
+        model = GBTClassifier(featuresCol="v", labelCol="y", weightCol="w", maxIter=rounds, maxDepth=depth, maxBins=bins, stepSize=0.3, seed=7, checkpointInterval=-1, cacheNodeIds=False).fit(ready.where(F.col("kind") == kind).select("v", "y", "w"))
+        scores[kind] = _score_sql(model, NAMES)
+    if not scores:
+        return {}
+    score = "case c.kind " + " ".join(f"when '{k}' then {v}" for k, v in scores.items()) + " end"
+    held = fold.where("held").where(F.col("kind").isin(*scores)).select("kind", "y", "w", F.struct("kind", *NAMES).alias("c")).select("kind", "y", "w", F.expr(f"round({score}, 3)").alias("p"))
+    learned, good, n = {}, dict.fromkeys(scores, 0.0), dict.fromkeys(scores, 0.0)
+    for kind, p, g, m in held.groupBy("kind", "p").agg(F.sum(F.col("y") * F.col("w")), F.sum("w")).orderBy("kind", F.desc("p")).collect():  # at most 1001 scores a kind
+        good[kind], n[kind] = good[kind] + g, n[kind] + m
+        if _wilson_lower(good[kind], n[kind]) >= precision and p >= 0.5:
+            learned[kind] = (scores[kind], p)
     return learned
 
 
