@@ -135,6 +135,7 @@ class HashArrays:
             values, payload = self.shard(int(shards[a]))
             if not len(values):
                 continue
+            values, payload = np.asarray(values), {c: np.asarray(array) for c, array in payload.items()}  # a map's own slicing is slow
             at = np.searchsorted(values, ranked[a:b])
             at[at == len(values)] = 0
             good = values[at] == ranked[a:b]

@@ -59,18 +59,35 @@ def sets_of(text: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray, np.nd
         starts, ends, firsts = s.words()
         words = s.hashes(starts, ends)
         counts = np.diff(firsts)
-        shingles, at = windows(words, firsts, width)
-        rows = np.searchsorted(firsts, at, "right") - 1
+        shingles, _ = windows(words, firsts, width)
+        sizes = np.maximum(counts - width + 1, 0)
         short = np.flatnonzero((counts > 0) & (counts < width))
         if len(short):
             whole = np.array([_sequence(words[firsts[i] : firsts[i + 1]]) for i in short], np.uint64)
-            shingles, rows = np.concatenate((shingles, whole)), np.concatenate((rows, short))
-        order = np.lexsort((shingles, rows))
-        shingles, rows = shingles[order], rows[order]
-        fresh = np.ones(len(rows), bool)
-        fresh[1:] = (shingles[1:] != shingles[:-1]) | (rows[1:] != rows[:-1])
-        shingles, rows = shingles[fresh], rows[fresh]
-        yield s.first, shingles, np.searchsorted(rows, np.arange(s.rows + 1))
+            shingles = np.insert(shingles, (np.cumsum(sizes) - sizes)[short], whole)
+            sizes[short] = 1
+        bounds = np.concatenate(([0], np.cumsum(sizes)))
+        for i in np.flatnonzero(sizes > 1).tolist():  # a row's hashes are sorted in place, far cheaper than one order of all rows
+            shingles[bounds[i] : bounds[i + 1]].sort()
+        fresh = np.ones(len(shingles), bool)
+        fresh[1:] = shingles[1:] != shingles[:-1]
+        fresh[bounds[:-1][sizes > 0]] = True
+        yield s.first, shingles[fresh], np.concatenate(([0], np.cumsum(fresh)))[bounds]
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """The different values of ``x``, sorted."""
+    x = np.sort(x)
+    fresh = np.ones(len(x), bool)
+    fresh[1:] = x[1:] != x[:-1]
+    return x[fresh]
+
+
+def _ranked(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``x`` (from 0 to 2^31) sorted, and where each value stood: one sort of both together is cheaper than an order of the values."""
+    both = x.astype(np.uint64) << _U(32) | np.arange(len(x), dtype=np.uint64)
+    both.sort()
+    return (both >> _U(32)).astype(np.int64), (both & _U(0xFFFFFFFF)).astype(np.int64)
 
 
 def _sequence(words: np.ndarray) -> int:
@@ -195,8 +212,8 @@ def _band_cells(shingles: np.ndarray, bounds: np.ndarray, chosen: np.ndarray, ba
     spread = mix(tokens ^ _U(band.number * 0x9E3779B9 + 77))
     segment = ((spread >> _U(32)) * _U(m) >> _U(32)).astype(np.int64)
     cell = np.repeat(np.arange(len(chosen)), sizes) * m + segment
-    order = np.argsort(cell, kind="stable")
-    cell, weights = cell[order], mix(tokens[order] ^ _U(0x5DEECE66D))
+    cell, order = _ranked(cell)
+    weights = mix(tokens[order] ^ _U(0x5DEECE66D))
     begin = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
     filled = np.diff(np.append(begin, len(cell)))
     content = np.add.reduceat(weights, begin)
@@ -262,6 +279,8 @@ def entities(docs: DataFrame, text: str, width: int, keep: list[str]) -> DataFra
 
 PART_KEYS = 500_000
 _FLUSH = 500_000
+#: So many keys are looked up together: a lookup goes through every part of the counted keys, and their number grows with the corpus.
+LOOKUP_KEYS = 500_000
 _LONE = _U(0x6C6F6E65)
 
 
@@ -289,11 +308,11 @@ def counted_keys(docs: DataFrame, text: str, width: int, t: int, expected: int)
 
     def flush(held: list[np.ndarray], parts: np.ndarray) -> pa.RecordBatch:
         both = np.concatenate(held)
-        order = np.argsort(parts, kind="stable")
-        both, parts = both[order], parts[order]
+        parts, order = _ranked(parts)
+        both = both[order]
         edges = np.concatenate(([0], np.flatnonzero(parts[1:] != parts[:-1]) + 1, [len(parts)]))
-        blocks = [np.unique(both[a:b]).tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(parts[edges[:-1]].astype(np.int64)), pa.array(blocks, pa.binary())], names=["part", "rows"])
+        blocks = [_distinct(both[a:b]).tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(parts[edges[:-1]]), pa.array(blocks, pa.binary())], names=["part", "rows"])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, parts, size = [], [], 0
@@ -314,7 +333,7 @@ def counted_keys(docs: DataFrame, text: str, width: int, t: int, expected: int)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, (blocks,) in by_part(batches):
-            low = np.unique(joined(blocks, "u8")) >> _U(32)
+            low = _distinct(joined(blocks, "u8")) >> _U(32)
             begin = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
             n = np.diff(np.append(begin, len(low)))
             often = n >= 2
@@ -336,39 +355,59 @@ def bucket_rows(docs: DataFrame, text: str, width: int, t: int, counts: HashArra
     """
     mask = ~((_U(1) << _U(32 - counts.bits)) - _U(1))
 
+    def found(held: list[tuple[np.ndarray, np.ndarray, np.ndarray, Cells]]) -> Iterator[pa.RecordBatch]:
+        counted = counts.find(np.concatenate([keys for *_, cells in held for keys in (cells.keys, cells.variants)]) & mask)[1]["n"].astype(np.int64)
+        parts, upto = [], 0
+        for ids, shingles, bounds, cells in held:
+            sizes = np.diff(bounds)
+            n = counted[upto : upto + len(cells.keys) + len(cells.variants)]
+            upto += len(n)
+            cost, variant_cost = n[: len(cells.keys)], n[len(cells.keys) :]
+            exact, softened, lone = probes(cells, cost, variant_cost)
+            row = np.concatenate((cells.row, cells.row[cells.owner]))
+            keys = np.concatenate((cells.keys, cells.variants))
+            probing = np.concatenate((exact, softened[cells.owner]))
+            sent = (n >= 2) & (probing | cells.own)
+            alone = [(i, mix(shingles[bounds[i] : bounds[i] + difference(2 * sizes[i], t) + 1] ^ _LONE)) for i in lone.tolist()]
+            at = np.concatenate((row[sent], *[np.full(len(k), i) for i, k in alone])).astype(np.int64)
+            more = sum(len(k) for _, k in alone)
+            flags = [np.concatenate((x, np.full(more, y))) for x, y in ((np.full(sent.sum(), cells.own), False), (probing[sent], True), (np.zeros(sent.sum(), bool), True))]
+            parts.append((np.concatenate((keys[sent], *[k for _, k in alone])), ids[at], sizes[at], *flags))
+        keys, entity, sizes, *flags = (np.concatenate(c) for c in zip(*parts, strict=True))
+        if len(keys):
+            yield pa.RecordBatch.from_arrays([_signed(keys), _signed(entity), pa.array(sizes.astype(np.int32)), *map(pa.array, flags)], names=["key", "entity", "n", "indexed", "probing", "lone"])
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            held, size = [], 0
             for ids, shingles, bounds in _distinct_sets(batch, width):
-                sizes = np.diff(bounds)
                 for cells in cells_of(shingles, bounds, t):
-                    n = counts.find(np.concatenate((cells.keys, cells.variants)) & mask)[1]["n"].astype(np.int64)
-                    cost, variant_cost = n[: len(cells.keys)], n[len(cells.keys) :]
-                    exact, softened, lone = probes(cells, cost, variant_cost)
-                    row = np.concatenate((cells.row, cells.row[cells.owner]))
-                    keys = np.concatenate((cells.keys, cells.variants))
-                    probing = np.concatenate((exact, softened[cells.owner]))
-                    sent = (n >= 2) & (probing | cells.own)
-                    alone = [(i, mix(shingles[bounds[i] : bounds[i] + difference(2 * sizes[i], t) + 1] ^ _LONE)) for i in lone.tolist()]
-                    at = np.concatenate((row[sent], *[np.full(len(k), i) for i, k in alone])).astype(np.int64)
-                    more = sum(len(k) for _, k in alone)
-                    flags = [np.concatenate((x, np.full(more, y))) for x, y in ((np.full(sent.sum(), cells.own), False), (probing[sent], True), (np.zeros(sent.sum(), bool), True))]
-                    if len(at):
-                        columns = [_signed(np.concatenate((keys[sent], *[k for _, k in alone]))), _signed(ids[at]), pa.array(sizes[at].astype(np.int32)), *map(pa.array, flags)]
-                        yield pa.RecordBatch.from_arrays(columns, names=["key", "entity", "n", "indexed", "probing", "lone"])
+                    held.append((ids, shingles, bounds, cells))
+                    size += len(cells.keys) + len(cells.variants)
+                    if size > LOOKUP_KEYS:
+                        yield from found(held)
+                        held, size = [], 0
+            if held:
+                yield from found(held)
 
     return _scan(docs, text, [], "key long, entity long, n int, indexed boolean, probing boolean, lone boolean", each)
 
 
-def lone_partners(docs: DataFrame, text: str, width: int, t: int, wanted: HashArrays) -> DataFrame:
+def lone_partners(docs: DataFrame, text: str, width: int, t: int, wanted: HashArrays, largest: int | None = None) -> DataFrame:
     """Rows as ``bucket_rows`` gives them of every set that has a shingle in ``wanted`` and is small enough to link with the largest set that probes it.
 
     Sets whose segments cannot cover what they need are small, so a text of any other size never comes to these buckets,
-    however common a shingle is.
+    however common a shingle is. ``largest``: the size of the largest set that probes; the shingles of sets too large for it
+    are not looked up.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, shingles, bounds in _distinct_sets(batch, width):
+                if largest is not None:
+                    small = t * np.diff(bounds) <= 100 * largest
+                    ids, shingles, sizes = ids[small], shingles[np.repeat(small, np.diff(bounds))], np.diff(bounds)[small]
+                    bounds = np.concatenate(([0], np.cumsum(sizes)))
                 keys = mix(shingles ^ _LONE)
                 known, found = wanted.find(keys)
                 owner = np.repeat(np.arange(len(ids)), np.diff(bounds))
@@ -389,9 +428,10 @@ def buckets(docs: DataFrame, text: str, width: int, t: int, expected: int) -> Da
     rows = materialise(bucket_rows(docs, text, width, t, counts).groupBy(*once).agg(*flags), "keys")
     counts.discard()
     alone = rows.where("lone").groupBy(F.col("key").alias("h")).agg(F.max("n").alias("most"))
-    if not alone.isEmpty():
-        wanted = build(alone, alone.count(), "lone", {"most": "u4"})
-        more = materialise(rows.unionByName(lone_partners(docs, text, width, t, wanted)).groupBy(*once).agg(*flags), "keys")
+    asked = alone.agg(F.count(F.lit(1)).alias("keys"), F.max("most").alias("largest")).first()
+    if asked.keys:
+        wanted = build(alone, asked.keys, "lone", {"most": "u4"})
+        more = materialise(rows.unionByName(lone_partners(docs, text, width, t, wanted, asked.largest)).groupBy(*once).agg(*flags), "keys")
         wanted.discard()
         discard(rows)
         rows = more
