@@ -127,8 +127,8 @@ class HashArrays:
         out = {c: np.zeros(len(hashes), t) for c, t in self.payload.items()}
         if not self.rows or not len(hashes):
             return known, out
-        order = np.argsort(hashes)  # neighbours in the files are read together
-        ranked = hashes[order]
+        order = None if bool((hashes[1:] >= hashes[:-1]).all()) else np.argsort(hashes)  # neighbours in the files are read together
+        ranked = hashes if order is None else hashes[order]
         shards = ranked >> np.uint64(64 - self.bits) if self.bits else np.zeros(len(ranked), np.uint64)
         edges = np.flatnonzero(np.diff(shards)) + 1
         for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(ranked)], strict=True):
@@ -139,6 +139,12 @@ class HashArrays:
             at = np.searchsorted(values, ranked[a:b])
             at[at == len(values)] = 0
             good = values[at] == ranked[a:b]
+            if order is None:
+                known[a:b] = good
+                where = np.flatnonzero(good)
+                for c, array in payload.items():
+                    out[c][a:b][where] = array[at[where]]
+                continue
             where = order[a:b][good]
             known[where] = True
             for c, array in payload.items():

@@ -43,6 +43,7 @@ PLACE_BITS = 24
 PART_TOKENS = 2_000_000
 FLUSH_ROWS = 1_000_000
 ROUNDS, LEFT_ROUNDS = 3, 2
+SCORE_BYTES = 2 << 20
 _U = np.uint64
 END = _U(0x0E4D0E4D0E4D0E4D)
 START_ID, UNKNOWN_ID, NONE_ID = _U(0xFFFFFFFF), _U(0xFFFFFFFE), _U(0xFFFFFFFD)
@@ -54,7 +55,7 @@ _BLOCKS = "part long, h binary, id binary, c binary"
 def tokens(s: Slice) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of the slice's texts with an end after each text, and the bounds of the texts."""
     starts, ends, firsts = s.words()
-    h = s.hashes(starts, ends)
+    h = s.word_hashes(starts, ends)
     h[h == END] += _U(1)
     return np.insert(h, firsts[1:], END), firsts + np.arange(len(firsts))
 
@@ -67,6 +68,23 @@ def _grouped(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return keys[edge], np.add.reduceat(counts, edge) if len(keys) else counts
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Like ``np.unique`` with the inverse, but keys that differ only in the lowest bits, as many as number them, may be out of order and repeated.
+
+    A key's number stands in these bits while they are sorted: several times faster than an indirect sort.
+    """
+    low = _U((1 << len(keys).bit_length()) - 1)
+    order = (keys & ~low) | np.arange(len(keys), dtype=np.uint64)
+    order.sort()
+    order = (order & low).view(np.int64)
+    ranked = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return ranked[new], place
+
+
 def _pair(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """A bijection of two word numbers."""
     return mix((left << _U(32)) | right)
@@ -106,7 +124,7 @@ class Model:
 
     def score(self, h: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
         """Sums by text of log10 probabilities: the model's and the base's, and the number of known tokens."""
-        names, where = np.unique(h, return_inverse=True)
+        names, where = _distinct(h)
         known, got = self.words.find(names)
         c, before = got["c"].astype(float), got["before"].astype(float)
         uniform = 1.0 / (self.distinct + 1)
@@ -117,10 +135,7 @@ class Model:
             unigram = np.full(len(names), uniform)
         ids = np.where(known, got["id"].astype(np.uint64), UNKNOWN_ID)[where]
         left = _before(ids, bounds)
-        first = left == START_ID
-        previous = np.concatenate((where[:1], where[:-1])) if len(where) else where
-        stats = [np.where(first, self.start[k], got[n].astype(float)[previous]) for k, n in enumerate(("n1", "n2", "n3", "total"))]
-        hashes, place = np.unique(np.append(_pair(left, ids), _pair(*np.full((2, 1), START_ID))), return_inverse=True)
+        hashes, place = _distinct(np.append(_pair(left, ids), _pair(*np.full((2, 1), START_ID))))
         single, follows = self.once.find(hashes)
         several, counted = np.zeros(len(hashes), bool), {n: np.zeros(len(hashes), t) for n, t in self.pairs.payload.items()}
         others = np.flatnonzero(~single)
@@ -128,28 +143,33 @@ class Model:
         for n, values in found.items():
             counted[n][others] = values
         pair = place[:-1]
-        context = np.where(first, place[-1], np.concatenate((pair[:1], pair[:-1])))
-        p = self._interpolated(np.where(single, 1.0, counted["left"])[pair], stats[:3], stats[3], self.middle, unigram[where])
+        at = np.zeros(len(hashes), np.int64)  # a token of each pair: what hangs on the pair alone is found once
+        at[pair] = np.arange(len(pair))
+        first, previous = left[at] == START_ID, where[np.maximum(at - 1, 0)]
+        stats = [np.where(first, self.start[k], got[n].astype(float)[previous]) for k, n in enumerate(("n1", "n2", "n3", "total"))]
+        p = self._interpolated(np.where(single, 1.0, counted["left"]), stats[:3], stats[3], self.middle, unigram[where[at]])[pair]
         if self.order == 3:
+            context = np.where(left == START_ID, place[-1], np.concatenate((pair[:1], pair[:-1])))
             count = (single[context] & (follows["next"][context] == ids)).astype(float)
             at = np.flatnonzero(several[context])
-            keys, back = np.unique(_triple(hashes[context[at]], ids[at], self.pairs.bits), return_inverse=True)
+            keys, back = _distinct(_triple(hashes[context[at]], ids[at], self.pairs.bits))
             count[at] = self.triples.find(keys)[1]["c"][back]
-            alone = single[context].astype(float)
-            stats = [(counted[n].astype(float)[context] + (alone if n in ("n1", "c") else 0)) for n in ("n1", "n2", "n3", "c")]
-            p = self._interpolated(count, stats[:3], stats[3], self.top, p)
+            spared = sum(d * (counted[n].astype(float) + (single if n == "n1" else 0)) for d, n in zip(self.top, ("n1", "n2", "n3"), strict=True))
+            p = self._mixed(count, spared[context], (counted["c"].astype(float) + single)[context], self.top, p)
         row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
         base = np.log10((c + 0.5) / (self.total + 0.5 * (self.distinct + 1)))[where]
         sums = lambda x: np.bincount(row, x, minlength=len(bounds) - 1)
         return {"score": sums(np.log10(p)), "base": sums(base), "known": sums(known[where]).astype(np.int64)}
 
     def _interpolated(self, count: np.ndarray, seen: list[np.ndarray], context: np.ndarray, d: tuple[float, float, float], lower: np.ndarray) -> np.ndarray:
-        spared = sum(x * n for x, n in zip(d, seen, strict=True))
+        return self._mixed(count, sum(x * n for x, n in zip(d, seen, strict=True)), context, d, lower)
+
+    def _mixed(self, count: np.ndarray, spared: np.ndarray, context: np.ndarray, d: tuple[float, float, float], lower: np.ndarray) -> np.ndarray:
         return np.where(context > 0, (np.maximum(count - self._discount(count, d), 0) + spared * lower) / np.maximum(context, 1), lower)
 
     @staticmethod
     def _discount(count: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
-        return np.choose(np.clip(count, 0, 3).astype(np.int64), (0.0, *d))
+        return np.array((0.0, *d))[np.minimum(count, 3).astype(np.int64)]
 
 
 def discounts(n: list[int]) -> tuple[float, float, float]:
@@ -213,19 +233,23 @@ def _blocks(part: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=["part", *columns])
 
 
-def _gathered(docs: DataFrame, text: str, words: HashArrays, bits: int, chosen: tuple[int, int], rows_of: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """(part, h, id, c): what ``rows_of`` gives for a slice's word numbers, a pair's hash and a word, counted by task; of the parts from chosen[0] up to chosen[1]."""
+def _gathered(docs: DataFrame, text: str, words: HashArrays, bits: int, chosen: tuple[int, int], rows_of: Callable[..., tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(part, h, id, c): what ``rows_of`` gives for a slice's word numbers, a pair's hash and a word, counted by task; of the parts from chosen[0] up to chosen[1], which the function it is handed finds."""
     numbers = words.only("id")
 
     def flush(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        t, h, word, c = map(np.concatenate, zip(*held, strict=True))
-        order = np.argsort(t)
-        edge = np.flatnonzero(np.concatenate(([True], t[order][1:] != t[order][:-1])))
-        c = np.add.reduceat(c[order], edge)
-        h, word = h[order][edge], word[order][edge]
-        order = np.argsort(h)
-        h = h[order]
-        return _blocks((h >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64), {"h": h, "id": word[order].astype(np.uint32), "c": c[order].astype(np.uint32)})
+        h, word = map(np.concatenate, zip(*held, strict=True))
+        h, rank = _distinct(h)
+        keys = (rank.astype(np.uint64) << _U(32)) | word
+        keys.sort()
+        edge = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        c = np.diff(np.append(edge, len(keys)))
+        h = h[keys[edge] >> _U(32)]
+        return _blocks((h >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64), {"h": h, "id": (keys[edge] & _LOW).astype(np.uint32), "c": c.astype(np.uint32)})
+
+    def inside(h: np.ndarray) -> np.ndarray:
+        part = h >> _U(64 - bits) if bits else np.zeros(len(h), np.uint64)
+        return np.flatnonzero((part >= _U(chosen[0])) & (part < _U(chosen[1])))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -233,17 +257,12 @@ def _gathered(docs: DataFrame, text: str, words: HashArrays, bits: int, chosen:
         for batch in batches:
             for s in slices(batch.column(0), lower=True):
                 tokens_, bounds = tokens(s)
-                names, where = np.unique(tokens_, return_inverse=True)
-                h, word = rows_of(numbers.find(names)[1]["id"].astype(np.uint64)[where], bounds)
-                if bits:
-                    part = h >> _U(64 - bits)
-                    good = (part >= _U(chosen[0])) & (part < _U(chosen[1]))
-                    h, word = h[good], word[good]
-                t, place, c = np.unique(_triple(h, word, 0), return_index=True, return_counts=True)
-                if len(t):
-                    held.append((t, h[place], word[place], c))
-                    size += len(t)
-                if size > FLUSH_ROWS:
+                names, where = _distinct(tokens_)
+                h, word = rows_of(numbers.find(names)[1]["id"].astype(np.uint64)[where], bounds, inside)
+                if len(h):
+                    held.append((h, word.astype(np.uint32)))
+                    size += len(h)
+                if size > 3 * FLUSH_ROWS // 2:
                     yield flush(held)
                     held, size = [], 0
         if held:
@@ -258,12 +277,13 @@ def _ranges(bits: int, rounds: int) -> list[tuple[int, int]]:
     return list(zip(edges[:-1], edges[1:], strict=True))
 
 
-def _followed(ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _followed(ids: np.ndarray, bounds: np.ndarray, inside: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Each word with the pair before it, and after each text its last pair with no word, so that every pair is a context."""
     left = _before(ids, bounds)
     last = bounds[1:][np.diff(bounds) > 0] - 1
     h = np.concatenate((_pair(_before(left, bounds), left), _pair(left[last], ids[last])))
-    return h, np.concatenate((ids, np.full(len(last), NONE_ID)))
+    good = inside(h)
+    return h[good], np.concatenate((ids, np.full(len(last), NONE_ID)))[good]
 
 
 def _store_contexts(blocks: DataFrame, once: HashArrays, pairs: HashArrays, triples: HashArrays, order: int) -> DataFrame:
@@ -311,7 +331,9 @@ def _store_left(blocks: DataFrame, once: HashArrays, pairs: HashArrays, order: i
             h, counted = pairs.shard(k)
             if order > 2:
                 at = np.searchsorted(h, joined(hash_blocks, "u8")).astype(np.uint64)
-                left = np.bincount((np.unique((at << _U(32)) | joined(word_blocks, "u4")) >> _U(32)).astype(np.int64), minlength=len(h))
+                keys = (at << _U(32)) | joined(word_blocks, "u4")
+                keys.sort()
+                left = np.bincount((keys[np.append(True, keys[1:] != keys[:-1])[: len(keys)]] >> _U(32)).astype(np.int64), minlength=len(h))
             else:
                 left = np.asarray(counted["c"]).astype(np.int64)
             save(pairs.uri, f"{k}.left", left.astype(np.uint32))
@@ -322,7 +344,8 @@ def _store_left(blocks: DataFrame, once: HashArrays, pairs: HashArrays, order: i
             yield report(np.array([-1]), np.zeros(1), [*[np.array([(counts == n).sum()]) for n in (1, 2, 3, 4)], np.zeros(1)])
             if not len(keys):
                 continue
-            ids, place = np.unique(np.concatenate((keys >> _U(32), keys & _LOW)), return_inverse=True)
+            ids, place = _distinct(np.concatenate((keys >> _U(32) << _U(32), keys << _U(32))))
+            ids >>= _U(32)
             v, w = place[: len(keys)], place[len(keys) :]
             values = [np.bincount(v[good], minlength=len(ids)) for good in (counts == 1, counts == 2, counts >= 3)]
             values += [np.bincount(w, minlength=len(ids)), np.bincount(v, counts, minlength=len(ids))]
@@ -381,11 +404,13 @@ def train(docs: DataFrame, text: str = "text", order: int = 3) -> Model:
         save(arrays.uri, "sizes", size)
     several = pairs.only()
 
-    def before_pairs(ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def before_pairs(ids: np.ndarray, bounds: np.ndarray, inside: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         left = _before(ids, bounds)
-        hashes, place = np.unique(_pair(left, ids), return_inverse=True)
-        good = several.find(hashes)[0][place]
-        return hashes[place[good]], _before(left, bounds)[good]
+        h = _pair(left, ids)
+        good = inside(h)
+        hashes, place = _distinct(h[good])
+        seen = several.find(hashes)[0][place]
+        return h[good[seen]], _before(left, bounds)[good[seen]]
 
     found = docs if order > 2 else docs.limit(0)
     reports = [materialise(_store_left(_gathered(found, text, words, bits, chosen, before_pairs), once, pairs.only("c"), order, chosen), "left", free=True) for chosen in _ranges(bits, LEFT_ROUNDS)]
@@ -410,7 +435,7 @@ def with_scores(docs: DataFrame, model: Model, text: str = "text", keep: list[st
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, known, base, score = (np.zeros(batch.num_rows, t) for t in (np.int64, np.int64, float, float))
-            for s in slices(batch.column(batch.num_columns - 1), lower=True):
+            for s in slices(batch.column(batch.num_columns - 1), lower=True, most=SCORE_BYTES):
                 h, bounds = tokens(s)
                 row = slice(s.first, s.first + s.rows)
                 told = model.score(h, bounds)

@@ -19,9 +19,15 @@ _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
-FOLD = np.arange(256, dtype=np.uint8)
-FOLD[65:91] += 32
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_LEADING = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_WORD_BYTES = 64  # beyond, a word is hashed by prefix sums
+_two_bytes: list[np.ndarray] = []
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z in lower case."""
+    return data + ((data - np.uint8(65) < 26).view(np.uint8) << np.uint8(5))
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -34,6 +40,19 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def _eights(chunks: np.ndarray) -> np.ndarray:
+    """Sums over the eight bytes of each word, byte i times the base to the power i."""
+    if not _two_bytes:
+        low = np.arange(1 << 16, dtype=np.uint64)
+        _two_bytes.append((low & np.uint64(255)) + (low >> np.uint64(8)) * _BASE)
+    up, _ = _power_tables(8)
+    twos = chunks.view("<u2").reshape(-1, 4)
+    out = _two_bytes[0][twos[:, 0]]
+    for k in (1, 2, 3):
+        out += _two_bytes[0][twos[:, k]] * up[2 * k]
+    return out
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads all bits (splitmix64's finaliser)."""
     x = x ^ (x >> np.uint64(30))
@@ -79,8 +98,31 @@ class Slice:
         _, down = _power_tables(len(self.data) + 1)
         return mix((s[ends] - s[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
+    def word_hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """What ``hashes`` gives, for ranges as short as words: eight bytes at a time, without sums over the whole slice."""
+        if not len(starts):
+            return np.zeros(0, np.uint64)
+        up, _ = _power_tables(len(self.data) + 1)
+        padded = np.zeros(len(self.data) + 8, np.uint8)
+        padded[:-8] = self.data
+        eight = np.ndarray(len(self.data) + 1, "<u8", padded, strides=(1,))
+        length = ends - starts
+        ones = np.zeros(_WORD_BYTES + 1, np.uint64)
+        np.cumsum(_power_tables(_WORD_BYTES)[0][:_WORD_BYTES], out=ones[1:])
+        out = _eights(eight[starts] & _LEADING[np.minimum(length, 8)]) + ones[np.minimum(length, _WORD_BYTES)]
+        rest = np.flatnonzero(length > 8)
+        for k in range(8, _WORD_BYTES, 8):
+            out[rest] += _eights(eight[starts[rest] + k] & _LEADING[np.minimum(length[rest] - k, 8)]) * up[k]
+            rest = rest[length[rest] > k + 8]
+        out = mix(out + length.astype(np.uint64))
+        if len(rest):
+            out[rest] = self.hashes(starts[rest], ends[rest])
+        return out
+
     def words(self, separator: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts, ends and, for each row, the index of its first word (one more entry at the end)."""
+        if separator is WHITE:
+            return self.runs((self.data != 0x20) & (self.data - np.uint8(0x09) > 4))
         return self.runs(~separator[self.data])
 
     def runs(self, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -123,7 +165,7 @@ def slices(text: pa.Array, lower: bool = False, most: int = SLICE_BYTES) -> Iter
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
         j = min(j, len(text))
         part = whole[offsets[i] : offsets[j]]
-        yield Slice(i, FOLD[part] if lower else part, offsets[i : j + 1] - offsets[i])
+        yield Slice(i, lowered(part) if lower else part, offsets[i : j + 1] - offsets[i])
         i = j
 
 
